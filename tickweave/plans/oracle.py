@@ -28,6 +28,10 @@ PIECES = {
         FROM trades GROUP BY 1, 2""",
     "books": "SELECT portfolio, symbol, v / sum(v) OVER (PARTITION BY portfolio) AS weight FROM bookv",
     "pr": "SELECT ts, pos, sum(weight * r) AS r FROM ret JOIN tw USING (symbol) GROUP BY 1, 2",
+    "ent": "SELECT symbol, ts, pos, r FROM ret UNION ALL SELECT 'portfolio', ts, pos, r FROM pr",
+    "ranked": """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r) AS k, count(*) OVER (PARTITION BY symbol) AS n,
+        avg(r) OVER (PARTITION BY symbol) AS m, stddev_samp(r) OVER (PARTITION BY symbol) AS sd,
+        stddev_pop(r) OVER (PARTITION BY symbol) AS sp FROM ent""",
     "mkt": "SELECT ts, pos, avg(r) AS m FROM ret GROUP BY 1, 2",
     "bars_d": """SELECT event_type AS symbol, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts,
         arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
@@ -40,6 +44,7 @@ NEEDS = {
     "trades": ["geo"], "panel": ["trades"], "raw": ["panel"], "aligned": ["panel"], "silver": ["aligned"],
     "ret": ["silver"], "cnt": ["ret"], "mu": ["ret"], "prs": ["ret"], "cov": ["prs"], "tw": ["panel"],
     "bookv": ["trades"], "books": ["bookv"], "pr": ["ret", "tw"], "mkt": ["ret"],
+    "ent": ["ret", "pr"], "ranked": ["ent"],
 }
 
 

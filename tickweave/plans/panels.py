@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.align import common_dates, returns_only, with_returns
+from ..operators.align import common_dates, portfolio_series, returns_only, with_returns
 from ..operators.bars import build_bars, bucket_start
 from ..session import reuse
 from ..timeline import number_rows
@@ -78,3 +78,18 @@ def books(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.sum("l_extendedprice").alias("v"))
     totals = v.groupBy("portfolio").agg(F.sum("v").alias("t"))
     return v.join(totals, "portfolio").select("portfolio", "symbol", (F.col("v") / F.col("t")).alias("weight"))
+
+
+def portfolio_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Return series of the target weights: ts, pos, r."""
+    return portfolio_series(returns(spark, sf), target_weights(spark, sf))
+
+
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols and the portfolio as return series of one frame."""
+    r = returns(spark, sf).select("symbol", "ts", "pos", "r")
+    return r.unionByName(portfolio_returns(spark, sf).withColumn("symbol", F.lit("portfolio")))
+
+
+def market(spark: SparkSession, sf: str) -> DataFrame:
+    return returns(spark, sf).groupBy("ts", "pos").agg(F.avg("r").alias("m"))
