@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guarded_ratio, normal_density, normal_quantile
-from ..timeline import lowest_mean, nth, running, value_ladder
+from ..timeline import lowest_mean, nth, running, value_ladder, wealth
 
 NORMAL_LIMIT = 5.991  # fixed value: chi-squared with 2 degrees of freedom at 95 %
 
@@ -150,18 +150,17 @@ def median(df: DataFrame, value: str, key: str = "symbol", width: float = 1e-3)
 
 def compounded_drawdown(r: DataFrame, key: str = "symbol") -> DataFrame:
     """Largest fall of the compounded wealth below its peak; wealth and peak start at 1."""
-    w = running(r, {"wealth": ("product", 1 + F.col("r"))}, key=(key,))
-    w = running(w, {"_top": ("max", F.col("wealth"))}, key=(key,))
-    peak = F.greatest(F.lit(1.0), F.col("_top"))
-    return w.groupBy(key).agg(F.greatest(F.lit(0.0), F.max((peak - F.col("wealth")) / peak)).alias("max_drawdown"))
+    return _deepest(wealth(r, 1 + F.col("r"), key=(key,)), key)
+
+
+def _deepest(path: DataFrame, key: str) -> DataFrame:
+    fall = (F.col("peak") - F.col("value")) / F.col("peak")
+    return path.groupBy(key).agg(F.greatest(F.lit(0.0), F.max(fall)).alias("max_drawdown"))
 
 
 def log_drawdown(r: DataFrame, key: str = "symbol") -> DataFrame:
     """The same on the curve exp(sum of returns)."""
-    w = running(r, {"_cum": ("sum", F.col("r"))}, key=(key,))
-    w = running(w.withColumn("value", F.exp("_cum")), {"_top": ("max", F.col("value"))}, key=(key,))
-    peak = F.greatest(F.lit(1.0), F.col("_top"))
-    return w.groupBy(key).agg(F.greatest(F.lit(0.0), F.max((peak - F.col("value")) / peak)).alias("max_drawdown"))
+    return _deepest(wealth(r, F.exp("r"), key=(key,)), key)
 
 
 def calmar(r: DataFrame, periods: int, key: str = "symbol") -> DataFrame:

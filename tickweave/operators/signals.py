@@ -68,7 +68,7 @@ def bollinger(bars: DataFrame, window: int = 20, width: float = 2.0) -> DataFram
 
 
 def ema(bars: DataFrame, window: int, value: str = "close", out: str = "ema", pos: str = "pos") -> DataFrame:
-    return smoothed(bars, value, 2.0 / (window + 1), window, out, pos=pos)
+    return smoothed(bars, {out: value}, 2.0 / (window + 1), window, pos=pos)
 
 
 def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
@@ -76,8 +76,7 @@ def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
     d = trailing(bars, 1, lambda w: {"_d": F.col("close") - F.lag("close").over(w)})
     d = d.withColumn("_k", F.col("pos") - 1).withColumn("_up", F.when(F.col("_k") > 0, F.greatest(F.col("_d"), F.lit(0.0))))
     d = d.withColumn("_down", F.when(F.col("_k") > 0, F.greatest(-F.col("_d"), F.lit(0.0))))
-    d = smoothed(d, "_up", 1.0 / window, window, "_gain", pos="_k")
-    d = smoothed(d, "_down", 1.0 / window, window, "_loss", pos="_k")
+    d = smoothed(d, {"_gain": "_up", "_loss": "_down"}, 1.0 / window, window, pos="_k")
     x = F.when(F.col("_loss") > 0, 100 - 100 / (1 + F.col("_gain") / F.col("_loss"))).otherwise(100.0)
     return d.withColumn("rsi", F.when(F.col("_gain").isNotNull(), x)).drop("_d", "_k", "_up", "_down", "_gain", "_loss")
 

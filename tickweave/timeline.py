@@ -12,6 +12,7 @@ partitions a window by symbol alone. Three steps replace that:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -111,53 +112,57 @@ def running(
 
 def smoothed(
     df: DataFrame,
-    value: str,
+    values: dict[str, str],
     alpha: float,
     seed: int,
-    out: str,
     *,
     key: Sequence[str] = ("symbol",),
     pos: str = "pos",
 ) -> DataFrame:
-    """Exponential smoothing ``e = a*x + (1-a)*e'``, started by the plain mean of the first ``seed`` rows.
+    """Exponential smoothing ``e = a*x + (1-a)*e'`` of ``{output: input}`` columns, started by the plain mean
+    of the first ``seed`` rows; null before.
 
-    A smoothed value is a weighted sum of its past with weights that fall by ``1-a`` per row. Inside a block
-    that is one running sum; a block is long enough that three blocks back every weight is below the smallest
-    double, so adding three earlier block totals is exact.
+    A smoothed value is a sum over its past with weights that fall by ``1-a`` per row. A block is long enough
+    that the weights of everything before the previous block are under 1e-130, so a row needs its own block
+    and the one before: each block is copied into the next, and the sum is one running window.
     """
-    import math
-
     keep = 1.0 - alpha
-    block = max(seed, int(500 / -math.log(keep)))
+    block = max(seed, int(300 / -math.log(keep)))
+    own = _block(pos, block)
+    spread = df.withColumn("_own", own).withColumn("_home", F.explode(F.array(own, own + 1)))
+    spread = spread.withColumn("_age", F.col(pos) - 1 - (F.col("_home") - 1) * block)
+    w = Window.partitionBy(*key, "_home").orderBy(pos)
+    start, past = w.rowsBetween(-(seed - 1), 0), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.col(pos)
+    x = {
+        out: F.when(at == seed, F.avg(v).over(start)).when(at > seed, F.col(v) * alpha).otherwise(0.0)
+        for out, v in values.items()
+    }
+    spread = spread.select("*", *[c.alias(f"_x_{out}") for out, c in x.items()])
+    growth = F.pow(F.lit(keep), -F.col("_age"))
+    sums = {out: F.sum(F.col(f"_x_{out}") * growth).over(past) * F.pow(F.lit(keep), F.col("_age")) for out in values}
+    spread = spread.select("*", *[F.when(at >= seed, c).alias(out) for out, c in sums.items()])
+    return spread.filter("_own = _home").drop("_own", "_home", "_age", *[f"_x_{out}" for out in values])
+
+
+def wealth(df: DataFrame, growth: Column, *, key: Sequence[str] = ("symbol",), pos: str = "pos") -> DataFrame:
+    """Add ``value``, the running product of ``growth`` from 1, and ``peak``, its running maximum from 1.
+
+    Per block the product and the highest inner value are enough to continue both in the next block.
+    """
     k = list(key)
-    starts = df.groupBy(*k).agg(F.avg(F.when(F.col(pos) <= seed, F.col(value))).alias("_seed"))
-    x = (
-        F.when(F.col(pos) < seed, F.lit(0.0))
-        .when(F.col(pos) == seed, F.col("_seed"))
-        .otherwise(F.col(value) * alpha)
-    )
-    d = df.join(starts, k).withColumn("_b", _block(pos, block)).withColumn("_age", F.pmod(F.col(pos) - 1, F.lit(block)))
-    inside = Window.partitionBy(*k, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_x", x).withColumn(
-        "_local", F.sum(F.col("_x") * F.pow(F.lit(keep), -F.col("_age"))).over(inside) * F.pow(F.lit(keep), F.col("_age"))
-    )
-    ends = d.groupBy(*k, "_b").agg(
-        (F.sum(F.col("_x") * F.pow(F.lit(keep), -F.col("_age"))) * keep ** (block - 1)).alias("_end")
-    )
-    w = Window.partitionBy(*k).orderBy("_b")
-    carried = sum(
-        (F.coalesce(F.lag("_end", j).over(w), F.lit(0.0)) * keep ** (block * (j - 1)) for j in (1, 2, 3)), F.lit(0.0)
-    )
-    ends = ends.select(*k, "_b", carried.alias("_carry"))
+    d = df.withColumn("_slice", _block(pos, BLOCK)).withColumn("_g", growth)
+    inside = Window.partitionBy(*k, "_slice").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_v", F.product("_g").over(inside)).withColumn("_m", F.max("_v").over(inside))
+    blocks = d.groupBy(*k, "_slice").agg(F.product("_g").alias("_p"), F.max("_v").alias("_top"))
+    before = Window.partitionBy(*k).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_from", F.coalesce(F.product("_p").over(before), F.lit(1.0)))
+    blocks = blocks.withColumn("_high", F.greatest(F.lit(1.0), F.max(F.col("_from") * F.col("_top")).over(before)))
+    d = d.join(blocks.select(*k, "_slice", "_from", "_high"), [*k, "_slice"])
     return (
-        d.join(ends, [*k, "_b"])
-        .withColumn(
-            out,
-            F.when(
-                F.col(pos) >= seed, F.col("_local") + F.col("_carry") * F.pow(F.lit(keep), F.col("_age") + 1)
-            ),
-        )
-        .drop("_seed", "_b", "_age", "_x", "_local", "_carry")
+        d.withColumn("value", F.col("_from") * F.col("_v"))
+        .withColumn("peak", F.greatest(F.col("_high"), F.col("_from") * F.col("_m")))
+        .drop("_slice", "_g", "_v", "_m", "_from", "_high")
     )
 
 
@@ -169,11 +174,14 @@ def value_ladder(df: DataFrame, value: str, *, key: Sequence[str] = ("symbol",),
     """
     k = list(key)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*k, value).agg(F.count(F.lit(1)).alias("n"))
-    ladder = running(
-        counts, {"upto": ("sum", F.col("n"))}, key=k, pos=value, slice_by=F.floor(F.col(value) / width)
-    )
-    sizes = counts.groupBy(*k).agg(F.sum("n").alias("size"))
-    return ladder.join(sizes, k)
+    counts = counts.withColumn("_slice", F.floor(F.col(value) / width))
+    whole = Window.partitionBy(*k)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.groupBy(*k, "_slice").agg(F.sum("n").alias("_n")).select(
+        *k, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("size"))
+    inside = Window.partitionBy(*k, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ladder = counts.withColumn("_upto", F.sum("n").over(inside)).join(slices, [*k, "_slice"])
+    return ladder.select(*k, value, "n", (F.col("_before") + F.col("_upto")).alias("upto"), "size")
 
 
 def nth(value: str, index: Column) -> Column:
