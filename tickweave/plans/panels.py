@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.align import common_dates, portfolio_series, returns_only, with_returns
 from ..operators.bars import build_bars, bucket_start
-from ..session import reuse
+from ..session import shared_dir
 from ..timeline import number_rows
 
+_WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def lake(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A derived table of the lake, written to the shared folder once per application and source folder.
+
+    Analytics read it like any table: raw data is scanned once, plans stay short, and a lost executor
+    loses nothing.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        df = build(spark, sf)
+        path = shared_dir(spark, name)
+        df.write.parquet(path)
+        _WRITTEN[key] = (path, df.schema)
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -27,10 +47,10 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     return li.join(supplier_region(spark, sf), li.l_suppkey == F.col("s_suppkey"))
 
 
-def weekly_bars(spark: SparkSession, sf: str) -> DataFrame:
+def build_weekly_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly bars per region: volume-weighted price, extremes of the unit price, quantity."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    bars = (
+    return (
         trades(spark, sf)
         .groupBy("symbol", bucket_start("l_shipdate", "week").alias("ts"))
         .agg(
@@ -38,20 +58,25 @@ def weekly_bars(spark: SparkSession, sf: str) -> DataFrame:
             F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"),
         )
     )
-    return reuse(bars)
+
+
+def build_silver(spark: SparkSession, sf: str) -> DataFrame:
+    return with_returns(common_dates(weekly_bars(spark, sf))).select(
+        "symbol", "ts", "close", "high", "low", "volume", "pos", "r", "s")
+
+
+def weekly_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return lake(spark, sf, "bars_weekly", build_weekly_bars)
 
 
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return reuse(number_rows(weekly_bars(spark, sf)))
+    """Weekly bars with their position in the symbol's history."""
+    return lake(spark, sf, "bars_numbered", lambda sp, d: number_rows(weekly_bars(sp, d)))
 
 
 def silver(spark: SparkSession, sf: str) -> DataFrame:
     """Aligned weekly bars with positions and returns; the shared input of the analytics."""
-    return reuse(
-        with_returns(common_dates(weekly_bars(spark, sf))).select(
-            "symbol", "ts", "close", "high", "low", "volume", "pos", "r", "s"
-        )
-    )
+    return lake(spark, sf, "silver", build_silver)
 
 
 def returns(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,6 +91,10 @@ def event_bars(spark: SparkSession, sf: str, bucket: str = "day") -> DataFrame:
 
 def target_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Share of traded quantity per region."""
+    return lake(spark, sf, "target_weights", _build_target_weights)
+
+
+def _build_target_weights(spark: SparkSession, sf: str) -> DataFrame:
     v = weekly_bars(spark, sf).groupBy("symbol").agg(F.sum("volume").alias("v"))
     total = v.agg(F.sum("v"))
     return v.select("symbol", (F.col("v") / total.scalar()).alias("weight"))
@@ -73,6 +102,10 @@ def target_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def books(spark: SparkSession, sf: str) -> DataFrame:
     """Several portfolios: one per return flag and line status, weighted by amount per region."""
+    return lake(spark, sf, "books", _build_books)
+
+
+def _build_books(spark: SparkSession, sf: str) -> DataFrame:
     v = trades(spark, sf).groupBy(
         F.concat_ws("-", "l_returnflag", "l_linestatus").alias("portfolio"), "symbol"
     ).agg(F.sum("l_extendedprice").alias("v"))
@@ -87,6 +120,10 @@ def portfolio_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols and the portfolio as return series of one frame."""
+    return lake(spark, sf, "entities", _build_entities)
+
+
+def _build_entities(spark: SparkSession, sf: str) -> DataFrame:
     r = returns(spark, sf).select("symbol", "ts", "pos", "r")
     return r.unionByName(portfolio_returns(spark, sf).withColumn("symbol", F.lit("portfolio")))
 

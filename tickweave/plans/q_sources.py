@@ -382,3 +382,17 @@ def _(spark, sf):
     incoming = c.filter("c_acctbal >= 0").select(F.col("c_name").alias("symbol"), name.alias("name"))
     out = L.dimension_type2(current, incoming, "2024-01-01")
     return out.withColumns({c: F.col(c).cast("string") for c in ("valid_from", "valid_to")})
+
+
+_BARS_SQL = "SELECT symbol, ts, #close# AS close, #high# AS high, #low# AS low, #volume# AS volume FROM panel"
+
+
+@query("build_weekly_bars", sql(_BARS_SQL))
+def _(spark, sf):
+    d = P.build_weekly_bars(spark, sf)
+    return d.select("symbol", "ts", *[rounded(c).alias(c) for c in ("close", "high", "low", "volume")])
+
+
+@query("build_silver", sql("SELECT symbol, ts, pos, #close# AS close, #r# AS r, #s# AS s FROM silver"))
+def _(spark, sf):
+    return P.build_silver(spark, sf).select("symbol", "ts", F.col("pos").cast("long").alias("pos"), *[rounded(c).alias(c) for c in ("close", "r", "s")])
