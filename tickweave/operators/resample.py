@@ -1,0 +1,40 @@
+"""Paths drawn from recorded returns, and the percentiles of their wealth."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..timeline import lowest_mean, nth, value_ladder
+
+PERCENTILES = (5, 25, 50, 75, 95)
+
+
+def resampled_paths(series: DataFrame, paths: DataFrame, days: int) -> DataFrame:
+    """(path, day, wealth): each day draws one recorded return by integer hashing of path and day."""
+    n = series.agg(F.max("pos")).scalar()
+    d = paths.select("path", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
+    draw = (F.col("path") * 7919 + F.col("day") * 104729 + F.col("path") * F.col("day") * 31) % n + 1
+    d = d.withColumn("pos", draw).join(series.select("pos", "r"), "pos")
+    w = Window.partitionBy("path").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.select("path", "day", F.product(1 + F.col("r")).over(w).alias("wealth"))
+
+
+def wealth_percentiles(paths: DataFrame) -> DataFrame:
+    """Interpolated percentiles by day, from a ladder of distinct values per day."""
+    ladder = value_ladder(paths, "wealth", key=("day",))
+    n, out = F.col("size") - 1, []
+    for p in PERCENTILES:
+        at = n * (p / 100)
+        lo, hi = nth("wealth", F.floor(at)), nth("wealth", F.ceil(at))
+        out.append((lo + (hi - lo) * F.max(at - F.floor(at))).alias(f"p{p}"))
+    return ladder.groupBy("day").agg(*out)
+
+
+def final_risk(paths: DataFrame, days: int) -> DataFrame:
+    """Loss at the 5 % rank of final wealth and the mean of the worst 5 %."""
+    ladder = value_ladder(paths.filter(F.col("day") == days), "wealth", key=("day",))
+    worst = F.floor(F.col("size") * 0.05)
+    return ladder.groupBy("day").agg(
+        (nth("wealth", F.greatest(F.lit(0), worst - 1)) - 1).alias("var_95"),
+        (lowest_mean("wealth", F.greatest(F.lit(1), worst)) - 1).alias("cvar_95"), F.max("size").alias("n_paths"))
