@@ -47,7 +47,7 @@ _RC = """rc AS (SELECT portfolio, symbol, weight, mu, sw / sqrt(var) AS mctr, we
 
 
 @query("j4_risk_contribution", sql(f"""WITH {_STATS}, {_RC} SELECT portfolio, symbol, #weight# AS weight, #mctr# AS mctr, #rc# AS risk_contribution,
-    #pct# AS pct_contribution, row_number() OVER (PARTITION BY portfolio ORDER BY abs(rc) DESC, symbol) AS rank FROM rc"""))
+    #pct# AS pct_contribution, row_number() OVER (PARTITION BY portfolio ORDER BY abs(rc) DESC, symbol)::INT AS rank FROM rc"""))
 def _(spark, sf):
     return r6(O.risk_contributions(P.books(spark, sf), cov(spark, sf)), "portfolio", "symbol", "rank")
 
@@ -118,7 +118,7 @@ def _attribution(spark, sf):
 
 
 @query("j13_attribution", sql(f"""WITH {_ATTR} SELECT portfolio, symbol, #weight# AS weight, #ar# AS asset_return, #c# AS contribution, #pr_# AS portfolio_return,
-    #c / pr_# AS pct_contribution, row_number() OVER (PARTITION BY portfolio ORDER BY c DESC, symbol) AS rank FROM att"""))
+    #c / pr_# AS pct_contribution, row_number() OVER (PARTITION BY portfolio ORDER BY c DESC, symbol)::INT AS rank FROM att"""))
 def _(spark, sf):
     return r6(_attribution(spark, sf).drop("rank_from_bottom"), "portfolio", "symbol", "rank")
 

@@ -7,7 +7,7 @@ SYMBOL_META = (
 )
 PORTFOLIO_CONFIG = "sector_classification MAP<STRING, ARRAY<STRING>>"
 CANDLE_EVENT = (
-    "e STRING, E BIGINT, s STRING, k STRUCT<t: BIGINT, s: STRING, o: STRING, h: STRING, l: STRING, c: STRING, "
+    "e STRING, s STRING, k STRUCT<t: BIGINT, s: STRING, o: STRING, h: STRING, l: STRING, c: STRING, "
     "v: STRING, x: BOOLEAN>"
 )
 DEPTH_BODY = "bids ARRAY<ARRAY<STRING>>, asks ARRAY<ARRAY<STRING>>"
