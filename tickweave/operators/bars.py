@@ -54,13 +54,11 @@ def parse_candle_array(df: DataFrame, json: str = "payload", daily: bool = True)
 
 def ticker_snapshot(df: DataFrame, symbols: list[str], json: str = "payload") -> DataFrame:
     """Latest ticker per requested symbol with percent change over the previous price."""
-    t = F.from_json(F.col(json), "symbol STRING, last STRING, prev STRING, high STRING, low STRING, vol STRING")
-    rows = df.select("ts", t.alias("t")).filter(F.col("t.symbol").isin(*symbols))
-    newest = rows.groupBy(F.col("t.symbol").alias("symbol")).agg(F.max_by("t", "ts").alias("t"))
-    last, prev = F.col("t.last").cast("double"), F.col("t.prev").cast("double")
-    change = F.when(prev > 0, F.round((last / prev - 1) * 100, 2)).otherwise(F.lit(0.0))
-    return newest.select(
-        "symbol", last.alias("price"), change.alias("change_pct"),
-        F.col("t.high").cast("double").alias("high"), F.col("t.low").cast("double").alias("low"),
-        F.col("t.vol").cast("double").alias("volume"),
-    )
+    fields = "symbol STRING, last STRING, prev STRING, high STRING, low STRING, vol STRING"
+    rows = df.select("ts", F.inline(F.array(F.from_json(json, fields)))).filter(F.col("symbol").isin(*symbols))
+    newest = rows.groupBy("symbol").agg(*[
+        F.max_by(F.col(f).cast("double"), "ts").alias(n)
+        for f, n in (("last", "price"), ("prev", "_prev"), ("high", "high"), ("low", "low"), ("vol", "volume"))])
+    prev = F.col("_prev")
+    change = F.when(prev > 0, F.round((F.col("price") / prev - 1) * 100, 2)).otherwise(F.lit(0.0))
+    return newest.select("symbol", "price", change.alias("change_pct"), "high", "low", "volume")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,13 @@ def merge_keep_existing(existing: DataFrame, new: DataFrame, order: str = "seq")
     """Stored bars win over fetched ones, and earlier rows (by ``order``) over later ones of the same kind.
 
     Copies of one bar are folded by a hash aggregation with map-side partials, so a bar that was sent a
-    million times does not reach one task. ``order`` must be unique within a side.
+    million times does not reach one task. ``order`` must be unique within a side, and values are doubles.
     """
     values = [c for c in existing.columns if c not in ("symbol", "ts", order)]
-    rank = F.struct("_side", order)
-    both = existing.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    first = both.groupBy("symbol", "ts").agg(F.min_by(F.struct(*values), rank).alias("_v"))
-    return first.select("symbol", "ts", "_v.*")
+    side = F.lit(Decimal(10**19))
+    rank = (F.col("_side") * side + F.col(order).cast("decimal(19,0)")).cast("decimal(38,0)")
+    both = existing.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1))).withColumn("_rank", rank)
+    return both.groupBy("symbol", "ts").agg(*[F.min_by(v, "_rank").alias(v) for v in values])
 
 
 def reread_overlap(stored: DataFrame, source: DataFrame, now: str, overlap_days: int = 5) -> DataFrame:

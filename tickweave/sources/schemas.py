@@ -10,5 +10,7 @@ CANDLE_EVENT = (
     "e STRING, s STRING, k STRUCT<t: BIGINT, s: STRING, o: STRING, h: STRING, l: STRING, c: STRING, "
     "v: STRING, x: BOOLEAN>"
 )
-DEPTH_BODY = "bids ARRAY<ARRAY<STRING>>, asks ARRAY<ARRAY<STRING>>"
-DEPTH_EVENT = f"stream STRING, E BIGINT, data STRUCT<bids: ARRAY<ARRAY<STRING>>, asks: ARRAY<ARRAY<STRING>>>, {DEPTH_BODY}"
+DEPTH_EVENT = (
+    "stream STRING, s STRING, E BIGINT, data STRUCT<bids: ARRAY<ARRAY<STRING>>, asks: ARRAY<ARRAY<STRING>>>, "
+    "bids ARRAY<ARRAY<STRING>>, asks ARRAY<ARRAY<STRING>>"
+)

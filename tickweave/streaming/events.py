@@ -27,12 +27,17 @@ def file_source(spark: SparkSession, path: str, files_per_trigger: int | None =
     return r.load(path)
 
 
+def _parsed(events: DataFrame, value: str, schema: str) -> DataFrame:
+    """The fields of a JSON column. Going through ``inline`` keeps later filters from parsing the text again."""
+    return events.select(F.inline(F.array(F.from_json(value, schema))))
+
+
 def parse_candles(events: DataFrame, value: str = "value") -> DataFrame:
     """Closed candles as bars; other events and open candles are dropped."""
-    d = events.select(F.from_json(value, CANDLE_EVENT).alias("j"))
-    k = F.col("j.k")
+    d = _parsed(events, value, CANDLE_EVENT)
+    k = F.col("k")
     ts = F.timestamp_millis(k["t"])
-    return d.filter((F.col("j.e") == "kline") & k["x"]).select(
+    return d.filter((F.col("e") == "kline") & k["x"]).select(
         k["s"].alias("symbol"), ts.alias("ts"), F.date_format(ts, "yyyy-MM-dd").alias("timestamp"),
         *[k[f].cast("double").alias(n) for f, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)])
 
@@ -46,13 +51,12 @@ def parse_depth(events: DataFrame, value: str = "value") -> DataFrame:
 
     Wrapped events name the symbol in ``stream`` and carry the book in ``data``.
     """
-    d = events.select(
-        F.from_json(value, DEPTH_EVENT).alias("j"), F.get_json_object(value, "$.s").alias("s"))
-    wrapped = F.col("j.stream").isNotNull()
+    d = _parsed(events, value, DEPTH_EVENT)
+    wrapped = F.col("stream").isNotNull()
     d = d.select(
-        F.when(wrapped, F.upper(F.element_at(F.split("j.stream", "@"), 1))).otherwise(F.coalesce("s", F.lit("UNKNOWN"))).alias("symbol"),
-        F.timestamp_millis("j.E").alias("ts"), F.when(wrapped, F.col("j.data.bids")).otherwise(F.col("j.bids")).alias("bids"),
-        F.when(wrapped, F.col("j.data.asks")).otherwise(F.col("j.asks")).alias("asks"),
+        F.when(wrapped, F.upper(F.element_at(F.split("stream", "@"), 1))).otherwise(F.coalesce("s", F.lit("UNKNOWN"))).alias("symbol"),
+        F.timestamp_millis("E").alias("ts"), F.when(wrapped, F.col("data.bids")).otherwise(F.col("bids")).alias("bids"),
+        F.when(wrapped, F.col("data.asks")).otherwise(F.col("asks")).alias("asks"),
     ).filter((F.size("bids") > 0) & (F.size("asks") > 0))
     bid, ask = F.get(F.get("bids", F.lit(0)), F.lit(0)).cast("double"), F.get(F.get("asks", F.lit(0)), F.lit(0)).cast("double")
     return d.select(
