@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import log_return, simple_return
@@ -60,4 +60,4 @@ def outer_weights(current: DataFrame, target: DataFrame) -> DataFrame:
 def renormalised(weights: DataFrame, universe: DataFrame) -> DataFrame:
     """Weights of the symbols in ``universe``, scaled to sum to 1."""
     kept = weights.join(universe.select("symbol").distinct(), "symbol", "left_semi")
-    return kept.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
+    return kept.withColumn("weight", F.col("weight") / kept.agg(F.sum("weight")).scalar())

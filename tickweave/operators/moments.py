@@ -33,10 +33,15 @@ def covariance(returns: DataFrame, periods: int) -> DataFrame:
     return _matrix(symbol_pairs(returns, ordered=False), F.covar_samp("x_a", "x_b") * periods)
 
 
+def pair_correlation() -> Column:
+    """Sample correlation of x_a and x_b as an aggregate that gives 0 for a side that does not vary."""
+    both = F.stddev_pop("x_a") * F.stddev_pop("x_b")
+    return guarded_ratio(F.covar_pop("x_a", "x_b"), both)
+
+
 def correlation(returns: DataFrame) -> DataFrame:
     """Sample correlations: diagonal 1, and 0 where a symbol does not vary."""
-    flat = (F.stddev_samp("x_a") == 0) | (F.stddev_samp("x_b") == 0)
-    out = _matrix(symbol_pairs(returns, ordered=False), F.when(flat, F.lit(0.0)).otherwise(F.corr("x_a", "x_b")))
+    out = _matrix(symbol_pairs(returns, ordered=False), pair_correlation())
     return out.withColumn("value", F.when(F.col("symbol_row") == F.col("symbol_col"), 1.0).otherwise(F.col("value")))
 
 

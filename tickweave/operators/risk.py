@@ -142,10 +142,10 @@ def histogram(r: DataFrame, bins: int = 40, key: str = "symbol", value: str = "s
     return r.join(span, key).select(key, F.least(at, F.lit(bins - 1)).alias("bin")).groupBy(key, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def median(df: DataFrame, value: str, key: str = "symbol", width: float = 1e-3) -> DataFrame:
+def median(df: DataFrame, value: str, key: str = "symbol") -> DataFrame:
     n = F.col("size")
     mid = (nth(value, F.floor((n - 1) / 2)) + nth(value, F.floor(n / 2))) / 2
-    return value_ladder(df, value, key=(key,), width=width).groupBy(key).agg(mid.alias("median"))
+    return value_ladder(df, value, key=(key,)).groupBy(key).agg(mid.alias("median"))
 
 
 def compounded_drawdown(r: DataFrame, key: str = "symbol") -> DataFrame:

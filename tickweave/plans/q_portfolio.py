@@ -132,7 +132,7 @@ def _(spark, sf):
 
 _DRIFT = """g AS (SELECT symbol, pos AS period, weight, weight * product(1 + r) OVER (PARTITION BY symbol ORDER BY pos) AS v FROM ret JOIN tw USING (symbol)
       UNION ALL SELECT symbol, 0, weight, weight FROM tw),
-    dw AS (SELECT symbol, period, weight, v / sum(v) OVER (PARTITION BY period) AS w FROM g),
+    dw AS (SELECT symbol, period, weight, CASE WHEN sum(v) OVER (PARTITION BY period) > 0 THEN v / sum(v) OVER (PARTITION BY period) ELSE 0 END AS w FROM g),
     dv AS (SELECT period, sqrt(sum((w - weight) ** 2)) AS te, max(abs(w - weight)) AS md FROM dw GROUP BY 1)"""
 
 

@@ -17,9 +17,8 @@ def silver_bundle(returns: DataFrame, periods: int) -> DataFrame:
         F.when(F.col("metric") == "mean_return", "mean").otherwise("volatility").alias("metric"),
         F.col("symbol").alias("symbol_row"), F.lit("").alias("symbol_col"), "value")
     pairs = M.symbol_pairs(returns, ordered=False).groupBy("symbol_a", "symbol_b").agg(
-        (F.covar_samp("x_a", "x_b") * periods).alias("covariance"), F.corr("x_a", "x_b").alias("_c"),
-        F.stddev_samp("x_a").alias("_sa"), F.stddev_samp("x_b").alias("_sb"))
-    corr = F.when(F.col("symbol_a") == F.col("symbol_b"), 1.0).when((F.col("_sa") == 0) | (F.col("_sb") == 0), 0.0).otherwise(F.col("_c"))
+        (F.covar_samp("x_a", "x_b") * periods).alias("covariance"), M.pair_correlation().alias("_c"))
+    corr = F.when(F.col("symbol_a") == F.col("symbol_b"), 1.0).otherwise(F.col("_c"))
     matrices = pairs.withColumn("correlation", corr).unpivot(
         ["symbol_a", "symbol_b"], ["covariance", "correlation"], "metric", "value"
     ).select("metric", F.col("symbol_a").alias("symbol_row"), F.col("symbol_b").alias("symbol_col"), "value")

@@ -31,7 +31,7 @@ def number_rows(
 ) -> DataFrame:
     """1-based position of each row inside its key; ``slice_by`` must rise with ``order``."""
     k = list(key)
-    sliced = df.withColumn("_slice", F.year("ts") if slice_by is None else slice_by)
+    sliced = df.withColumn("_slice", F.year("ts") * 12 + F.month("ts") if slice_by is None else slice_by)
     before = Window.partitionBy(*k).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*k, "_slice")
@@ -145,42 +145,55 @@ def smoothed(
     return spread.filter("_own = _home").drop("_own", "_home", "_age", *[f"_x_{out}" for out in values])
 
 
-def wealth(df: DataFrame, growth: Column, *, key: Sequence[str] = ("symbol",), pos: str = "pos") -> DataFrame:
+def wealth(
+    df: DataFrame, growth: Column, *, key: Sequence[str] = ("symbol",), pos: str = "pos", block: int = BLOCK
+) -> DataFrame:
     """Add ``value``, the running product of ``growth`` from 1, and ``peak``, its running maximum from 1.
 
-    Per block the product and the highest inner value are enough to continue both in the next block.
+    Per block the product and the extreme inner values are enough to continue both in the next block; the
+    lowest counts too because a growth factor may be negative.
     """
     k = list(key)
-    d = df.withColumn("_slice", _block(pos, BLOCK)).withColumn("_g", growth)
+    d = df.withColumn("_slice", _block(pos, block)).withColumn("_g", growth)
     inside = Window.partitionBy(*k, "_slice").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_v", F.product("_g").over(inside)).withColumn("_m", F.max("_v").over(inside))
-    blocks = d.groupBy(*k, "_slice").agg(F.product("_g").alias("_p"), F.max("_v").alias("_top"))
+    d = d.withColumn("_v", F.product("_g").over(inside))
+    d = d.select("*", F.max("_v").over(inside).alias("_m"), F.min("_v").over(inside).alias("_l"))
+    blocks = d.groupBy(*k, "_slice").agg(F.product("_g").alias("_p"), F.max("_v").alias("_top"), F.min("_v").alias("_low"))
     before = Window.partitionBy(*k).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_from", F.coalesce(F.product("_p").over(before), F.lit(1.0)))
-    blocks = blocks.withColumn("_high", F.greatest(F.lit(1.0), F.max(F.col("_from") * F.col("_top")).over(before)))
+
+    def highest(top: str, low: str) -> Column:
+        return F.greatest(F.col("_from") * F.col(top), F.col("_from") * F.col(low))
+
+    blocks = blocks.withColumn("_high", F.greatest(F.lit(1.0), F.max(highest("_top", "_low")).over(before)))
     d = d.join(blocks.select(*k, "_slice", "_from", "_high"), [*k, "_slice"])
     return (
         d.withColumn("value", F.col("_from") * F.col("_v"))
-        .withColumn("peak", F.greatest(F.col("_high"), F.col("_from") * F.col("_m")))
-        .drop("_slice", "_g", "_v", "_m", "_from", "_high")
+        .withColumn("peak", F.greatest(F.col("_high"), highest("_m", "_l")))
+        .drop("_slice", "_g", "_v", "_m", "_l", "_from", "_high")
     )
 
 
-def value_ladder(df: DataFrame, value: str, *, key: Sequence[str] = ("symbol",), width: float = 1e-3) -> DataFrame:
+def value_ladder(df: DataFrame, value: str, *, key: Sequence[str] = ("symbol",), slices: int = 64) -> DataFrame:
     """Distinct values per key with their count ``n`` and how many rows are at or below them (``upto``).
 
-    Equal values are merged before the ordering, and the ordering is cut into value slices of ``width``, so
-    neither a hot key nor a hot value lands in one task. ``size`` is the key's row count.
+    Equal values are merged before the ordering, and the ordering is cut into ``slices`` per standard
+    deviation of the key, so neither a hot key nor a hot value lands in one task. ``size`` is the key's row
+    count.
     """
     k = list(key)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*k, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_slice", F.floor(F.col(value) / width))
+    v, n = F.col(value), F.col("n")
+    mean = F.sum(v * n) / F.sum("n")
+    spread = counts.groupBy(*k).agg(mean.alias("_m"), F.sqrt(F.greatest(F.lit(0.0), F.sum(v * v * n) / F.sum("n") - mean * mean)).alias("_sd"))
+    at = F.when(F.col("_sd") > 0, F.floor((v - F.col("_m")) / F.col("_sd") * slices)).otherwise(F.lit(0))
+    sliced = counts.join(spread, k).withColumn("_slice", at).drop("_m", "_sd")
     whole = Window.partitionBy(*k)
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = counts.groupBy(*k, "_slice").agg(F.sum("n").alias("_n")).select(
+    totals = sliced.groupBy(*k, "_slice").agg(F.sum("n").alias("_n")).select(
         *k, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("size"))
     inside = Window.partitionBy(*k, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ladder = counts.withColumn("_upto", F.sum("n").over(inside)).join(slices, [*k, "_slice"])
+    ladder = sliced.withColumn("_upto", F.sum("n").over(inside)).join(totals, [*k, "_slice"])
     return ladder.select(*k, value, "n", (F.col("_before") + F.col("_upto")).alias("upto"), "size")
 
 
