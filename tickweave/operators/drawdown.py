@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,24 +18,33 @@ def drawdown(curve: DataFrame, value: str = "close", key: str = "symbol") -> Dat
 def drawdown_periods(dd: DataFrame, key: str = "symbol") -> DataFrame:
     """One row per stretch below the peak.
 
-    Each row at the peak opens an island that also holds the rows below it until the next peak, so an island
-    is (peak, island number) and folds by hash aggregation; the row that ends a stretch is the peak of the
-    next island. Indexes count from 0.
+    Each row at the peak opens an island that also holds the rows below it until the next peak, and it ends
+    the island before. So a peak row is sent to both islands, and everything about a stretch is one hash
+    aggregation by (key, island). Indexes count from 0.
     """
     d = running(dd, {"island": ("sum", F.when(F.col("drawdown") < 0, 0).otherwise(1))}, key=(key,))
     below = F.col("drawdown") < 0
-    idx = F.col("pos") - 1
-    isl = d.groupBy(key, "island").agg(
-        F.min(F.when(below, idx)).alias("start_idx"), F.max(F.when(below, idx)).alias("end_idx"),
-        F.min(F.when(below, F.col("ts"))).alias("start_ts"), F.max(F.when(below, F.col("ts"))).alias("end_ts"),
-        F.min("drawdown").alias("max_drawdown"),
-        F.max(F.when(~below, idx)).alias("_peak_idx"), F.max(F.when(~below, F.col("ts"))).alias("_peak_ts"),
-    )
-    deepest = isl.select(key, "island", F.col("max_drawdown").alias("_low"))
-    trough = d.filter(below).join(deepest, [key, "island"]).filter("drawdown = _low").groupBy(key, "island").agg(
-        F.min(idx).alias("trough_idx"), F.min("ts").alias("trough_ts"))
-    after = isl.select(key, (F.col("island") - 1).alias("island"), F.col("_peak_idx").alias("recovery_idx"), F.col("_peak_ts").alias("recovery_ts"))
-    out = isl.filter("start_idx is not null").join(trough, [key, "island"]).join(after, [key, "island"], "left")
+    home = F.struct(F.col("island").alias("island"), F.lit(False).alias("ends"))
+    previous = F.struct((F.col("island") - 1).alias("island"), F.lit(True).alias("ends"))
+    d = d.select(key, "ts", (F.col("pos") - 1).alias("idx"), "drawdown",
+                 F.explode(F.when(below, F.array(home)).otherwise(F.array(home, previous))).alias("_i"))
+    d = d.select(key, "ts", "idx", "drawdown", "_i.island", "_i.ends")
+    # depth, then position, as one number: drawdowns have 8 places
+    depth = (F.round(F.col("drawdown") * 1e8).cast("decimal(12,0)") * F.lit(Decimal(10**19)) + F.col("idx").cast("decimal(19,0)")).cast("decimal(38,0)")
+
+    def inside(column: str):
+        return F.when(below, F.col(column))
+
+    def end(column: str):
+        return F.max(F.when(F.col("ends"), F.col(column)))
+
+    out = d.groupBy(key, "island").agg(
+        F.min(inside("idx")).alias("start_idx"), F.max(inside("idx")).alias("end_idx"),
+        F.min_by("idx", F.when(below, depth)).alias("trough_idx"),
+        F.min(inside("ts")).alias("start_ts"), F.max(inside("ts")).alias("end_ts"),
+        F.min_by("ts", F.when(below, depth)).alias("trough_ts"), F.min("drawdown").alias("max_drawdown"),
+        end("idx").alias("recovery_idx"), end("ts").alias("recovery_ts"),
+    ).filter("start_idx is not null")
     return out.select(
         key, "start_idx", "end_idx", "trough_idx", "start_ts", "end_ts", "trough_ts", "max_drawdown",
         (F.col("end_idx") - F.col("start_idx") + 1).alias("duration"), F.col("recovery_idx").isNotNull().alias("recovered"),

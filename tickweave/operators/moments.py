@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guarded_ratio
+from ..session import reuse
 from ..timeline import trailing
 from .align import symbol_pairs
 
@@ -57,6 +58,7 @@ def shrunk_covariance(returns: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.count(F.lit(1))
     cov = symbol_pairs(centred, "d", ordered=False).groupBy("symbol_a", "symbol_b").agg(
         n.alias("n"), (F.sum(p) / (n - 1)).alias("s"), F.sum(p).alias("sp"), F.sum(p * p).alias("spp"))
+    cov = reuse(cov)
     var = cov.filter("symbol_a = symbol_b")
     va = var.select("symbol_a", F.col("s").alias("va"))
     vb = var.select("symbol_b", F.col("s").alias("vb"))

@@ -167,7 +167,7 @@ def regimes(bars: DataFrame, short: int = 20, long: int = 50, vol_window: int =
     t = recent.groupBy("symbol", "n_periods").agg(tail(short).alias("short_sma"), tail(long).alias("long_sma"), F.max_by("close", "pos").alias("_price"))
     vols = trailing(r, vol_window - 1, lambda w: {"_v": F.stddev_samp("r").over(w.rowsBetween(-(vol_window - 1), 0)) * periods**0.5})
     mid = median(vols.filter(F.col("pos") >= vol_window), "_v").withColumnRenamed("median", "median_vol")
-    now = realised_volatility(r, vol_window, periods).withColumnRenamed("volatility", "current_vol")
+    now = vols.groupBy("symbol").agg(F.coalesce(F.max_by("_v", "pos"), F.lit(0.0)).alias("current_vol"))
     d = t.join(now, "symbol", "left").join(mid, "symbol", "left")
     known = F.col("n_periods") >= long
     d = d.withColumn("median_vol", F.coalesce("median_vol", "current_vol"))

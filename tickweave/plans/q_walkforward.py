@@ -125,20 +125,21 @@ _WTS = f"""{_MOM}, {_parts('window_id', 'wm', 'wc')},
       UNION ALL SELECT window_id, 'benchmark', 'EUROPE', 1.0 FROM win)"""
 
 
-def weights(spark, sf):
-    def build(sp, d):
-        m, c = moments(sp, d)
-        out = K.grid_weights(m, c, K_SYMBOLS, UNITS, STRATEGIES)
-        for rule in ("equal_weight", "inverse_volatility"):
-            out = out.unionByName(K.rule_weights(m, rule))
-        return out.unionByName(K.benchmark_weights(m, "EURO"))
+def build_weights(spark, sf):
+    m, c = moments(spark, sf)
+    out = K.grid_weights(m, c, K_SYMBOLS, UNITS, STRATEGIES)
+    for rule in ("equal_weight", "inverse_volatility"):
+        out = out.unionByName(K.rule_weights(m, rule))
+    return out.unionByName(K.benchmark_weights(m, "EURO"))
+
 
-    return P.lake(spark, sf, "window_weights", build)
+def weights(spark, sf):
+    return P.lake(spark, sf, "window_weights", build_weights)
 
 
 @query("k3_window_weights", sql(f"WITH {_WTS} SELECT window_id, strategy, symbol, #weight# AS weight FROM wt"))
 def _(spark, sf):
-    return r6(weights(spark, sf), "window_id", "strategy", "symbol")
+    return r6(build_weights(spark, sf), "window_id", "strategy", "symbol")
 
 
 _OOS = f"""{_WTS}, oos AS (SELECT strategy, window_id, ts, pos, sum(weight * r) AS r FROM silver JOIN win ON pos > window_id * {TEST} + {TRAIN} + 1
@@ -146,13 +147,17 @@ _OOS = f"""{_WTS}, oos AS (SELECT strategy, window_id, ts, pos, sum(weight * r)
     wr AS (SELECT strategy, window_id, sum(r) AS test_return, count(*) AS n_days FROM oos GROUP BY 1, 2)"""
 
 
+def build_daily(spark, sf):
+    return K.out_of_sample(P.silver(spark, sf), weights(spark, sf), TRAIN, TEST)
+
+
 def daily(spark, sf):
-    return P.lake(spark, sf, "out_of_sample", lambda sp, d: K.out_of_sample(P.silver(sp, d), weights(sp, d), TRAIN, TEST))
+    return P.lake(spark, sf, "out_of_sample", build_daily)
 
 
 @query("k4_k5_out_of_sample", sql(f"WITH {_OOS} SELECT strategy, window_id, ts, #r#8# AS r FROM oos"))
 def _(spark, sf):
-    return r6(daily(spark, sf).drop("pos"), "strategy", "window_id", "ts", places=8)
+    return r6(build_daily(spark, sf).drop("pos"), "strategy", "window_id", "ts", places=8)
 
 
 _CURVE = f"""{_OOS}, cv AS (SELECT strategy, ts, pos, r, exp(sum(r) OVER w) AS e FROM oos WINDOW w AS (PARTITION BY strategy ORDER BY ts)),
