@@ -107,7 +107,6 @@ def value_at_risk(r: DataFrame, confidence: float = 0.95, key: str = "symbol") -
     raw = F.floor(F.col("size") * tail)
     index = F.least(F.greatest(raw, F.lit(0)), F.col("size") - 1)
     count = F.least(F.greatest(raw, F.lit(1)), F.col("size"))
-    hist = ladder.groupBy(key).agg((-nth("r", index)).alias("historical_var"), (-lowest_mean("r", count)).alias("historical_cvar"))
     m = r.groupBy(key).agg(
         _n().alias("n_observations"), F.avg("r").alias("_m"), F.stddev_samp("r").alias("_sd"),
         F.skewness("r").alias("_s"), F.kurtosis("r").alias("_k")).filter("n_observations >= 4")
@@ -118,9 +117,10 @@ def value_at_risk(r: DataFrame, confidence: float = 0.95, key: str = "symbol") -
     zc = z + (z * z - 1) * s / 6 + (z * z * z - 3 * z) * k / 24 - (2 * z * z * z - 5 * z) * s * s / 36
     m = m.withColumn("cornish_fisher_var", F.when(F.col("_sd") == 0, -F.col("_m")).otherwise(-(F.col("_m") - zc * F.col("_sd"))))
     beyond = F.col("r") <= -F.col("cornish_fisher_var")
-    tails = ladder.join(m.select(key, "cornish_fisher_var"), key).groupBy(key).agg(
+    ordered = ladder.join(m.select(key, "cornish_fisher_var"), key).groupBy(key).agg(
+        (-nth("r", index)).alias("historical_var"), (-lowest_mean("r", count)).alias("historical_cvar"),
         F.sum(F.when(beyond, F.col("r") * F.col("n"))).alias("_ts"), F.sum(F.when(beyond, F.col("n"))).alias("_tn"))
-    out = m.join(hist, key).join(tails, key)
+    out = m.join(ordered, key)
     out = out.withColumn("cornish_fisher_cvar", F.coalesce(-F.col("_ts") / F.col("_tn"), F.col("cornish_fisher_var")))
     return out.drop("_m", "_sd", "_s", "_k", "_ts", "_tn")
 

@@ -120,6 +120,8 @@ def multi_performance(daily: DataFrame, periods: int, expected: DataFrame | None
 
 
 def win_rate(results: DataFrame, against: str = "equal_weight") -> DataFrame:
+    """Share of windows with a higher return, compared at 6 places so that equal portfolios do not win by noise."""
+    results = results.withColumn("test_return", F.round("test_return", 6))
     base = results.filter(F.col("strategy") == against).select("window_id", F.col("test_return").alias("_b"))
     d = results.filter(F.col("strategy") != against).join(base, "window_id")
     return d.groupBy("strategy").agg(F.avg(F.when(F.col("test_return") > F.col("_b"), 1.0).otherwise(0.0)).alias("win_rate"), F.count(F.lit(1)).alias("n_windows"))

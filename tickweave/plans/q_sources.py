@@ -115,18 +115,18 @@ def segment_index(spark, sf):
 
 
 @query("a7_relational_source", f"""WITH d AS ({_DAILY_SQL}), i AS ({_INDEX_SQL})
-    SELECT index_id, index_name, ts, round(close, 4) AS close, volume FROM d JOIN i USING (index_id)
+    SELECT index_id, index_name, ts, round(close, 6) AS close, volume FROM d JOIN i USING (index_id)
     WHERE ts >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY""")
 def _(spark, sf):
     latest = P.table(spark, sf, "orders").select(F.col("o_orderdate").alias("ts"))
     out = R.index_history(segment_index(spark, sf), segment_daily(spark, sf), latest=latest)
-    return out.select("index_id", "index_name", "ts", rounded("close", 4).alias("close"), "volume")
+    return out.select("index_id", "index_name", "ts", rounded("close").alias("close"), "volume")
 
 
 @query("a8_upsert", f"""WITH d AS ({_DAILY_SQL}),
     u AS (SELECT index_id, CASE WHEN volume > 1 THEN ts ELSE ts + INTERVAL 3650 DAY END AS ts, close + 1 AS close,
           volume * 10 AS volume FROM d WHERE ts >= TIMESTAMP '2001-01-01')
-    SELECT index_id, ts, round(close, 4) AS close, volume FROM (
+    SELECT index_id, ts, round(close, 6) AS close, volume FROM (
       SELECT * FROM u UNION ALL SELECT d.* FROM d WHERE NOT EXISTS (
         SELECT 1 FROM u WHERE u.index_id = d.index_id AND u.ts = d.ts))""")
 def _(spark, sf):
@@ -135,7 +135,7 @@ def _(spark, sf):
     new = daily.filter("ts >= TIMESTAMP_NTZ'2001-01-01'").select(
         "index_id", moved.alias("ts"), (F.col("close") + 1).alias("close"), (F.col("volume") * 10).alias("volume"))
     out = W.upserted(daily, new, ["index_id", "ts"], "volume")
-    return out.withColumn("close", rounded("close", 4))
+    return out.withColumn("close", rounded("close"))
 
 
 @query("a9_matrix_wide", sql("""

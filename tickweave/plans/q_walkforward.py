@@ -199,7 +199,7 @@ def _(spark, sf):
     return r6(K.multi_performance(daily(spark, sf), DAYS, expected), "strategy", "n_periods", "failed", "rank")
 
 
-@query("k10_win_rate", sql(f"""WITH {_OOS} SELECT a.strategy, #avg(CASE WHEN a.test_return > b.test_return THEN 1.0 ELSE 0.0 END)# AS win_rate, count(*) AS n_windows
+@query("k10_win_rate", sql(f"""WITH {_OOS} SELECT a.strategy, #avg(CASE WHEN round(a.test_return, 6) > round(b.test_return, 6) THEN 1.0 ELSE 0.0 END)# AS win_rate, count(*) AS n_windows
     FROM wr a JOIN wr b ON a.window_id = b.window_id AND b.strategy = 'equal_weight' WHERE a.strategy <> 'equal_weight' GROUP BY 1"""))
 def _(spark, sf):
     return r6(K.win_rate(K.window_results(daily(spark, sf))), "strategy", "n_windows")

@@ -180,19 +180,19 @@ def _(spark, sf):
 
 
 @query("e4_index_range_join", f"""WITH d AS ({_DAILY_SQL}), i AS ({_INDEX_SQL})
-    SELECT index_id, index_name, ts, round(close, 4) AS close FROM d JOIN i USING (index_id)
+    SELECT index_id, index_name, ts, round(close, 6) AS close FROM d JOIN i USING (index_id)
     WHERE ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' ORDER BY index_name, ts""")
 def _(spark, sf):
     from ..sources.readers import index_history
     out = index_history(segment_index(spark, sf), segment_daily(spark, sf), "1996-01-01 00:00:00", "1996-12-31 00:00:00")
-    return out.select("index_id", "index_name", "ts", rounded("close", 4).alias("close")).orderBy("index_name", "ts")
+    return out.select("index_id", "index_name", "ts", rounded("close").alias("close")).orderBy("index_name", "ts")
 
 
 @query("e5_recent_comparison", f"""WITH d AS ({_DAILY_SQL})
-    SELECT index_id, ts, round(close, 4) AS close FROM d WHERE ts <= TIMESTAMP '2000-06-30' ORDER BY ts DESC, index_id LIMIT 100""")
+    SELECT index_id, ts, round(close, 6) AS close FROM d WHERE ts <= TIMESTAMP '2000-06-30' ORDER BY ts DESC, index_id LIMIT 100""")
 def _(spark, sf):
     d = segment_daily(spark, sf).filter("ts <= TIMESTAMP_NTZ'2000-06-30'")
-    return d.select("index_id", "ts", rounded("close", 4).alias("close")).orderBy(F.col("ts").desc(), "index_id").limit(100)
+    return d.select("index_id", "ts", rounded("close").alias("close")).orderBy(F.col("ts").desc(), "index_id").limit(100)
 
 
 @query("e6_symbol_pairs", sql("SELECT ts, symbol_a, symbol_b, #x_a# AS r_a, #x_b# AS r_b FROM prs WHERE symbol_a < symbol_b"))
