@@ -72,7 +72,7 @@ def test_wealth_and_peak_cross_blocks(spark, scale):
 @pytest.mark.parametrize(("alpha", "seed", "n"), [(0.9, 3, 1000), (2 / 13, 12, 4200), (1 / 14, 14, 40)])
 def test_smoothed_equals_recursion(spark, alpha, seed, n):
     d = series(spark, {"a": n, "short": seed - 1}, seed=3).withColumnRenamed("want", "pos")
-    got = by_symbol(smoothed(d, {"e": "x"}, alpha, seed), "x", "e")
+    got = by_symbol(smoothed(d, {"e": ("x", alpha, seed), "slow": ("x", 0.001, seed)}).drop("slow"), "x", "e")
     assert all(e is None for _, e in got["short"])
     xs = [x for x, _ in got["a"]]
     e = None

@@ -55,36 +55,52 @@ def moving_average(bars: DataFrame, window: int, full: bool = True) -> DataFrame
     return d.withColumn("sma", _full(window, F.col("sma"))) if full else d
 
 
-def bollinger(bars: DataFrame, window: int = 20, width: float = 2.0) -> DataFrame:
-    def f(w):
-        return w.rowsBetween(-(window - 1), 0)
+def _frame(n: int):
+    return lambda w: w.rowsBetween(-(n - 1), 0)
+
+
+def _band_inputs(w, window: int) -> dict[str, Column]:
+    f = _frame(window)(w)
+    return {"_m": F.avg("close").over(f), "_sd": F.stddev_pop("close").over(f)}
+
 
-    d = trailing(bars, window - 1, lambda w: {"_m": F.avg("close").over(f(w)), "_sd": F.stddev_pop("close").over(f(w))})
-    return (
-        d.withColumn("middle", _full(window, F.col("_m")))
-        .withColumn("upper", _full(window, F.col("_m") + F.col("_sd") * width))
-        .withColumn("lower", _full(window, F.col("_m") - F.col("_sd") * width)).drop("_m", "_sd")
-    )
+def _bands(d: DataFrame, window: int, width: float) -> DataFrame:
+    return d.withColumns({
+        "middle": _full(window, F.col("_m")), "upper": _full(window, F.col("_m") + F.col("_sd") * width),
+        "lower": _full(window, F.col("_m") - F.col("_sd") * width)}).drop("_m", "_sd")
+
+
+def bollinger(bars: DataFrame, window: int = 20, width: float = 2.0) -> DataFrame:
+    return _bands(trailing(bars, window - 1, lambda w: _band_inputs(w, window)), window, width)
 
 
 def ema(bars: DataFrame, window: int, value: str = "close", out: str = "ema", pos: str = "pos") -> DataFrame:
-    return smoothed(bars, {out: value}, 2.0 / (window + 1), window, pos=pos)
+    return smoothed(bars, {out: (value, 2.0 / (window + 1), window)}, pos=pos)
 
 
-def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
-    """Wilder's index: gains and losses smoothed by 1/window after a plain-mean start."""
-    d = trailing(bars, 1, lambda w: {"_d": F.col("close") - F.lag("close").over(w)})
-    d = d.withColumn("_k", F.col("pos") - 1).withColumn("_up", F.when(F.col("_k") > 0, F.greatest(F.col("_d"), F.lit(0.0))))
-    d = d.withColumn("_down", F.when(F.col("_k") > 0, F.greatest(-F.col("_d"), F.lit(0.0))))
-    d = smoothed(d, {"_gain": "_up", "_loss": "_down"}, 1.0 / window, window, pos="_k")
+def _change(w) -> dict[str, Column]:
+    return {"_d": F.col("close") - F.lag("close").over(w)}
+
+
+def _rsi(d: DataFrame, window: int) -> DataFrame:
+    later = F.col("pos") > 1
+    d = d.withColumns({"_k": F.col("pos") - 1, "_up": F.when(later, F.greatest(F.col("_d"), F.lit(0.0))),
+                       "_down": F.when(later, F.greatest(-F.col("_d"), F.lit(0.0)))})
+    d = smoothed(d, {"_gain": ("_up", 1.0 / window, window), "_loss": ("_down", 1.0 / window, window)}, pos="_k")
     x = F.when(F.col("_loss") > 0, 100 - 100 / (1 + F.col("_gain") / F.col("_loss"))).otherwise(100.0)
     return d.withColumn("rsi", F.when(F.col("_gain").isNotNull(), x)).drop("_d", "_k", "_up", "_down", "_gain", "_loss")
 
 
+def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
+    """Wilder's index: gains and losses smoothed by 1/window after a plain-mean start."""
+    return _rsi(trailing(bars, 1, _change), window)
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Difference of two averages and its histogram; the signal line starts on the first differences."""
-    d = ema(ema(bars, fast, out="_f"), slow, out="_s").withColumn("macd", F.col("_f") - F.col("_s"))
-    d = ema(d.withColumn("_k", F.col("pos") - (slow - 1)), signal, value="macd", out="_sig", pos="_k")
+    d = smoothed(bars, {"_f": ("close", 2.0 / (fast + 1), fast), "_s": ("close", 2.0 / (slow + 1), slow)})
+    d = d.withColumns({"macd": F.col("_f") - F.col("_s"), "_k": F.col("pos") - (slow - 1)})
+    d = ema(d, signal, value="macd", out="_sig", pos="_k")
     return d.withColumn("histogram", F.col("macd") - F.col("_sig")).drop("_f", "_s", "_k", "_sig")
 
 
@@ -92,36 +108,51 @@ def _vote(up: Column, down: Column, known: Column) -> Column:
     return F.when(known, F.when(up, BUY).when(down, SELL).otherwise(HOLD))
 
 
-def crossing_signal(bars: DataFrame, short: int = 10, long: int = 30) -> DataFrame:
-    d = trailing(bars, long - 1, lambda w: {
-        "_a": F.avg("close").over(w.rowsBetween(-(short - 1), 0)), "_b": F.avg("close").over(w.rowsBetween(-(long - 1), 0))})
+def _crossing_inputs(w, short: int, long: int) -> dict[str, Column]:
+    return {"_a": F.avg("close").over(_frame(short)(w)), "_b": F.avg("close").over(_frame(long)(w))}
+
+
+def _crossing(d: DataFrame, long: int) -> DataFrame:
     a, b = F.col("_a"), F.col("_b")
     return d.withColumn("sma_signal", _vote(a > b, a < b, F.col("pos") >= long)).drop("_a", "_b")
 
 
-def rsi_signal(bars: DataFrame, window: int = 14, high: float = 70.0, low: float = 30.0) -> DataFrame:
-    d = rsi(bars, window)
+def crossing_signal(bars: DataFrame, short: int = 10, long: int = 30) -> DataFrame:
+    return _crossing(trailing(bars, long - 1, lambda w: _crossing_inputs(w, short, long)), long)
+
+
+def _rsi_vote(d: DataFrame, high: float = 70.0, low: float = 30.0) -> DataFrame:
     return d.withColumn("rsi_signal", _vote(F.col("rsi") <= low, F.col("rsi") >= high, F.col("rsi").isNotNull()))
 
 
+def rsi_signal(bars: DataFrame, window: int = 14, high: float = 70.0, low: float = 30.0) -> DataFrame:
+    return _rsi_vote(rsi(bars, window), high, low)
+
+
 def macd_signal(bars: DataFrame) -> DataFrame:
     d = macd(bars)
     h = F.col("histogram")
     return d.withColumn("macd_signal", _vote(h > 0, h < 0, h.isNotNull()))
 
 
-def bollinger_signal(bars: DataFrame) -> DataFrame:
-    """Breakout reading: above the upper band buys, below the lower band sells."""
-    d = bollinger(bars)
+def _bollinger_vote(d: DataFrame) -> DataFrame:
     c = F.col("close")
     return d.withColumn("bollinger_signal", _vote(c > F.col("upper"), c < F.col("lower"), F.col("upper").isNotNull()))
 
 
+def bollinger_signal(bars: DataFrame) -> DataFrame:
+    """Breakout reading: above the upper band buys, below the lower band sells."""
+    return _bollinger_vote(bollinger(bars))
+
+
 SIGNALS = ("sma_signal", "rsi_signal", "macd_signal", "bollinger_signal")
 
 
-def all_signals(bars: DataFrame) -> DataFrame:
-    return bollinger_signal(macd_signal(rsi_signal(crossing_signal(bars))))
+def all_signals(bars: DataFrame, short: int = 10, long: int = 30, band: int = 20, rsi_window: int = 14) -> DataFrame:
+    """All signals by date; every plain frame comes from one pass over the blocks."""
+    d = trailing(bars, max(long, band) - 1, lambda w: _crossing_inputs(w, short, long) | _band_inputs(w, band) | _change(w))
+    d = _bollinger_vote(_bands(_crossing(d, long), band, 2.0))
+    return macd_signal(_rsi_vote(_rsi(d, rsi_window)))
 
 
 def majority(votes: list[Column]) -> Column:

@@ -112,37 +112,41 @@ def running(
 
 def smoothed(
     df: DataFrame,
-    values: dict[str, str],
-    alpha: float,
-    seed: int,
+    columns: dict[str, tuple[str, float, int]],
     *,
     key: Sequence[str] = ("symbol",),
     pos: str = "pos",
 ) -> DataFrame:
-    """Exponential smoothing ``e = a*x + (1-a)*e'`` of ``{output: input}`` columns, started by the plain mean
+    """Exponential smoothing ``e = a*x + (1-a)*e'`` for ``{output: (input, a, seed)}``, started by the plain mean
     of the first ``seed`` rows; null before.
 
     A smoothed value is a sum over its past with weights that fall by ``1-a`` per row. A block is long enough
-    that the weights of everything before the previous block are under 1e-130, so a row needs its own block
-    and the one before: each block is copied into the next, and the sum is one running window.
+    that the weights of everything before the previous block are under 1e-40, so a row needs its own block
+    and the one before: each block is copied into the next, and the sum is one running window. Columns whose
+    rates differ too much for one block length are done one after the other.
     """
-    keep = 1.0 - alpha
-    block = max(seed, int(300 / -math.log(keep)))
+    fastest = min(1.0 - a for _, a, _ in columns.values())
+    slowest = max(1.0 - a for _, a, _ in columns.values())
+    block = max(*(n for _, _, n in columns.values()), 1, int(300 / -math.log(fastest)))
+    if slowest**block > 1e-40:
+        for out, spec in columns.items():
+            df = smoothed(df, {out: spec}, key=key, pos=pos)
+        return df
     own = _block(pos, block)
     spread = df.withColumn("_own", own).withColumn("_home", F.explode(F.array(own, own + 1)))
     spread = spread.withColumn("_age", F.col(pos) - 1 - (F.col("_home") - 1) * block)
     w = Window.partitionBy(*key, "_home").orderBy(pos)
-    start, past = w.rowsBetween(-(seed - 1), 0), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = F.col(pos)
-    x = {
-        out: F.when(at == seed, F.avg(v).over(start)).when(at > seed, F.col(v) * alpha).otherwise(0.0)
-        for out, v in values.items()
-    }
-    spread = spread.select("*", *[c.alias(f"_x_{out}") for out, c in x.items()])
-    growth = F.pow(F.lit(keep), -F.col("_age"))
-    sums = {out: F.sum(F.col(f"_x_{out}") * growth).over(past) * F.pow(F.lit(keep), F.col("_age")) for out in values}
-    spread = spread.select("*", *[F.when(at >= seed, c).alias(out) for out, c in sums.items()])
-    return spread.filter("_own = _home").drop("_own", "_home", "_age", *[f"_x_{out}" for out in values])
+    inputs, sums = [], []
+    for out, (value, alpha, seed) in columns.items():
+        start = F.avg(value).over(w.rowsBetween(-(seed - 1), 0))
+        inputs.append(F.when(at == seed, start).when(at > seed, F.col(value) * alpha).otherwise(0.0).alias(f"_x_{out}"))
+        keep = F.lit(1.0 - alpha)
+        total = F.sum(F.col(f"_x_{out}") * F.pow(keep, -F.col("_age"))).over(past) * F.pow(keep, F.col("_age"))
+        sums.append(F.when(at >= seed, total).alias(out))
+    spread = spread.select("*", *inputs).select("*", *sums)
+    return spread.filter("_own = _home").drop("_own", "_home", "_age", *[f"_x_{out}" for out in columns])
 
 
 def wealth(
