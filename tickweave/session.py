@@ -46,10 +46,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a frame that one plan reads several times; lost blocks are recomputed from lineage."""
     return df if df.storageLevel.useMemory else df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def write_once(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing a table to the shared folder and reading it back."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
