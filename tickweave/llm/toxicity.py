@@ -1,12 +1,12 @@
 """Operator 2, toxicity: votes of the nearest labelled examples, found exactly in a block-max inverted index.
 
 Examples are at most `examples` labelled rows of each class (those with the smallest hash of doc_id). Terms are words and
-their first 4, 5 and 6 bytes, lower-cased; the index keeps the `terms` terms that stand out most in toxic examples by
-log-likelihood ratio. Vectors are TF-IDF of unit length over those terms. Examples are laid in blocks of alike ones; for
+their first 4 to 8 bytes, lower-cased; of those of whose examples a
+share of `purity` is toxic, the index keeps the `terms` terms that stand out most by log-likelihood ratio. Vectors are TF-IDF of unit length over those terms. Examples are laid in blocks of alike ones; for
 each term and block the index holds the postings and their largest weight. A query takes blocks in falling order of their
 bound (query weights times block maxima) until the bound is below the k-th best cosine: the result is that of a full scan.
 
-The score is the share of toxic votes, each weighted by cosine and by how many labelled rows its example stands for,
+The score is the share of toxic votes, each weighted by the cube of its cosine and by how many labelled rows its example stands for,
 smoothed by the rate of toxic rows among the examples without any term; a text without terms (a null or empty one too) has
 that rate as its score. Without labelled rows of both classes every score is the share of toxic labels, or 0. Evidence: the
 neighbours' doc_id, label and cosine, nearest first, ties by doc_id.
@@ -26,8 +26,12 @@ from .common import small_batches, text_bytes, written
 from .labelled import held_out, training
 from .words import _BASE, _LOWER, _VALUE, _cuts, mix, powers, word_spans
 
-LEADING = (4, 5, 6)
+LEADING = (4, 5, 6, 7, 8)
 BLOCK = 64
+#: Least log-likelihood gain of a term: what chance gives to none of some 100,000 terms.
+GAIN = 12.0
+#: Votes of the rate of texts without terms.
+SMOOTH = 0.05
 
 
 def term_hashes(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +115,8 @@ class Index:
         return best[1], best[0]
 
     def score(self, num: np.ndarray, cos: np.ndarray) -> float:
-        votes = cos * self.stands_for[num]
-        return float((votes[self.label[num] == 1].sum() + 0.5 * self.rate) / (votes.sum() + 0.5))
+        votes = cos**3 * self.stands_for[num]
+        return float((votes[self.label[num] == 1].sum() + SMOOTH * self.rate) / (votes.sum() + SMOOTH))
 
 
 def build(examples: list, terms: np.ndarray, idf: np.ndarray, totals: tuple[int, int], k: int) -> Index:
@@ -141,7 +145,7 @@ def build(examples: list, terms: np.ndarray, idf: np.ndarray, totals: tuple[int,
     return index
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, k: int) -> Index | float:
+def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, purity: float, k: int) -> Index | float:
     """The index, or the share of toxic labels where one class has none. What reaches the driver is bounded by examples * terms."""
     rows = training(labels, "toxic")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
@@ -167,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, k: int)
         F.sum(F.col("label").cast("long")).alias("bad"), F.count("*").alias("all"))
     bad, good = F.col("bad"), F.col("all") - F.col("bad")
     gain = bad * F.log(((bad + 0.5) / (n[1] + 1)) / ((good + 0.5) / (n[0] + 1)))
-    best = df.where((bad >= 3) & (gain > 3 * bad * 0.4)).orderBy(gain.desc(), "term").limit(terms).collect()
+    best = df.where((gain >= GAIN) & (bad / F.col("all") >= purity)).orderBy(gain.desc(), "term").limit(terms).collect()
     best.sort(key=lambda r: r["term"] % (1 << 64))
     hashes = np.array([r["term"] for r in best], np.int64).astype(np.uint64)
     if not len(hashes):
@@ -186,9 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, k: int)
     return build([(r[0], r[1], r[2]) for r in found], hashes, idf, (counts[0], counts[1]), k)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 4096, terms: int = 512, k: int = 10) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 4096, terms: int = 512, purity: float = 0.6,
+             k: int = 10) -> DataFrame:
     """doc_id, text_hash, held_out, score, evidence of each row. labels: doc_id, toxic."""
-    index = train(docs, labels, examples, terms, k)
+    index = train(docs, labels, examples, terms, purity, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
