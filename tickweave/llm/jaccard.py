@@ -7,7 +7,7 @@ Equal sets are one class. In one global order of tokens, two sets that link shar
 `size - ceil(percent * size / 100) + 1` tokens; with `s` more tokens in that prefix they share `s + 1` (s being the smaller
 of the two documents' surplus). Classes with the same prefix and size are one group, and groups are joined instead.
 
-* First join, all groups, tokens in order of hash, surplus 5 % of the size. A token in more than `frequent` classes is
+* First join, all groups, tokens in order of hash, surplus `SURPLUS` percent of the size. A token in more than `frequent` classes is
   frequent. Frequent tokens are left out: if a class has no more of them in its prefix than the surplus of any partner, a
   class it links with shares another token. Buckets of the others hold `frequent` classes at most.
 * Second join, only the classes with more frequent tokens than that (large groups of near copies, and texts made of widely
@@ -36,7 +36,8 @@ from .components import components
 from .words import mix, shingles, word_hashes
 
 ROUNDS = 3
-SMALL = 2_000_000  # rows of 8 bytes up to which a list of ids is broadcast; beyond it is joined by shuffle
+SURPLUS = 4  # percent of the size
+SMALL = 500_000  # rows of at most 40 bytes up to which a list of ids is broadcast (20 MB); beyond it is joined by shuffle
 
 
 def prefix_size(size, percent: int):
@@ -44,7 +45,7 @@ def prefix_size(size, percent: int):
 
 
 def surplus(size, percent: int):
-    return size * 5 // 100 + 1
+    return size * SURPLUS // 100 + 1
 
 
 def sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -98,8 +99,16 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)) & (most >= least(sa, sb, percent))
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """A narrow table, marked for broadcast if its counted rows are few enough; else it is joined by shuffle."""
+    ids = written(ids, "jaccard-ids")
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
+    pairs = written(pairs, "jaccard-checks")
+    full = full.join(bounded(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()), "rep", "left_semi")
     x = full.select(F.col("rep").alias("a"), F.col("size").alias("_sa"), F.col("tokens").alias("_ta"))
     y = full.select(F.col("rep").alias("b"), F.col("size").alias("_sb"), F.col("tokens").alias("_tb"))
     both = pairs.join(x, "a").join(y, "b").withColumn("_n", F.size(F.array_intersect("_ta", "_tb")))
@@ -111,22 +120,20 @@ def ordered(a: Column, b: Column) -> list[Column]:
 
 
 def members_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """rep, size, tokens of the wanted classes, from their texts."""
-    ids = wanted.join(classes.select("rep", "rep_doc"), "rep").select(F.col("rep_doc").alias("doc_id")).distinct()
-    if ids.count() <= SMALL:
-        ids = F.broadcast(ids)
+    """rep, size, tokens of the wanted classes, from their texts; twice for a row that repeats doc_id and text."""
+    keys = bounded(wanted.join(classes.select("rep", "rep_doc", "size", "sig_a", "sig_b"), "rep"))
+    ids = keys.select(F.col("rep_doc").alias("doc_id"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     found = some.mapInArrow(sketcher(words, percent, True), FULL)
-    keys = wanted.join(classes.select("rep", "size", "sig_a", "sig_b"), "rep")
-    return written(found.join(keys, ["size", "sig_a", "sig_b"]).dropDuplicates(["rep"]).select("rep", "size", "tokens"), "jaccard-sets")
+    return written(found.join(keys, ["size", "sig_a", "sig_b"]).select("rep", "size", "tokens"), "jaccard-sets")
 
 
 def by_frequency(full: DataFrame, chosen: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Entries (token, pos, grp, size) and members (grp, rep) of the chosen classes, rarest tokens first."""
     tokens = full.join(chosen, "rep", "left_semi").select("rep", "size", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    rare = tokens.join(shared, "token").groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("few"))
+    rare = tokens.join(shared, "token").groupBy("rep", "size").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("few"))
     alone = F.col("size") - F.size("few")  # tokens no other class has come first
     keep = F.col("size") - F.ceil(percent * F.col("size") / 100) + 1 - alone
     rows = rare.withColumns({"alone": alone, "keep": keep.cast("int")}).where("keep > 0")
@@ -187,17 +194,27 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: i
     groups = classes.groupBy("size", "sig_p").agg(F.min("rep").alias("grp"), F.count("*").alias("n"))
     groups = written(groups, "jaccard-groups")
     heads = sketch.select("row", "prefix").join(groups, F.col("row") == F.col("grp"))
-    entries = heads.select("grp", "size", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = heads.select("grp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.sum("n").alias("c"), F.count("*").alias("g")).where((F.col("g") > 1) | (F.col("c") > frequent))
-    rows = written(entries.join(shared, "token"), "jaccard-shared")
-    spare = F.floor(F.col("size") * percent * 5 / 10000) + 1
-    chosen = rows.where(F.col("c") > frequent).groupBy("grp", "size").agg(F.count("*").alias("k")).where(F.col("k") > spare).select("grp")
+    rows = written(entries.drop("n").join(shared, "token").select("token", "pos", "grp", (F.col("c") > frequent).alias("hot")), "jaccard-shared")
+    rows = rows.join(groups.select("grp", "size"), "grp")
+    spare = F.floor(F.col("size") * percent * SURPLUS / 10000) + 1
+    hot = written(rows.where("hot").groupBy("grp", "size").agg(F.count("*").alias("hot")), "jaccard-hot")
+    chosen = hot.where(F.col("hot") > spare).select("grp")
     in_group = classes.join(groups, ["size", "sig_p"])
     chosen = written(in_group.join(chosen, "grp", "left_semi").select("rep"), "jaccard-chosen")
 
-    x, y = rows.where(F.col("c") <= frequent).alias("x"), rows.where(F.col("c") <= frequent).alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & may_link("x", "y", percent))
-    pairs = pairs.select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
+    x, y = rows.where("not hot").alias("x"), rows.where("not hot").alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp"))
+                   & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")))
+    pairs = pairs.withColumn("ok", may_link("x", "y", percent)).groupBy(
+        F.col("x.grp").alias("g"), F.col("y.grp").alias("h"), F.col("x.size").alias("sg"), F.col("y.size").alias("sh")).agg(
+        F.count("*").alias("common"), F.min("ok").alias("ok")).where("ok")  # every token that linked sets share passes
+    for group in ("g", "h"):
+        pairs = pairs.join(hot.select(F.col("grp").alias(group), F.col("hot").alias("hot_" + group)), group, "left")
+    rest = [F.col(c) - F.least(F.col(c), F.col(c) - F.ceil(percent * F.col(c) / 100) + 2 + F.floor(SURPLUS * F.col(c) / 100)) for c in ("sg", "sh")]
+    most = F.col("common") + F.least(F.coalesce("hot_g", F.lit(0)), F.coalesce("hot_h", F.lit(0))) + F.greatest(*rest)
+    pairs = pairs.withColumn("most", most).where(F.col("most") >= least(F.col("sg"), F.col("sh"), percent)).select("g", "h")
     few = in_group.where(F.col("n") <= frequent)
     a, b = few.select(F.col("grp").alias("g"), F.col("rep").alias("a")), few.select(F.col("grp").alias("h"), F.col("rep").alias("b"))
     across = pairs.join(a, "g").join(b, "h").select(*ordered(F.col("a"), F.col("b")))
