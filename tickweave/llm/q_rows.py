@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, sharding
+from . import exact_dedup, fingerprint, jaccard, mixing, sharding, urls
 from .common import table
 from .registry import query
 
@@ -53,3 +53,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", fingerprint.spelt(F.col("fingerprint")).alias("fingerprint"),
+                        fingerprint.spelt(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the quality of the document of its number."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return urls.url_filter(table(spark, sf_dir, "pages"), labels, RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "template", "group", "bad_share")
