@@ -2,7 +2,8 @@
 
 Examples are at most `examples` labelled rows of each class (those with the smallest hash of doc_id). Terms are words and
 their first 4 to 8 bytes, lower-cased; of those of whose examples a
-share of `purity` is toxic, the index keeps the `terms` terms that stand out most by log-likelihood ratio. Vectors are TF-IDF of unit length over those terms. Examples are laid in blocks of alike ones; for
+share of `purity` is toxic, the `terms` terms that stand out most by log-likelihood ratio are
+taken, less those that a taken term of the same purity starts. Vectors are TF-IDF of unit length over those terms. Examples are laid in blocks of alike ones; for
 each term and block the index holds the postings and their largest weight. A query takes blocks in falling order of their
 bound (query weights times block maxima) until the bound is below the k-th best cosine: the result is that of a full scan.
 
@@ -28,20 +29,27 @@ from .words import _BASE, _LOWER, _VALUE, _cuts, mix, powers, word_spans
 
 LEADING = (4, 5, 6, 7, 8)
 BLOCK = 64
+GROUP = 8  # blocks that are scored together
 #: Least log-likelihood gain of a term: what chance gives to none of some 100,000 terms.
 GAIN = 12.0
 #: Votes of the rate of texts without terms.
 SMOOTH = 0.05
 
 
-def term_hashes(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of all terms of the texts, or of the wanted ones (sorted)."""
+def term_hashes(texts: pa.Array, wanted: np.ndarray | None = None, level: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of all terms of the texts, or of the wanted ones (sorted), or of one level: so many first bytes, 0 whole words."""
+    at, found = term_places(texts, wanted, level)
+    return np.searchsorted(text_bytes(texts)[1], at, side="right") - 1, found
+
+
+def term_places(texts: pa.Array, wanted: np.ndarray | None, level: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(byte at which it starts, hash) of the terms."""
     data, offsets = text_bytes(texts)
     sieve = None
     if wanted is not None:
         sieve = np.zeros(1 << 16, bool)
         sieve[(wanted & np.uint64(0xFFFF)).astype(np.int64)] = True
-    cuts, numbers, found = _cuts(data, offsets), [], []
+    cuts, places, found = _cuts(data, offsets), [], []
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         part = _LOWER[data[lo:hi]]
         if not len(part):
@@ -53,7 +61,7 @@ def term_hashes(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.n
         np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
         size = end - begin
         base, scale = sums[begin], down[begin]
-        for k in (0, *LEADING):
+        for k in (0, *LEADING) if level is None else (level,):
             use = slice(None) if k == 0 else np.flatnonzero(size > k)
             stop = end if k == 0 else begin[use] + k
             n = (size if k == 0 else np.full(len(stop), k)).astype(np.uint64)
@@ -65,19 +73,33 @@ def term_hashes(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.n
                 keep = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                 h, at = h[keep], at[keep]
             found.append(h)
-            numbers.append(np.searchsorted(offsets, at + lo, side="right") - 1)
+            places.append(at + lo)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(numbers), np.concatenate(found)
+    return np.concatenate(places), np.concatenate(found)
+
+
+def nests(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(longer, shorter) for every two wanted terms (sorted hashes) that start at one place."""
+    if not len(wanted):
+        return
+    by_place: dict[int, list[int]] = {}
+    for level in (*LEADING, 0):  # growing length: whole words come last
+        at, h = term_places(texts, wanted, level)
+        for place, term in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+            by_place.setdefault(place, []).append(term)
+    for found in by_place.values():
+        for i, longer in enumerate(found):
+            for shorter in found[:i]:
+                yield longer, shorter
 
 
 @dataclass
 class Index:
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray
-    starts: np.ndarray  # of the postings of each (term, block)
-    place: np.ndarray  # of an example in its block
-    weight: np.ndarray
+    postings: np.ndarray  # weights of BLOCK examples for each term and block that has any; row 0 is empty
+    list_of: np.ndarray  # the row of postings of each term and block
     bound: np.ndarray  # largest weight of each term and block
     ids: np.ndarray
     label: np.ndarray
@@ -96,23 +118,22 @@ class Index:
 
     def nearest(self, term: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above 0."""
-        blocks = self.bound.shape[1]
         bounds = q @ self.bound[term]
-        best = np.zeros(0), np.zeros(0, np.int64)
-        floor = 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < floor - 1e-9:
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        cos, num, floor = np.zeros(0), np.zeros(0, np.int64), 0.0
+        for lo in range(0, len(order), GROUP):
+            some = order[lo : lo + GROUP]
+            if bounds[some[0]] < floor - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term, q, strict=True):
-                lo, hi = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                score[self.place[lo:hi]] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            cos, num = np.concatenate([best[0], score[hit]]), np.concatenate([best[1], hit + b * BLOCK])
+            scores = np.tensordot(q, self.postings[self.list_of[term[:, None], some]], 1)
+            hit = np.flatnonzero(scores.ravel() > max(floor - 1e-9, 0.0))
+            cos = np.concatenate([cos, scores.ravel()[hit]])
+            num = np.concatenate([num, some[hit // BLOCK] * BLOCK + hit % BLOCK])
             top = np.lexsort((self.ids[num], -np.round(cos, 9)))[: self.k]
-            best = cos[top], num[top]
-            floor = best[0][-1] if len(top) == self.k else 0.0
-        return best[1], best[0]
+            cos, num = cos[top], num[top]
+            floor = cos[-1] if len(top) == self.k else 0.0
+        return num, cos
 
     def score(self, num: np.ndarray, cos: np.ndarray) -> float:
         votes = cos**3 * self.stands_for[num]
@@ -122,7 +143,7 @@ class Index:
 def build(examples: list, terms: np.ndarray, idf: np.ndarray, totals: tuple[int, int], k: int) -> Index:
     """examples: (doc_id, label, term hashes with repeats); totals: labelled rows of both classes."""
     ids, label = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples])
-    index = Index(terms, idf, *[np.zeros(0)] * 4, ids, label, np.zeros(0), 0.0, k)
+    index = Index(terms, idf, *[np.zeros(0)] * 3, ids, label, np.zeros(0), 0.0, k)
     number = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
     hashes = np.array([h for e in examples for h in e[2]], np.int64).astype(np.uint64)
     starts, term, weight = index.vectors(number, hashes, len(examples))
@@ -136,10 +157,12 @@ def build(examples: list, terms: np.ndarray, idf: np.ndarray, totals: tuple[int,
     index.ids, index.label, index.stands_for = ids[order], label[order], (stands / stands.min())[order]
     blocks = -(-len(examples) // BLOCK)
     at = rank[np.repeat(np.arange(len(examples)), np.diff(starts))]
-    key = term * blocks + at // BLOCK
-    by = np.lexsort((at, key))
-    index.starts = np.searchsorted(key[by], np.arange(len(terms) * blocks + 1))
-    index.place, index.weight = (at % BLOCK)[by], weight[by]
+    pair, row = np.unique(term * blocks + at // BLOCK, return_inverse=True)
+    index.postings = np.zeros((len(pair) + 1, BLOCK))
+    index.postings[row + 1, at % BLOCK] = weight
+    index.list_of = np.zeros(len(terms) * blocks, np.int32)
+    index.list_of[pair] = np.arange(len(pair)) + 1
+    index.list_of = index.list_of.reshape(len(terms), blocks)
     index.bound = np.zeros((len(terms), blocks))
     np.maximum.at(index.bound, (term, at // BLOCK), weight)
     return index
@@ -157,21 +180,35 @@ def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, purity:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 1 << 20):
-            number, h = term_hashes(b.column("text"))
-            order = np.lexsort((h, number))
-            number, h = number[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (number[1:] != number[:-1]) | (h[1:] != h[:-1])
-            yield pa.RecordBatch.from_arrays([b.column("label").take(pa.array(number[new])), pa.array(h[new].view(np.int64))], ["label", "term"])
+            for k in (0, *LEADING):
+                number, h = term_hashes(b.column("text"), None, k)
+                order = np.lexsort((h, number))
+                number, h = number[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (number[1:] != number[:-1]) | (h[1:] != h[:-1])
+                yield pa.RecordBatch.from_arrays([b.column("label").take(pa.array(number[new])), pa.array(np.full(new.sum(), k), pa.int32()),
+                                                  pa.array(h[new].view(np.int64))], ["label", "level", "term"])
 
     n = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     if len(n) < 2:
         return 1.0 * bool(n.get(1))
-    df = texts.mapInArrow(each, "label int, term long").groupBy("term").agg(
+    df = texts.mapInArrow(each, "label int, level int, term long").groupBy("term").agg(
+        F.min(F.when(F.col("level") > 0, F.col("level")).otherwise(99)).alias("level"),
         F.sum(F.col("label").cast("long")).alias("bad"), F.count("*").alias("all"))
     bad, good = F.col("bad"), F.col("all") - F.col("bad")
     gain = bad * F.log(((bad + 0.5) / (n[1] + 1)) / ((good + 0.5) / (n[0] + 1)))
     best = df.where((gain >= GAIN) & (bad / F.col("all") >= purity)).orderBy(gain.desc(), "term").limit(terms).collect()
+    pure = {r["term"]: r["bad"] / r["all"] for r in best}
+
+    def nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(term, shorter): a kept term that starts a longer one."""
+        for b in small_batches(batches, "text", 1 << 20):
+            pairs = set(nests(b.column("text"), np.array(sorted(t % (1 << 64) for t in pure), np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["term", "shorter"])
+
+    under = texts.mapInArrow(nested, "term long, shorter long").distinct().collect() if best else []
+    vain = {r[0] for r in under if pure[r[1]] >= pure[r[0]] - 0.02}
+    best = [r for r in best if r["term"] not in vain]
     best.sort(key=lambda r: r["term"] % (1 << 64))
     hashes = np.array([r["term"] for r in best], np.int64).astype(np.uint64)
     if not len(hashes):
