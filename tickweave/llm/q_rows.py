@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, jaccard, mixing, sharding, urls
+from . import exact_dedup, fingerprint, jaccard, mixing, passages, pieces, sharding, urls
 from .common import table
 from .registry import query
 
@@ -62,6 +62,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         fingerprint.spelt(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+@query("op9_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -71,3 +76,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return urls.url_filter(table(spark, sf_dir, "pages"), labels, RULES).select(
         "page_id", "host", "path", "rule", "verdict", "template", "group", "bad_share")
+
+
+def model_path() -> str:
+    """The public tokenizer the queries use; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document."""
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(model_path()), k=2)
