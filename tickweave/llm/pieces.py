@@ -123,7 +123,7 @@ def lattice(chars: np.ndarray, begin: np.ndarray, end: np.ndarray, v: Vocabulary
     left = np.repeat(flat_at[1:], size) - place  # characters to the end of the cut
     sieve = np.zeros(1 << 20, bool)
     sieve[(v.hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    froms, lengths, pieces = [], [], []
+    found = []
     covered = np.zeros(len(flat), bool)
     for n in range(1, v.longest + 1):
         at = np.flatnonzero(left >= n)
@@ -133,45 +133,56 @@ def lattice(chars: np.ndarray, begin: np.ndarray, end: np.ndarray, v: Vocabulary
         may = np.flatnonzero(sieve[(h & np.uint64(0xFFFFF)).astype(np.int64)])
         row = np.minimum(np.searchsorted(v.hashes, h[may]), len(v.hashes) - 1)
         hit = v.hashes[row] == h[may]
-        froms.append(at[may[hit]])
-        pieces.append(row[hit])
-        lengths.append(np.full(hit.sum(), n))
+        found.append((n, at[may[hit]], row[hit]))
         if n == 1:
-            covered[froms[0]] = True
+            covered[found[0][1]] = True
     spelt = np.flatnonzero(~covered)
-    froms.append(spelt)
-    pieces.append(-1 - flat[spelt])
-    lengths.append(np.ones(len(spelt), np.int64))
-    fro, length, piece = np.concatenate(froms), np.concatenate(lengths), np.concatenate(pieces)
-    weight = np.where(piece >= 0, v.weights[np.maximum(piece, 0)], 0.0)
-    for i in np.flatnonzero(piece < 0):
-        weight[i] = v.byte_weights[np.frombuffer(spell(int(-1 - piece[i])), np.uint8)].sum()
-    by = np.argsort(fro, kind="stable")
-    fro, length, piece, weight = fro[by], length[by], piece[by], weight[by]
-    node, to = fro + cut[fro], fro + cut[fro] + length
-    beta = np.zeros(len(flat) + len(size))
-    todo = np.argsort(left[fro], kind="stable")  # nodes near the end first
-    levels = np.searchsorted(left[fro][todo], np.arange(1, (size.max() if len(size) else 0) + 2))
+    found.insert(0, (1, spelt, -1 - flat[spelt]))
+    # edges by start node, the longest piece first: mostly the likeliest
+    degree = np.zeros(len(flat) + len(size), np.int64)
+    for _, at, _ in found:
+        degree[at + cut[at]] += 1
+    starts = np.concatenate([[0], np.cumsum(degree)])
+    to, piece, filled = np.empty(starts[-1], np.int64), np.empty(starts[-1], np.int64), starts[:-1].copy()
+    for n, at, row in reversed(found):
+        node = at + cut[at]
+        slot = filled[node]
+        filled[node] = slot + 1
+        to[slot], piece[slot] = node + n, row
+    weight = v.weights[np.maximum(piece, 0)]
+    for char in np.unique(piece[piece < 0]):
+        weight[piece == char] = v.byte_weights[np.frombuffer(spell(int(-1 - char)), np.uint8)].sum()
+    beta = np.zeros(len(degree))
+    height = np.zeros(len(degree), np.int64)
+    height[place + cut] = left
+    small = height.astype(np.uint16) if len(size) and size.max() < 1 << 16 else height
+    todo = np.argsort(small, kind="stable")  # nodes near the end first
+    todo = todo[len(size) :]  # without the ends
+    edges = np.repeat(starts[todo], degree[todo]) + running_index(degree[todo])
+    heads = np.concatenate([[0], np.cumsum(degree[todo])])
+    levels = np.searchsorted(height[todo], np.arange(1, (size.max() if len(size) else 0) + 2))
     for lo, hi in zip(levels, levels[1:], strict=False):
         if lo == hi:
             continue
-        e = todo[lo:hi]
-        heads = np.flatnonzero(np.concatenate([[True], node[e][1:] != node[e][:-1]]))
+        e, head = edges[heads[lo] : heads[hi]], heads[lo:hi] - heads[lo]
         value = weight[e] + beta[to[e]]
-        top = np.maximum.reduceat(value, heads)
-        beta[node[e][heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff([*heads, len(e)]))), heads))
-    starts = np.searchsorted(node, np.arange(len(beta) + 1))
-    logp = np.minimum(weight + beta[to] - beta[node], 0.0)
+        top = np.maximum.reduceat(value, head)
+        value -= np.repeat(top, degree[todo[lo:hi]])
+        beta[todo[lo:hi]] = top + np.log(np.add.reduceat(np.exp(value), head))
+    logp = np.minimum(weight + beta[to] - np.repeat(beta, degree), 0.0)
     p = np.exp(logp)
-    likely = np.argsort(node - 0.5 * p, kind="stable")
-    to, piece, logp, p = to[likely], piece[likely], logp[likely], p[likely]
     total = np.cumsum(p)
-    before = np.concatenate([[0.0], total])[starts[node]]
-    upto = total - before
-    upto[starts[1:][np.diff(starts) > 0] - 1] = 2.0
+    upto = total - np.repeat(np.concatenate([[0.0], total])[starts[:-1]], degree)
+    upto[starts[1:][degree > 0] - 1] = 2.0
     return Lattice(flat_at[:-1] + np.arange(len(size)), size, starts, to, piece, p, upto, np.rint(logp * UNIT).astype(np.int64))
 
 
+def running_index(counts: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each of the counts n, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
 def spell(char: int) -> bytes:
     return b"\xe2\x96\x81" if char == LITERAL else b" " if char == MARK else chr(char).encode("utf-8", "replace")
 
@@ -210,7 +221,7 @@ class Batch:
         net = self.net
         while len(at):
             u = draws(self.keys[self.text[at]], sample, at - self.ends[self.text[at]])
-            edge = net.starts[node]  # the likeliest edge; where the draw lies beyond it, the next ones are tried
+            edge = net.starts[node]  # where the draw lies beyond an edge, the next one is tried
             beyond = np.flatnonzero(u >= net.upto[edge])
             while len(beyond):
                 edge[beyond] += 1
@@ -248,7 +259,7 @@ class Batch:
             for i in np.flatnonzero(branch >= 0):
                 if has[i]:
                     j = np.searchsorted(at, branch[i])
-                    rest[j] = max(0.0, 1 - net.p[list(taken[i, tuple(self.prefix(path, i, branch[i]))])].sum())
+                    rest[j] = max(0.0, 1 - net.p[list(taken[i, self.prefix(path, i, int(branch[i]))])].sum())
             rest[rest < 1e-12] = 0.0
             mass = np.where((rest > 0) & has[text] & (at >= branch[text]), before + np.log(np.maximum(rest, 1e-300)), -np.inf)
             e = -np.log(draws(self.keys[text], s, at - self.ends[text], 7))
@@ -258,10 +269,15 @@ class Batch:
             best = np.full(texts, -np.inf)
             where = np.zeros((texts, 2), np.int64)
             for q, (_, gq, _, fq) in enumerate(pools):
-                for i in np.flatnonzero(fq[1:] > fq[:-1]) if texts else ():
-                    j = fq[i] + int(np.argmax(gq[fq[i] : fq[i + 1]]))
-                    if gq[j] > best[i]:
-                        best[i], where[i] = gq[j], (q, j)
+                some = np.flatnonzero(fq[1:] > fq[:-1])
+                if not len(some):
+                    continue
+                top = np.maximum.reduceat(gq, fq[some])
+                more = top > best[some]
+                holds = np.flatnonzero(gq == np.repeat(top, np.diff(fq)[some]))
+                j = holds[np.searchsorted(holds, fq[some])]
+                best[some[more]] = top[more]
+                where[some[more]] = np.column_stack([np.full(more.sum(), q), j[more]])
             if s == k - 1:
                 break
             has = best > -np.inf
@@ -269,47 +285,35 @@ class Batch:
             value = best
             new = np.full(len(self.chars), -1, np.int64)
             branch = np.full(texts, -1)
-            heads, nodes = [], []
-            for i in ids[has]:
+            rows = ids[has]
+            chars = np.array([pools[q][0][j] for q, j in where[rows]], np.int64)
+            cuts = np.searchsorted(self.begin, chars, side="right") - 1
+            here = net.first[self.cut[cuts]] + chars - self.begin[cuts]
+            until = (net.first + net.size)[self.cut[cuts]]
+            u = draws(self.keys[rows], s + 1, chars - self.ends[rows], 11)
+            picks = np.empty(len(rows), np.int64)
+            for x, (i, c) in enumerate(zip(rows.tolist(), chars.tolist(), strict=True)):
                 q, j = where[i]
-                aq, gq, pq, _ = pools[q]
+                _, gq, pq, _ = pools[q]
                 gq[j] = -np.inf  # taken; what is left of it comes back beside the new path
-                c = int(aq[j])
-                used = taken.setdefault((i, tuple(self.prefix(pq, i, c))), {int(pq[c])})
-                old = int(pq[c])
-                lo, hi = int(net.starts[self.node_of(c, pq)]), int(net.starts[self.node_of(c, pq) + 1])
-                free = [x for x in range(lo, hi) if x not in used]
-                p = net.p[free]
-                u = float(draws(self.keys[i : i + 1], s + 1, [c - self.ends[i]], 11)[0]) * p.sum()
-                pick = free[min(int(np.searchsorted(np.cumsum(p), u, side="right")), len(free) - 1)]
-                used.add(pick)
+                used = taken.setdefault((i, self.prefix(pq, i, c)), {int(pq[c])})
+                free = [e for e in range(int(net.starts[here[x]]), int(net.starts[here[x] + 1])) if e not in used]
+                sums = np.cumsum(net.p[free])
+                picks[x] = free[min(int(np.searchsorted(sums, u[x] * sums[-1], side="right")), len(free) - 1)]
+                used.add(int(picks[x]))
                 new[self.ends[i] : c] = pq[self.ends[i] : c]
-                new[c] = pick
-                branch[i] = c
-                heads.append(c + int(net.to[pick]) - self.node_of(c, pq))
-                nodes.append(int(net.to[pick]))
-                del old
+            new[chars] = picks
+            branch[rows] = chars
+            reached = net.to[picks]
+            on = np.flatnonzero(reached < until)
             later = np.flatnonzero(has[self.text[self.begin]] & (self.begin > branch[self.text[self.begin]]))
-            stops = [self.stop_of(c) for c in branch[branch >= 0]]
-            on = [x for x in range(len(heads)) if nodes[x] < stops[x]]
-            self.walk(new, np.concatenate([np.array([heads[x] for x in on], np.int64), self.begin[later]]),
-                      np.concatenate([np.array([nodes[x] for x in on], np.int64), net.first[self.cut[later]]]),
-                      np.concatenate([np.array([stops[x] for x in on], np.int64), (net.first + net.size)[self.cut[later]]]), s + 1)
+            self.walk(new, np.concatenate([(chars + reached - here)[on], self.begin[later]]),
+                      np.concatenate([reached[on], net.first[self.cut[later]]]),
+                      np.concatenate([until[on], (net.first + net.size)[self.cut[later]]]), s + 1)
             path = new
         self.kappa = best
         return out
 
-    def occurrence(self, c: int) -> int:
-        return int(np.searchsorted(self.begin, c, side="right")) - 1
-
-    def node_of(self, c: int, path: np.ndarray) -> int:
-        o = self.occurrence(c)
-        return int(self.net.first[self.cut[o]]) + c - int(self.begin[o])
-
-    def stop_of(self, c: int) -> int:
-        o = self.cut[self.occurrence(c)]
-        return int(self.net.first[o] + self.net.size[o])
-
     def prefix(self, path: np.ndarray, i: int, c: int) -> tuple[int, int, int]:
         """Names the prefix of text i's path before character c."""
         part = path[self.ends[i] : c]

@@ -228,18 +228,23 @@ def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, purity:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 4096, terms: int = 512, purity: float = 0.6,
-             k: int = 10) -> DataFrame:
-    """doc_id, text_hash, held_out, score, evidence of each row. labels: doc_id, toxic."""
+             k: int = 10,
+             keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, evidence of each row, and its other columns that `keep` names. labels: doc_id, toxic."""
     index = train(docs, labels, examples, terms, purity, k)
 
+    keep = [c for c in keep if c != "doc_id"]
+    source = docs.select("doc_id", *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)), F.coalesce("text", F.lit("")).alias("scored"))
+    names = source.columns[:-1]
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "scored"):
             scores, evidence = [], []
             if isinstance(index, float):
                 scores, evidence = [index] * b.num_rows, [[]] * b.num_rows
             else:
-                at, term, weight = index.vectors(*term_hashes(b.column("text"), index.terms), b.num_rows)
+                at, term, weight = index.vectors(*term_hashes(b.column("scored"), index.terms), b.num_rows)
                 for lo, hi in zip(at, at[1:], strict=False):
                     if lo == hi:
                         scores.append(index.rate)
@@ -249,10 +254,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 4096, terms: in
                     scores.append(index.score(num, cos))
                     evidence.append([{"doc_id": int(index.ids[i]), "label": int(index.label[i]), "cosine": float(c)} for i, c in zip(num, cos, strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(scores, pa.float64()), pa.array(evidence, kind)],
-                ["doc_id", "text_hash", "score", "evidence"])
+                [*(b.column(c) for c in names), pa.array(scores, pa.float64()), pa.array(evidence, kind)], [*names, "score", "evidence"])
 
-    text = F.coalesce("text", F.lit(""))
-    scored = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
-        run, "doc_id long, text_hash long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
-    return scored.select("doc_id", "text_hash", held_out().alias("held_out"), "score", "evidence")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema[:-1]]
+    scored = source.mapInArrow(run, ", ".join([*fields, "score double, evidence array<struct<doc_id:long,label:int,cosine:double>>"]))
+    return scored.select("doc_id", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), held_out().alias("held_out"), "score", "evidence")
