@@ -16,6 +16,8 @@ empty text: one empty paragraph, no pieces; the likeness of two texts without pi
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,15 @@ def _sum(array: Column, value) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda total, x: total + value(x))
 
 
+def _seeded(k: int, p: Column) -> Column:
+    return F.xxhash64(F.lit(k), p)
+
+
 def vector(text: str) -> Column:
     """The lanes of a text as an array of longs below 2**32: 16 for equality, the number of pieces, and per sign bit the pieces that have it."""
     paragraphs = F.split(F.col(text), "\n")
     pieces = F.transform(F.regexp_extract_all(F.col(text), F.lit(r"[^\n]{1,%d}" % PIECE), F.lit(0)), lambda p: F.xxhash64(p))
-    hashes = [F.transform(paragraphs, lambda p, k=k: F.xxhash64(F.lit(k), p)) for k in range(SEEDS)]
+    hashes = [F.transform(paragraphs, partial(_seeded, k)) for k in range(SEEDS)]
 
     def lanes(h, s):
         equal = [_sum(x, lambda v, r=r: F.shiftrightunsigned(v, r).bitwiseAND(F.lit(LANE))) for x in h for r in (0, 32)]

@@ -2,8 +2,8 @@
 
 Paths are cut into segments. In each host, level by level, a segment becomes a wildcard if it looks like an identifier
 (with a digit) or if its parent has more than `spread` different segments at this level: what is left is a template.
-Branches of one host whose templates have the same shape are merged when their shares of bad pages do not differ
-significantly (a two-sample z test on smoothed shares); the branch's literal segments become wildcards, too. A template is
+Branches of one host whose templates have the same shape are merged, in order of their shares of bad pages, where neighbours
+do not differ significantly (a two-sample z test on smoothed shares). A merged template is
 rejected when its share of bad labelled pages, smoothed by `prior` pages of the overall share, is at least `reject`; pages
 of templates without labels have the overall share.
 
@@ -14,7 +14,7 @@ back is one row per segment or template. Null urls and urls without `://` have a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WILD = "*"
@@ -60,19 +60,21 @@ def generalised(pages: DataFrame, levels: int, spread: int) -> DataFrame:
 
 
 def merged(stats: DataFrame, overall: Column, prior: float, z: float) -> DataFrame:
-    """host, template, group, n, bad: templates of one shape in a host whose shares are alike form a group; its n and bad are summed."""
+    """host, template, group, n, bad: templates of one shape in a host, in order of their share, join the one before if the two are alike.
+
+    A group of several templates is named by their shape and its place in that order; its n and bad are summed.
+    """
     shape = F.transform("template", lambda s: F.lit(WILD))
-    rows = stats.withColumns({"shape": shape, "share": (F.col("bad") + prior * overall) / (F.col("n") + prior)})
-    both = rows.groupBy("host", "shape").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-    rows = rows.join(both, ["host", "shape"])
-    rest_n, rest_bad = F.col("all_n") - F.col("n"), F.col("all_bad") - F.col("bad")
-    rest = (rest_bad + prior * overall) / (rest_n + prior)
-    common = (F.col("all_bad") + 2 * prior * overall) / (F.col("all_n") + 2 * prior)
-    error = F.sqrt(common * (1 - common) * (1 / (F.col("n") + prior) + 1 / (rest_n + prior)))
-    alike = F.abs(F.col("share") - rest) <= z * error
-    rows = rows.withColumn("group", F.when(alike, F.col("shape")).otherwise(F.col("template")))
-    sums = rows.groupBy("host", "group").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    return rows.select("host", "template", "group").join(sums, ["host", "group"])
+    rows = stats.withColumns({"shape": shape, "share": (F.col("bad") + prior * overall) / (F.col("n") + prior), "weight": F.col("n") + prior})
+    line = Window.partitionBy("host", "shape").orderBy("share", "template")
+    last, last_weight = F.lag("share").over(line), F.lag("weight").over(line)
+    common = (F.col("share") * F.col("weight") + last * last_weight) / (F.col("weight") + last_weight)
+    error = F.sqrt(common * (1 - common) * (1 / F.col("weight") + 1 / last_weight))
+    rows = rows.withColumn("new", F.coalesce(F.abs(F.col("share") - last) > z * error, F.lit(False)).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(line))
+    run = Window.partitionBy("host", "shape", "run")
+    group = F.when(F.count("*").over(run) == 1, F.col("template")).otherwise(F.concat("shape", F.array(F.concat(F.lit("~"), F.col("run")))))
+    return rows.select("host", "template", group.alias("group"), F.sum("n").over(run).alias("n"), F.sum("bad").over(run).alias("bad"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], levels: int = 6, spread: int = 32, prior: float = 10.0,
