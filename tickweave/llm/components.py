@@ -8,17 +8,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _checked(links: DataFrame) -> tuple[DataFrame, tuple]:
-    links = written(links, "stars")
-    r = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return links, (r[0], r[1])
-
-
 def _large(links: DataFrame) -> DataFrame:
-    """Each node hands its larger neighbours its smallest neighbour."""
+    """Each node hands its larger neighbours its smallest neighbour; the result may repeat links."""
     both = links.union(links.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(links: DataFrame) -> DataFrame:
@@ -30,9 +24,11 @@ def _small(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node it can reach) of every node on a link; links: a, b. Nodes without links are absent."""
-    now, mark = _checked(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while mark[0]:
-        now, new = _checked(_small(written(_large(now), "stars")))
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    mark = None
+    while True:
+        now = written(_small(_large(now)), "stars")
+        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
         mark = new

@@ -12,8 +12,9 @@ of the two documents' surplus). Classes with the same prefix and size are one gr
   class it links with shares another token. Buckets of the others hold `frequent` classes at most.
 * Second join, only the classes with more frequent tokens than that (large groups of near copies, and texts made of widely
   shared passages): tokens in order of their frequency among these classes, the rarest first. Large buckets are not
-  paired out: in a few rounds each unit (the members of one group in one component so far) is verified against one leader
-  of each of its buckets, and what links becomes one component; then only units of different components are paired.
+  paired out: in ROUNDS rounds each unit (the members of one group in one component so far) is verified against one leader
+  of each of its buckets, and what links becomes one component; then only members of different components are paired, at
+  the first token they share, and if their parity maps do not differ in more bits than the tokens they may not share.
 
 Pairs of groups pass size and position filters; then members are expanded and verified by intersection. Components of the
 links are found by star operations. Every pair that links is verified or lies in one component already.
@@ -35,7 +36,8 @@ from .common import small_batches, written
 from .components import components
 from .words import mix, shingles, word_hashes
 
-ROUNDS = 3
+ROUNDS = 1
+LAST = 16  # tokens before an entry that it carries
 SURPLUS = 4  # percent of the size
 SMALL = 500_000  # rows of at most 40 bytes up to which a list of ids is broadcast (20 MB); beyond it is joined by shuffle
 
@@ -62,7 +64,8 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 SKETCH = "doc_id long, size long, sig_a long, sig_b long, sig_p long, prefix array<long>"
-FULL = "size long, sig_a long, sig_b long, tokens array<long>"
+FULL = "size long, sig_a long, sig_b long, tokens array<long>, bits array<long>"
+BITS = 1024  # of a set's parity map: the bit of each token's hash is flipped
 
 
 def sketcher(words: int, percent: int, whole: bool):
@@ -77,7 +80,9 @@ def sketcher(words: int, percent: int, whole: bool):
             signs = np.array([signature(s) for s in found], np.int64).reshape(-1, 2)
             columns = [pa.array(sizes, pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1])]
             if whole:
-                yield pa.RecordBatch.from_arrays([*columns, lists(found)], ["size", "sig_a", "sig_b", "tokens"])
+                maps = [np.packbits((np.bincount((x.view(np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+                        for x in found]
+                yield pa.RecordBatch.from_arrays([*columns, lists(found), lists(maps)], ["size", "sig_a", "sig_b", "tokens", "bits"])
                 continue
             heads = [s[: prefix_size(len(s), percent) + surplus(len(s), percent)] if len(s) else s for s in found]
             marks = np.array([signature(h)[0] for h in heads], np.int64)
@@ -108,7 +113,8 @@ def bounded(ids: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
     pairs = written(pairs, "jaccard-checks")
-    full = full.join(bounded(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()), "rep", "left_semi")
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    full = full.join(F.broadcast(ids) if 2 * pairs.count() <= SMALL else ids, "rep", "left_semi")
     x = full.select(F.col("rep").alias("a"), F.col("size").alias("_sa"), F.col("tokens").alias("_ta"))
     y = full.select(F.col("rep").alias("b"), F.col("size").alias("_sb"), F.col("tokens").alias("_tb"))
     both = pairs.join(x, "a").join(y, "b").withColumn("_n", F.size(F.array_intersect("_ta", "_tb")))
@@ -120,17 +126,17 @@ def ordered(a: Column, b: Column) -> list[Column]:
 
 
 def members_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """rep, size, tokens of the wanted classes, from their texts; twice for a row that repeats doc_id and text."""
+    """rep, size, tokens, bits of the wanted classes, from their texts; twice for a row that repeats doc_id and text."""
     keys = bounded(wanted.join(classes.select("rep", "rep_doc", "size", "sig_a", "sig_b"), "rep"))
     ids = keys.select(F.col("rep_doc").alias("doc_id"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     found = some.mapInArrow(sketcher(words, percent, True), FULL)
-    return written(found.join(keys, ["size", "sig_a", "sig_b"]).select("rep", "size", "tokens"), "jaccard-sets")
+    return written(found.join(keys, ["size", "sig_a", "sig_b"]).select("rep", "size", "tokens", "bits"), "jaccard-sets")
 
 
 def by_frequency(full: DataFrame, chosen: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Entries (token, pos, grp, size) and members (grp, rep) of the chosen classes, rarest tokens first."""
+    """Entries (token, pos, grp, size, before) and members (grp, rep) of the chosen classes, rarest tokens first; before: the tokens just before."""
     tokens = full.join(chosen, "rep", "left_semi").select("rep", "size", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     rare = tokens.join(shared, "token").groupBy("rep", "size").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("few"))
@@ -141,43 +147,55 @@ def by_frequency(full: DataFrame, chosen: DataFrame, percent: int) -> tuple[Data
     rows = written(rows.withColumn("sig", F.xxhash64("prefix", "alone")).select("rep", "size", "alone", "prefix", "sig"), "jaccard-rare")
     groups = rows.groupBy("size", "sig").agg(F.min("rep").alias("grp"))
     entries = rows.join(groups.select("grp"), rows["rep"] == F.col("grp")).select(
-        "grp", "size", "alone", F.posexplode("prefix").alias("k", "token")).select("token", (F.col("k") + F.col("alone")).alias("pos"), "grp", "size")
+        "grp", "size", "alone", "prefix", F.posexplode("prefix").alias("k", "token"))
+    before = F.slice("prefix", F.greatest(F.col("k") - LAST + 1, F.lit(1)), F.least(F.col("k"), F.lit(LAST)))
+    entries = entries.select("token", (F.col("k") + F.col("alone")).alias("pos"), "grp", "size", before.alias("before"))
     return written(entries, "jaccard-entries"), written(rows.select("size", "sig", "rep").join(groups, ["size", "sig"]).select("grp", "rep"), "jaccard-members")
 
 
+def differ(a: str, b: str) -> Column:
+    """A lower bound of the tokens that two sets do not share: the bits in which their parity maps differ."""
+    bits = [F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))) for i in range(BITS // 64)]
+    return sum(bits[1:], bits[0])
+
+
 def crowded(full: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
-    """All links needed among classes whose tokens are frequent: leaders first, then units of different components."""
+    """All links needed among classes whose tokens are frequent: leaders first, then classes of different components."""
     entries, members = by_frequency(full, chosen, percent)
     links = None
+    if not entries.take(1):
+        return full.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    maps = full.select(F.col("rep").alias("unit"), "bits").dropDuplicates(["unit"])
+    near = may_link("x", "y", percent) & (
+        differ("x", "y") <= F.col("x.size") + F.col("y.size") - 2 * least(F.col("x.size"), F.col("y.size"), percent))
     for step in range(ROUNDS + 1):
         if links is None:
             placed = members.withColumn("comp", F.col("rep"))
         else:
             comp = components(links)
             placed = members.join(comp, members["rep"] == comp["node"], "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"))
-        placed = written(placed, "jaccard-units")
-        units = placed.groupBy("grp", "comp").agg(F.min("rep").alias("unit"))
-        rows = written(entries.join(units, "grp"), "jaccard-rows")
+        if step < ROUNDS:  # one unit stands for the members of a group that are in one component
+            units = placed.groupBy("grp", "comp").agg(F.min("rep").alias("unit"))
+        else:
+            units = placed.select("grp", "comp", F.col("rep").alias("unit"))
+        rows = written(entries.join(units, "grp").join(maps, "unit"), "jaccard-rows")
+        x, y = rows.alias("x"), rows.alias("y")
         if step < ROUNDS:
-            x, turn = rows.alias("x"), F.xxhash64("unit", F.lit(step))
-            first = rows.groupBy("token").agg(F.max(turn).alias("turn"), F.count("*").alias("n")).where("n > 1").select("token", "turn")
-            y = rows.withColumn("turn", turn).join(first, ["token", "turn"]).alias("y")
-            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", percent))
-            pairs = pairs.select(*ordered(F.col("x.unit"), F.col("y.unit"))).distinct()
+            turn = F.xxhash64("unit", "token", F.lit(step))  # another leader in each bucket
+            lead = rows.groupBy("token").agg(F.max(turn).alias("turn"), F.count("*").alias("n")).where("n > 1").select("token", "turn")
+            y = rows.withColumn("turn", turn).join(lead, ["token", "turn"]).alias("y")
+            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & near)
         else:
             spans = rows.groupBy("token", "comp").agg(F.min("size").alias("small"), F.max("size").alias("large"))
             p, q = spans.alias("p"), spans.alias("q")
             meet = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp"))
                           & (100 * F.col("p.large") >= percent * F.col("q.small")) & (100 * F.col("q.large") >= percent * F.col("p.small")))
             meet = meet.select(F.col("p.token").alias("token"), F.col("p.comp").alias("c"), F.col("q.comp").alias("d")).alias("m")
-            x, y = rows.alias("x"), rows.alias("y")
+            # classes that share one of the tokens just before meet there already
+            first = ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
             pairs = (meet.join(x, (F.col("m.token") == F.col("x.token")) & (F.col("m.c") == F.col("x.comp")))
-                     .join(y, (F.col("m.token") == F.col("y.token")) & (F.col("m.d") == F.col("y.comp")) & may_link("x", "y", percent))
-                     .select(F.col("x.grp").alias("g"), F.col("c"), F.col("y.grp").alias("h"), F.col("d")).distinct())
-            u = placed.select(F.col("grp").alias("g"), F.col("comp").alias("c"), F.col("rep").alias("a"))
-            v = placed.select(F.col("grp").alias("h"), F.col("comp").alias("d"), F.col("rep").alias("b"))
-            pairs = pairs.join(u, ["g", "c"]).join(v, ["h", "d"]).select(*ordered(F.col("a"), F.col("b"))).distinct()
-        new = verified(pairs, full, percent)
+                     .join(y, (F.col("m.token") == F.col("y.token")) & (F.col("m.d") == F.col("y.comp")) & near & first))
+        new = verified(pairs.select(*ordered(F.col("x.unit"), F.col("y.unit"))).distinct(), full, percent)
         links = written(new if links is None else links.union(new), "jaccard-links")
     return links
 
