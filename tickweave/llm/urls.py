@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 WILD = "*"
 
 
@@ -42,10 +44,14 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def generalised(pages: DataFrame, levels: int, spread: int) -> DataFrame:
-    """pages with `template`: segments of the path, identifiers and widely varying ones as wildcards. Beyond `levels` all are wildcards."""
+    """pages with `template`: segments of the path, identifiers and widely varying ones as wildcards. Beyond `levels` all are wildcards.
+
+    Each level is written, as the next one reads it twice.
+    """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("segments", segments).withColumn("template", F.array().cast("array<string>"))
-    for level in range(levels):
+    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(min(levels, deepest)):
         here = F.get("segments", F.lit(level))
         named = F.when(here.rlike("[0-9]"), WILD).otherwise(here)
         rows = rows.withColumn("segment", named)
@@ -53,8 +59,8 @@ def generalised(pages: DataFrame, levels: int, spread: int) -> DataFrame:
                 .groupBy("host", "template").agg(F.count("*").alias("kinds")).where(F.col("kinds") > spread)
                 .select("host", "template", F.lit(WILD).alias("wide")))
         rows = rows.join(wide, ["host", "template"], "left")
-        rows = rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(
-            F.concat("template", F.array(F.coalesce("wide", "segment"))))).drop("wide", "segment")
+        rows = written(rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(
+            F.concat("template", F.array(F.coalesce("wide", "segment"))))).drop("wide", "segment"), "url-templates")
     rest = F.greatest(F.size("segments") - levels, F.lit(0))
     return rows.withColumn("template", F.concat("template", F.array_repeat(F.lit(WILD), rest))).drop("segments")
 
