@@ -10,14 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickweave.functions import magnitude_number, percent_number, range_cutoff
-from tickweave.operators import align, allocators, drawdown, grid, lifecycle, moments, pairs, portfolio, quality, risk, signals, walkforward
+from tickweave.operators import align, drawdown, grid, lifecycle, moments, pairs, portfolio, quality, risk, signals, walkforward
 from tickweave.operators.bars import build_bars
 from tickweave.sources import readers, writers
 from tickweave.streaming.jobs import append_new_bars
 
 PRICES = {
-    "BTC": [100, 102, 101, 103, 105, 104, 106, 108, 107, 110], "ETH": [50, 51, 49, 52, 53, 51, 54, 55, 53, 56],
-    "BNB": [10, 10.2, 10.1, 10.3, 10.5, 10.4, 10.6, 10.8, 10.7, 11],
+    "ONE": [71.0, 69.4, 73.1, 73.9, 72.2, 76.8, 75.1, 77.7, 80.3, 78.6], "TWO": [8.1, 8.4, 8.0, 8.9, 8.7, 8.2, 9.3, 9.1, 8.8, 9.6],
+    "SIX": [310.0, 322.5, 305.0, 301.5, 318.0, 333.0, 329.0, 341.0, 352.5, 347.0],
 }
 
 
@@ -45,23 +45,23 @@ def test_moments_match_numpy(rets):
         assert got[s]["mean_return"] == pytest.approx(logs(ps).mean() * 365)
         assert got[s]["volatility"] == pytest.approx(logs(ps).std(ddof=1) * math.sqrt(365))
     cov = {(r["symbol_row"], r["symbol_col"]): r["value"] for r in moments.covariance(rets, 1).collect()}
-    assert cov["BTC", "ETH"] == pytest.approx(np.cov(logs(PRICES["BTC"]), logs(PRICES["ETH"]))[0, 1])
+    assert cov["ONE", "TWO"] == pytest.approx(np.cov(logs(PRICES["ONE"]), logs(PRICES["TWO"]))[0, 1])
     corr = {(r["symbol_row"], r["symbol_col"]): r["value"] for r in moments.correlation(rets).collect()}
     assert len(corr) == 9 and all(corr[s, s] == 1.0 for s in PRICES)
     assert all(corr[a, b] == pytest.approx(corr[b, a]) for a, b in corr)
 
 
 def test_alignment_keeps_common_dates_only(spark):
-    short = dict(PRICES, ETH=PRICES["ETH"][:7])
+    short = dict(PRICES, TWO=PRICES["TWO"][:7])
     assert align.common_dates(bars(spark, short)).groupBy("symbol").count().filter("count <> 7").count() == 0
 
 
 def test_flat_series_has_zero_correlation(spark):
-    d = align.returns_only(align.with_returns(bars(spark, {"A": [5] * 10, "B": PRICES["BTC"]})))
+    d = align.returns_only(align.with_returns(bars(spark, {"A": [5] * 10, "B": PRICES["ONE"]})))
     assert {r["value"] for r in moments.correlation(d).filter("symbol_row <> symbol_col").collect()} == {0.0}
 
 
-VAR_RETURNS = [0.02, -0.03, 0.01, -0.05, 0.04, -0.01, 0.03, -0.02, 0.005, -0.015] * 5
+VAR_RETURNS = [0.013, -0.041, 0.022, -0.006, 0.037, -0.028, 0.009, -0.017, 0.031, -0.002] * 5
 
 
 def test_value_at_risk_by_index(spark):
@@ -116,7 +116,7 @@ def test_cointegrated_pair_is_found(spark):
     assert got["A", "B"]["is_cointegrated"] and len(got) == 3
 
 
-COV = np.array([[0.04, 0.02, 0.01], [0.02, 0.09, 0.015], [0.01, 0.015, 0.0225]])
+COV = np.array([[0.052, 0.011, 0.017], [0.011, 0.083, 0.009], [0.017, 0.009, 0.031]])
 NAMES = ["a", "b", "c"]
 
 
@@ -151,31 +151,45 @@ def test_grid_holds_every_split_once(spark):
         grid.best(g, objectives=["nope"])
 
 
-@pytest.mark.parametrize("name", ["min_variance_closed", "risk_parity_fixed_point", "hrp", "view_tilted"])
-def test_allocators_sum_to_one(name):
-    w = allocators.ALLOCATORS[name](COV, np.array([0.15, 0.2, 0.1]))
-    assert w.sum() == pytest.approx(1.0)
-    if name != "min_variance_closed":
-        assert (w >= 0).all()
-
-
-def test_allocator_properties(spark):
-    w = allocators.risk_parity(COV, np.zeros(3))
-    share = w * (COV @ w)
-    assert share / share.sum() == pytest.approx(np.full(3, 1 / 3), abs=1e-6)
-    m = allocators.minimum_variance(COV, np.zeros(3))
-    assert np.ptp(COV @ m) == pytest.approx(0, abs=1e-12)
-    pick, view = np.array([[1.0, -1.0, 0.0]]), np.array([0.05])
-    pi = np.array([0.1, 0.12, 0.08])
-    tau, omega = 0.05, 0.05 * pick @ COV @ pick.T
-    want = np.linalg.solve(np.linalg.inv(tau * COV) + pick.T @ np.linalg.inv(omega) @ pick, np.linalg.solve(tau * COV, pi) + pick.T @ np.linalg.solve(omega, view))
-    assert allocators.with_views(pi, COV, pick, view) == pytest.approx(want)
-    groups = long_cov(spark).withColumn("g", F.lit(1)).unionByName(long_cov(spark).withColumn("g", F.lit(2)))
-    mu = spark.createDataFrame([(g, n, 0.1) for g in (1, 2) for n in NAMES], "g int, symbol string, mean_return double")
-    allocators.register("broken", lambda c, m_: np.linalg.inv(np.zeros((2, 2))))
-    out = allocators.allocate(mu, groups, ["hrp", "broken"], ["g"])
-    assert out.filter("strategy = 'broken' and error is not null").count() == 6
-    assert out.filter("strategy = 'hrp'").groupBy("g").agg(F.sum("weight").alias("s")).filter("abs(s - 1) > 1e-9").count() == 0
+def test_a_grid_of_another_size_than_the_universe_is_an_error(spark):
+    mu = spark.createDataFrame(list(zip(NAMES, (0.15, 0.2, 0.1), strict=True)), "symbol string, mean_return double")
+    for k in (2, 4):
+        with pytest.raises(Exception, match="the universe has 3 symbols"):
+            grid.candidates(grid.universe(mu, long_cov(spark)), k, 10).collect()
+
+
+def test_infeasible_bounds_are_an_error(spark):
+    names = spark.createDataFrame([(n,) for n in NAMES], "symbol string")
+    assert grid.checked(names, {NAMES[0]: 0.5}, {}).first()["is_feasible"]
+    for low, high in (({NAMES[0]: 0.7, NAMES[1]: 0.6}, {}), ({}, dict.fromkeys(NAMES, 0.2))):
+        with pytest.raises(Exception, match="infeasible bounds"):
+            grid.checked(names, low, high).collect()
+
+
+def test_the_capital_line_touches_the_best_ratio(spark):
+    mu = spark.createDataFrame(list(zip(NAMES, (0.15, 0.2, 0.1), strict=True)), "symbol string, mean_return double")
+    rows = grid.frontier(grid.scored(grid.candidates(grid.universe(mu, long_cov(spark)), 3, 10), 3, 10)).collect()
+    line = {r["name"]: r for r in rows if r["kind"] == "capital_line"}
+    best = next(r for r in rows if r["kind"] == "optimum" and r["name"] == "max_sharpe")
+    slope = (line["end"]["expected_return"] - line["start"]["expected_return"]) / line["end"]["volatility"]
+    assert line["start"]["expected_return"] == pytest.approx(0.05) and line["start"]["volatility"] == 0
+    assert 0.05 + slope * best["volatility"] == pytest.approx(best["expected_return"])
+
+
+def test_repeated_bars_do_not_make_a_date_common(spark):
+    day = [datetime(2024, 5, d) for d in (1, 2, 3)]
+    rows = [("x", day[0], 1.0, 1), ("y", day[0], 2.0, 1), ("x", day[1], 3.0, 1), ("x", day[1], 2.5, 2), ("y", day[2], 4.0, 1), ("x", day[2], 7.0, 2), ("x", day[2], 9.0, 1)]
+    schema = "symbol string, ts timestamp_ntz, close double, arrival long"
+    got = {(r["symbol"], r["ts"].day): r["close"] for r in align.common_dates(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {("x", 1): 1.0, ("y", 1): 2.0, ("x", 3): 7.0, ("y", 3): 4.0}
+    with pytest.raises(Exception, match="no date in common"):
+        align.common_dates(spark.createDataFrame([rows[0], rows[4]], schema)).collect()
+
+
+def test_a_flat_symbol_has_an_inverse_volatility_weight(spark):
+    vol = spark.createDataFrame([("a", 0.0), ("b", 0.3)], "symbol string, volatility double")
+    w = {r["symbol"]: r["weight"] for r in portfolio.inverse_volatility_weights(vol).collect()}
+    assert w["a"] + w["b"] == pytest.approx(1) and w["a"] > 0.99
 
 
 def test_too_few_dates_is_an_error(spark):

@@ -35,13 +35,6 @@ def test_query_without_sql_gives_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).limit(1).count() == 1
 
 
-def test_allocators_over_windows(spark, sf):
-    d = QUERIES["k11_allocators"](spark, sf).toPandas()
-    assert d.error.isna().all()
-    assert (d.groupby(["window_id", "strategy"]).weight.sum() - 1).abs().max() < 1e-9
-    assert (d[d.strategy != "min_variance_closed"].weight >= 0).all()
-
-
 def test_touched_month_is_replaced_whole(spark, sf):
     d = {r["symbol"]: r for r in QUERIES["a2_write_bars"](spark, sf).collect()}
     assert {r["n_rows"] for r in d.values()} == {30}

@@ -101,3 +101,32 @@ def test_value_ladder_takes_part_of_a_tie(spark):
     d = spark.createDataFrame([("a", v) for v in (-1.0, -1.0, -1.0, 0.0)], "symbol string, r double")
     r = value_ladder(d, "r").groupBy("symbol").agg(lowest_mean("r", F.lit(2)).alias("m"), nth("r", F.lit(3)).alias("top")).first()
     assert (r["m"], r["top"]) == (-1.0, 0.0)
+
+
+@pytest.mark.parametrize(("alpha", "seed", "block"), [(0.001, 5, None), (0.5, 1, 7), (0.5, 12, 3), (0.9, 60, None), (0.95, 60, 40), (0.2, 30, 11)])
+def test_smoothing_is_the_recurrence_for_any_seed_and_block(spark, alpha, seed, block):
+    d = series(spark, {"hot": 130, "cold": 3}, seed=9).withColumnRenamed("want", "pos").withColumn("x", F.col("x") * 1e12 + 1e12)
+    for rows in by_symbol(smoothed(d, {"e": ("x", alpha, seed)}, block=block), "x", "e").values():
+        e = None
+        for i, (x, got) in enumerate(rows, 1):
+            e = sum(r[0] for r in rows[:seed]) / seed if i == seed else alpha * x + (1 - alpha) * e if e is not None else None
+            assert got == (pytest.approx(e, rel=1e-9) if e is not None else None)
+
+
+def test_unlike_rates_are_smoothed_together(spark):
+    d = series(spark, {"hot": 90}, seed=4).withColumnRenamed("want", "pos")
+    both = smoothed(d, {"slow": ("x", 0.001, 2), "fast": ("x", 0.95, 3)})
+    for name, alpha, seed in (("slow", 0.001, 2), ("fast", 0.95, 3)):
+        one = by_symbol(smoothed(d, {"e": ("x", alpha, seed)}), "e")["hot"]
+        assert by_symbol(both, name)["hot"][seed:] == pytest.approx(one[seed:])
+
+
+def test_shared_dir_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from tickweave.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(far, "x")

@@ -10,14 +10,22 @@ from ..timeline import number_rows, trailing
 
 
 def common_dates(bars: DataFrame) -> DataFrame:
-    """Bars on the dates that every symbol has.
+    """Bars on the dates that every symbol has; of rows that repeat (symbol, ts) one stays.
 
-    Rows are unique by (symbol, ts) here (see ``warehouse.dedupe``), so a date is complete when its row
-    count equals the number of symbols.
+    The last one by an ``arrival`` column wins, if there is one, else the largest values. No common date is an error.
     """
+    rest = [c for c in bars.columns if c not in ("symbol", "ts")]
+    rank = F.struct("arrival", *rest) if "arrival" in rest else F.struct(*rest)
+    if rest:
+        bars = bars.groupBy("symbol", "ts").agg(F.max_by(F.struct(*rest), rank).alias("_b")).select("symbol", "ts", "_b.*")
+    else:
+        bars = bars.distinct()
     n_symbols = bars.select("symbol").distinct().agg(F.count(F.lit(1)).alias("n"))
     full = bars.groupBy("ts").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n_symbols.scalar())
-    return bars.join(full.select("ts"), "ts", "left_semi")
+    some = full.agg(F.count(F.lit(1)).alias("n"))
+    none = F.raise_error(F.lit("the symbols have no date in common"))
+    full = full.select("ts").unionByName(some.filter("n = 0").select(none.cast("timestamp_ntz").alias("ts")))
+    return bars.join(full, "ts", "left_semi")
 
 
 def with_returns(bars: DataFrame, slice_by=None) -> DataFrame:

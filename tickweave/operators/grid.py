@@ -1,7 +1,8 @@
 """Scoring of all long-only weight vectors on a grid, and the choice of the best by an objective.
 
-A universe row carries the means and the covariance matrix of its k symbols as arrays; k is chosen by the
-caller (the number of candidates is C(units+k-1, k-1)). Candidates are made by one explode per symbol and are
+A universe row carries the means and the covariance matrix of its k symbols as arrays. k is the size of the universe, and
+a universe of another size is an error; ``units`` is the step of the grid. The number of candidates is C(units+k-1, k-1),
+so a grid is for universes of a few symbols: choose fewer units for more. Candidates are made by one explode per symbol and are
 scored by plain arithmetic inside the row, so scoring needs no join and no shuffle.
 """
 
@@ -23,8 +24,9 @@ def universe(mu: DataFrame, cov: DataFrame, key: list[str] | None = None) -> Dat
 
 
 def candidates(universes: DataFrame, k: int, units: int) -> DataFrame:
-    """Every split of ``units`` equal parts over the k symbols, one row each with ``parts``."""
-    d = universes.withColumn("_left", F.lit(units))
+    """Every split of ``units`` equal parts over the k symbols, one row each with ``parts``; a universe of another size raises."""
+    wrong = F.concat(F.lit("the universe has "), F.size("symbols").cast("string"), F.lit(f" symbols, the grid {k}"))
+    d = universes.withColumn("_left", F.when(F.size("symbols") == k, F.lit(units)).otherwise(F.raise_error(wrong)))
     for i in range(k - 1):
         d = d.withColumn(f"_u{i}", F.explode(F.sequence(F.lit(0), F.col("_left")))).withColumn("_left", F.col("_left") - F.col(f"_u{i}"))
         if i == 1:
@@ -115,8 +117,17 @@ def active_bounds(weights: DataFrame, lower: dict[str, float], upper: dict[str,
     return weights.withColumn("active_bound", at)
 
 
-def frontier(grid: DataFrame, buckets: int = 20) -> DataFrame:
-    """Least volatility per return bucket, the single assets, the two optima and the capital-market slope."""
+def checked(symbols: DataFrame, lower: dict[str, float], upper: dict[str, float]) -> DataFrame:
+    """As ``feasible``, but bounds that no weights of sum 1 meet raise."""
+    text = F.concat(F.lit("infeasible bounds: least total "), F.col("min_total").cast("string"), F.lit(", largest "), F.col("max_total").cast("string"))
+    return feasible(symbols, lower, upper).withColumn("is_feasible", F.when(F.col("is_feasible"), True).otherwise(F.raise_error(text)))
+
+
+def frontier(grid: DataFrame, buckets: int = 20, risk_free: float = 0.05) -> DataFrame:
+    """Least volatility per return bucket, the single assets, the two optima and two points of the capital-market line.
+
+    The line starts at the risk-free return, touches the best Sharpe ratio and ends at 1.2 times the curve's largest volatility.
+    """
     lo, hi = (grid.agg(f("expected_return")).scalar() for f in (F.min, F.max))
     at = F.when(hi > lo, F.least(F.floor((F.col("expected_return") - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).otherwise(0)
     point = F.struct("candidate", "expected_return", "volatility")
@@ -127,4 +138,10 @@ def frontier(grid: DataFrame, buckets: int = 20) -> DataFrame:
                            "candidate", "expected_return", "volatility")
     optima = best(grid, objectives=["max_sharpe", "min_variance"]).select(
         F.lit("optimum").alias("kind"), F.col("objective").alias("name"), "candidate", "expected_return", "volatility")
-    return curve.unionByName(assets).unionByName(optima)
+    top = optima.filter("name = 'max_sharpe'").select("candidate", ((F.col("expected_return") - risk_free) / F.col("volatility")).alias("slope"))
+    reach = curve.agg((F.max("volatility") * 1.2).alias("far"))
+    ends = F.explode(F.array(F.struct(F.lit("start").alias("name"), F.lit(0.0).alias("x")), F.struct(F.lit("end").alias("name"), reach.scalar().alias("x"))))
+    line = top.select("candidate", "slope", ends.alias("e")).select(
+        F.lit("capital_line").alias("kind"), "e.name", "candidate", (risk_free + F.col("slope") * F.col("e.x")).alias("expected_return"),
+        F.col("e.x").alias("volatility"))
+    return curve.unionByName(assets).unionByName(optima).unionByName(line)

@@ -51,8 +51,9 @@ def equal_weights(symbols: DataFrame) -> DataFrame:
 
 
 def inverse_volatility_weights(mv: DataFrame) -> DataFrame:
-    total = mv.agg(F.sum(1 / F.col("volatility")))
-    return mv.select("symbol", (1 / F.col("volatility") / total.scalar()).alias("weight"))
+    """Weights by 1 / volatility; the volatility of a flat symbol counts as 1e-6."""
+    inverse = 1 / F.greatest(F.col("volatility"), F.lit(1e-6))
+    return mv.select("symbol", (inverse / mv.agg(F.sum(inverse)).scalar()).alias("weight"))
 
 
 def volatility_reduction(stats: DataFrame, reference: DataFrame) -> DataFrame:

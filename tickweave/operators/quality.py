@@ -17,6 +17,9 @@ def _bad(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
+# The rule names are fixed values: results carry them.
+
+
 def bronze_contract(bars: DataFrame, min_rows: int = 2) -> DataFrame:
     """Seven rules in one pass: rules are folded per symbol, then over symbols."""
     missing = [c for c in ("ts", *NUMBERS) if c not in bars.columns]
@@ -40,7 +43,7 @@ def returns_in_range(returns: DataFrame, value: str = "r") -> DataFrame:
 
 
 def positive_volatility(vol: DataFrame) -> DataFrame:
-    return _rules(vol, {"positive_volatility": _bad(F.col("vol").isNull() | (F.col("vol") <= 0))})
+    return _rules(vol, {"volatility_positive": _bad(F.col("vol").isNull() | (F.col("vol") <= 0))})
 
 
 def _mirrored(matrix: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def correlation_rules(corr: DataFrame, tol: float = 1e-9) -> DataFrame:
     diagonal = F.col("symbol_row") == F.col("symbol_col")
     return _rules(_mirrored(corr), {
         "correlation_symmetric": _bad(F.col("mirror").isNull() | (F.abs(F.col("value") - F.col("mirror")) > tol)),
-        "correlation_unit_diagonal": _bad(diagonal & (F.abs(F.col("value") - 1) > tol)),
+        "correlation_diagonal_one": _bad(diagonal & (F.abs(F.col("value") - 1) > tol)),
         "correlation_in_range": _bad(F.abs("value") > 1 + tol),
     })
 
@@ -65,15 +68,19 @@ def covariance_rules(cov: DataFrame, tol: float = 1e-9) -> DataFrame:
     })
 
 
-def gold_contract(weights: DataFrame, required: dict[str, bool] | None = None) -> DataFrame:
-    """Weights sum to 1, are not negative and lie in [0, 1]; required result fields are present."""
-    absent = sum(not ok for ok in (required or {}).values())
+#: The fields a stored result must have, each a rule of its own.
+REQUIRED = ("expected_return", "volatility", "sharpe_ratio")
+
+
+def gold_contract(weights: DataFrame, result: DataFrame | None = None) -> DataFrame:
+    """Weights sum to 1, are not negative and lie in [0, 1]; the stored result, if given, has every required field in all its rows."""
     return _rules(weights, {
         "weights_sum_to_one": F.when(F.abs(F.sum("weight") - 1) > 1e-6, 1).otherwise(0),
         "weights_non_negative": _bad(F.col("weight") < 0),
-        "weights_in_range": _bad((F.col("weight") < 0) | (F.col("weight") > 1)),
-        "required_fields": F.lit(absent),
-    })
+        "weights_bounded": _bad((F.col("weight") < 0) | (F.col("weight") > 1)),
+    }) if result is None else gold_contract(weights).unionByName(_rules(result, {
+        f"has_{c}": _bad(F.col(c).isNull()) if c in result.columns else F.lit(1) for c in REQUIRED
+    }))
 
 
 STAGES = {
@@ -91,7 +98,7 @@ def check_stage(stage: str, inputs: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in inputs.items():
         rule = STAGES[stage].get(name)
-        part = rule(df) if rule else _rules(df, {f"unknown_metric_{name}": F.lit(1)})
+        part = rule(df) if rule else _rules(df, {"known_metric": F.lit(1)})
         part = part.withColumn("stage", F.lit(stage))
         out = part if out is None else out.unionByName(part)
     return out

@@ -54,7 +54,8 @@ def window_moments(priced: DataFrame, train: int, test: int, periods: int) -> tu
 def rule_weights(mu: DataFrame, rule: str) -> DataFrame:
     """Weights per window by a rule that needs no search."""
     w = Window.partitionBy("window_id")
-    share = {"equal_weight": F.lit(1.0) / F.count(F.lit(1)).over(w), "inverse_volatility": (1 / F.col("volatility")) / F.sum(1 / F.col("volatility")).over(w)}
+    inverse = 1 / F.greatest(F.col("volatility"), F.lit(1e-6))  # a flat symbol counts as nearly flat
+    share = {"equal_weight": F.lit(1.0) / F.count(F.lit(1)).over(w), "inverse_volatility": inverse / F.sum(inverse).over(w)}
     if rule not in share:
         raise ValueError(f"unknown rule {rule!r}; known: {', '.join(share)}")
     return mu.select("window_id", F.lit(rule).alias("strategy"), "symbol", share[rule].alias("weight"))
@@ -120,11 +121,10 @@ def multi_performance(daily: DataFrame, periods: int, expected: DataFrame | None
 
 
 def win_rate(results: DataFrame, against: str = "equal_weight") -> DataFrame:
-    """Share of windows with a higher return, compared at 6 places so that equal portfolios do not win by noise."""
-    results = results.withColumn("test_return", F.round("test_return", 6))
+    """Share of windows with a higher return; a difference within 1e-12, which is rounding, is no win."""
     base = results.filter(F.col("strategy") == against).select("window_id", F.col("test_return").alias("_b"))
     d = results.filter(F.col("strategy") != against).join(base, "window_id")
-    return d.groupBy("strategy").agg(F.avg(F.when(F.col("test_return") > F.col("_b"), 1.0).otherwise(0.0)).alias("win_rate"), F.count(F.lit(1)).alias("n_windows"))
+    return d.groupBy("strategy").agg(F.avg(F.when(F.col("test_return") > F.col("_b") + 1e-12, 1.0).otherwise(0.0)).alias("win_rate"), F.count(F.lit(1)).alias("n_windows"))
 
 
 def window_contributions(weights: DataFrame, results: DataFrame) -> DataFrame:

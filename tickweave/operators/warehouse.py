@@ -96,11 +96,11 @@ def previous_close(bars: DataFrame, key: tuple[str, ...] = ("symbol",)) -> DataF
 def stat_card(bars: DataFrame) -> DataFrame:
     """Price range, standard deviation of percent changes and total return per symbol."""
     d = previous_close(bars)
-    change = F.when(F.col("prev_close").isNotNull(), F.col("close") / F.col("prev_close") - 1)
+    change = F.when(F.col("prev_close").isNotNull(), F.try_divide("close", "prev_close") - 1)
     return d.groupBy("symbol").agg(
         F.min("close").alias("min_close"), F.max("close").alias("max_close"), F.avg("close").alias("avg_close"),
         F.stddev_samp(change).alias("std_change"),
-        (F.max_by("close", "pos") / F.min_by("close", "pos") - 1).alias("total_return"),
+        (F.try_divide(F.max_by("close", "pos"), F.min_by("close", "pos")) - 1).alias("total_return"),
     )
 
 

@@ -15,13 +15,21 @@ from ..timeline import number_rows
 _WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
+def _state(spark: SparkSession, sf: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return hash(tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
 def lake(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """A derived table of the lake, written to the shared folder once per application and source folder.
+    """A derived table of the lake, written to the shared folder once per application and state of the source.
+
+    The state is the listing of the source's files with their sizes and times, so changed files are read anew.
 
     Analytics read it like any table: raw data is scanned once, plans stay short, and a lost executor
     loses nothing.
     """
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, f"{sf}@{_state(spark, sf)}", name)
     if key not in _WRITTEN:
         df = build(spark, sf)
         path = shared_dir(spark, name)
@@ -49,12 +57,12 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 def build_weekly_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly bars per region: volume-weighted price, extremes of the unit price, quantity."""
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    unit = F.try_divide("l_extendedprice", "l_quantity")  # null at quantity 0
     return (
         trades(spark, sf)
         .groupBy("symbol", bucket_start("l_shipdate", "week").alias("ts"))
         .agg(
-            (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
+            F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("close"),
             F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"),
         )
     )
@@ -65,6 +73,11 @@ def build_silver(spark: SparkSession, sf: str) -> DataFrame:
         "symbol", "ts", "close", "high", "low", "volume", "pos", "r", "s")
 
 
+def symbols(spark: SparkSession, sf: str) -> list[str]:
+    """The names of the panel's symbols in order: the columns of wide tables, a bounded universe."""
+    return [r[0] for r in weekly_bars(spark, sf).select("symbol").distinct().orderBy("symbol").collect()]
+
+
 def weekly_bars(spark: SparkSession, sf: str) -> DataFrame:
     return lake(spark, sf, "bars_weekly", build_weekly_bars)
 

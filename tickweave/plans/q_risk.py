@@ -63,11 +63,13 @@ def _(spark, sf):
 
 
 @query("f13_monthly_returns", sql("""
-    SELECT strftime(ts, '%Y-%m') AS month, #coalesce(sum(CASE WHEN symbol = 'ASIA' THEN r END), 0)# AS ASIA,
-      #coalesce(sum(CASE WHEN symbol = 'EUROPE' THEN r END), 0)# AS EUROPE FROM ret GROUP BY 1"""))
+    SELECT strftime(ts, '%Y-%m') AS month, #coalesce(sum(CASE WHEN symbol = 'AFRICA' THEN r END), 0)# AS AFRICA,
+      #coalesce(sum(CASE WHEN symbol = 'AMERICA' THEN r END), 0)# AS AMERICA, #coalesce(sum(CASE WHEN symbol = 'ASIA' THEN r END), 0)# AS ASIA,
+      #coalesce(sum(CASE WHEN symbol = 'EUROPE' THEN r END), 0)# AS EUROPE,
+      #coalesce(sum(CASE WHEN symbol = 'MIDDLE EAST' THEN r END), 0)# AS "MIDDLE EAST" FROM ret GROUP BY 1"""))
 def _(spark, sf):
     from .silver import monthly_grid
-    return r6(monthly_grid(P.returns(spark, sf), "symbol", ["ASIA", "EUROPE"]), "month")
+    return r6(monthly_grid(P.returns(spark, sf), "symbol", P.symbols(spark, sf)), "month")
 
 
 @query("f15_market_factor", sql("SELECT ts, #m# AS market FROM mkt"))

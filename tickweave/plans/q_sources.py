@@ -139,29 +139,30 @@ def _(spark, sf):
 
 
 @query("a9_matrix_wide", sql("""
-    SELECT symbol_row, #max(CASE WHEN symbol_col = 'AFRICA' THEN value END)# AS AFRICA,
-      #max(CASE WHEN symbol_col = 'ASIA' THEN value END)# AS ASIA,
-      #max(CASE WHEN symbol_col = 'EUROPE' THEN value END)# AS EUROPE FROM cov GROUP BY 1"""))
+    SELECT symbol_row, #max(CASE WHEN symbol_col = 'AFRICA' THEN value END)# AS AFRICA, #max(CASE WHEN symbol_col = 'AMERICA' THEN value END)# AS AMERICA,
+      #max(CASE WHEN symbol_col = 'ASIA' THEN value END)# AS ASIA, #max(CASE WHEN symbol_col = 'EUROPE' THEN value END)# AS EUROPE,
+      #max(CASE WHEN symbol_col = 'MIDDLE EAST' THEN value END)# AS "MIDDLE EAST" FROM cov GROUP BY 1"""))
 def _(spark, sf):
     path = shared_dir(spark, "matrix")
     M.covariance(P.returns(spark, sf), 365).write.parquet(path)
-    wide = W.matrix_wide(spark.read.parquet(path), ["AFRICA", "ASIA", "EUROPE"])
-    return wide.select("symbol_row", *[rounded(c).alias(c) for c in wide.columns[1:]])
+    wide = W.matrix_wide(spark.read.parquet(path), P.symbols(spark, sf))
+    return wide.select("symbol_row", *[rounded(F.col(f"`{c}`")).alias(c) for c in wide.columns[1:]])
 
 
 @query("a10_series_wide", sql("""
-    SELECT ts AS date, #coalesce(max(CASE WHEN symbol = 'AFRICA' THEN r END), 0)# AS AFRICA,
-      #coalesce(max(CASE WHEN symbol = 'ASIA' AND abs(r) < 0.1 THEN r END), 0)# AS ASIA FROM ret GROUP BY 1"""))
+    SELECT ts AS date, #coalesce(max(CASE WHEN symbol = 'AFRICA' THEN r END), 0)# AS AFRICA, #coalesce(max(CASE WHEN symbol = 'AMERICA' THEN r END), 0)# AS AMERICA,
+      #coalesce(max(CASE WHEN symbol = 'ASIA' THEN r END), 0)# AS ASIA, #coalesce(max(CASE WHEN symbol = 'EUROPE' THEN r END), 0)# AS EUROPE,
+      #coalesce(max(CASE WHEN symbol = 'MIDDLE EAST' THEN r END), 0)# AS "MIDDLE EAST" FROM ret GROUP BY 1"""))
 def _(spark, sf):
-    long = P.returns(spark, sf).filter("symbol <> 'ASIA' or abs(r) < 0.1").select(F.col("ts").alias("date"), "symbol", F.col("r").alias("value"))
-    wide = W.series_wide(long, ["AFRICA", "ASIA"])
-    return wide.select("date", rounded("AFRICA").alias("AFRICA"), rounded("ASIA").alias("ASIA"))
+    long = P.returns(spark, sf).select(F.col("ts").alias("date"), "symbol", F.col("r").alias("value"))
+    wide = W.series_wide(long, P.symbols(spark, sf))
+    return wide.select("date", *[rounded(F.col(f"`{c}`")).alias(c) for c in wide.columns[1:]])
 
 
-@query("a10_series_long", sql("SELECT ts AS date, symbol, #r# AS value FROM ret WHERE symbol IN ('AFRICA', 'ASIA')"))
+@query("a10_series_long", sql("SELECT ts AS date, symbol, #r# AS value FROM ret"))
 def _(spark, sf):
     long = P.returns(spark, sf).select(F.col("ts").alias("date"), "symbol", F.col("r").alias("value"))
-    return W.series_long(W.series_wide(long, ["AFRICA", "ASIA"])).withColumn("value", rounded("value"))
+    return W.series_long(W.series_wide(long, P.symbols(spark, sf))).withColumn("value", rounded("value"))
 
 
 @query("a11_result_document")

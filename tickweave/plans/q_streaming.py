@@ -45,7 +45,7 @@ def depth_events(spark, sf):
     bids = F.transform(levels, lambda i: F.array((v - i * 0.25).cast("string"), (k + i).cast("string")))
     asks = F.when(F.col("value") < 200, F.transform(levels, lambda i: F.array((v + 1 + i * 0.5).cast("string"), (k * 2 + i).cast("string"))))
     e = P.table(spark, sf, "events").select("event_type", _ms().alias("E"), bids.alias("bids"), F.coalesce(asks, F.array().cast("array<array<string>>")).alias("asks"))
-    wrapped = F.struct(F.concat("event_type", F.lit("@depth20")).alias("stream"), "E", F.struct("bids", "asks").alias("data"))
+    wrapped = F.struct(F.concat("event_type", F.lit("@depth20")).alias("stream"), F.struct("E", "bids", "asks").alias("data"))
     plain = F.struct(F.col("event_type").alias("s"), "E", "bids", "asks")
     return e.select(F.when(F.col("event_type").isin("click", "view"), F.to_json(wrapped)).otherwise(F.to_json(plain)).alias("value"))
 
@@ -98,11 +98,14 @@ def _(spark, sf):
 
 
 @query("m7_windowed_bars", sql("""
-    SELECT symbol, ts, open, high, low, close, volume FROM bars_d WHERE ts + INTERVAL 1 DAY <= (SELECT max(e.ts) - INTERVAL 1 HOUR FROM events e)"""))
+    SELECT symbol, ts, open, high, low, close, volume FROM bars_d"""))
 def _(spark, sf):
     inbox, out = shared_dir(spark, "inbox"), shared_dir(spark, "windows")
     P.table(spark, sf, "events").write.parquet(inbox)
     ticks = spark.readStream.schema(P.table(spark, sf, "events").schema).parquet(inbox).select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
-    J.drain(J.append_stream(J.windowed_bars(ticks, "1 day", "1 hour"), out, shared_dir(spark, "checkpoint"), every=None))
+    bars, state = J.windowed_bars(ticks, "1 day", "1 hour"), shared_dir(spark, "checkpoint")
+    J.drain(J.append_stream(bars, out, state, every=None))
+    J.end_of_ticks(P.table(spark, sf, "events"), "ts", "1 day", "1 hour").write.mode("append").parquet(inbox)
+    J.drain(J.append_stream(bars, out, state, every=None))
     return J.read_result(spark, out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -1,13 +1,11 @@
-"""Queries: weight grids, walk-forward tests, allocators and resampled paths."""
+"""Queries: weight grids and walk-forward tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import rounded
-from ..operators import allocators as L
 from ..operators import grid as G
-from ..operators import resample as S
 from ..operators import walkforward as K
 from . import panels as P
 from .oracle import sql
@@ -16,7 +14,7 @@ from .q_risk import r6
 from .registry import query
 from .silver import monthly_grid
 
-K_SYMBOLS, UNITS, TRAIN, TEST, DAYS = 5, 10, 104, 26, 365
+UNITS, TRAIN, TEST, DAYS = 10, 104, 26, 365
 STRATEGIES = ["max_sharpe", "min_variance", "max_diversification", "risk_parity"]
 
 
@@ -38,16 +36,19 @@ def _parts(key: str, mu_table: str, cov_table: str, p: str = "") -> str:
 _GRID = "mg AS (SELECT 0 AS g, symbol, mu AS mean FROM mu), cg AS (SELECT 0 AS g, * FROM cov), " + _parts("g", "mg", "cg")
 
 
+def build_grid(spark, sf):
+    k = len(P.symbols(spark, sf))
+    return G.scored(G.candidates(G.universe(mu(spark, sf), cov(spark, sf)), k, UNITS), k, UNITS)
+
+
 def grid(spark, sf):
-    return P.lake(spark, sf, "grid", lambda sp, d: G.scored(G.candidates(G.universe(mu(sp, d), cov(sp, d)), K_SYMBOLS, UNITS), K_SYMBOLS, UNITS))
+    return P.lake(spark, sf, "grid", build_grid)
 
 
 @query("j6_candidate_scores", sql(f"""WITH {_GRID} SELECT cand AS candidate, #er# AS expected_return, #vol# AS volatility, #sharpe# AS sharpe,
     #div# AS diversification, #gap# AS risk_imbalance FROM sc"""))
 def _(spark, sf):
-    u = G.universe(mu(spark, sf), cov(spark, sf))
-    d = G.scored(G.candidates(u, K_SYMBOLS, UNITS), K_SYMBOLS, UNITS)
-    return r6(d.select("candidate", "expected_return", "volatility", "sharpe", "diversification", "risk_imbalance"), "candidate")
+    return r6(build_grid(spark, sf).select("candidate", "expected_return", "volatility", "sharpe", "diversification", "risk_imbalance"), "candidate")
 
 
 @query("j7_best_by_objective", sql(f"WITH {_GRID} SELECT objective, cand AS candidate, #er# AS expected_return, #vol# AS volatility, #sharpe# AS sharpe FROM bs JOIN sc USING (g, cand)"))
@@ -72,14 +73,16 @@ def _(spark, sf):
 @query("j8_feasibility", sql("""SELECT #sum(CASE symbol WHEN 'AFRICA' THEN 0.1 ELSE 0 END)# AS min_total,
     #sum(CASE symbol WHEN 'EUROPE' THEN 0.4 WHEN 'ASIA' THEN 0.3 ELSE 1.0 END)# AS max_total, true AS is_feasible FROM mu"""))
 def _(spark, sf):
-    return r6(G.feasible(mu(spark, sf), _LOW, _HIGH), "is_feasible")
+    return r6(G.checked(mu(spark, sf), _LOW, _HIGH), "is_feasible")
 
 
 @query("j9_frontier", sql(f"""WITH {_GRID}, x AS (SELECT min(er) AS lo, max(er) AS hi FROM sc),
     b AS (SELECT *, CAST(least(floor((er - lo) / (hi - lo) * 20), 19) AS BIGINT) AS k FROM sc, x)
     SELECT 'frontier' AS kind, CAST(k AS VARCHAR) AS name, cand AS candidate, #er# AS expected_return, #vol# AS volatility FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY vol, cand) = 1
     UNION ALL SELECT 'asset', symbol, cand, #er#, #vol# FROM sc JOIN gw USING (cand) WHERE w = 1
-    UNION ALL SELECT 'optimum', objective, cand, #er#, #vol# FROM bs JOIN sc USING (cand) WHERE objective IN ('max_sharpe', 'min_variance')"""))
+    UNION ALL SELECT 'optimum', objective, cand, #er#, #vol# FROM bs JOIN sc USING (cand) WHERE objective IN ('max_sharpe', 'min_variance')
+    UNION ALL SELECT 'capital_line', name, cand, #0.05 + sharpe * x#, #x# FROM (SELECT cand, sharpe, unnest(['start', 'end']) AS name,
+      unnest([0.0::DOUBLE, (SELECT max(v) * 1.2::DOUBLE FROM (SELECT min(vol) AS v FROM b GROUP BY k))]) AS x FROM bs JOIN sc USING (cand) WHERE objective = 'max_sharpe')"""))
 def _(spark, sf):
     return r6(G.frontier(grid(spark, sf)), "kind", "name", "candidate")
 
@@ -127,7 +130,7 @@ _WTS = f"""{_MOM}, {_parts('window_id', 'wm', 'wc')},
 
 def build_weights(spark, sf):
     m, c = moments(spark, sf)
-    out = K.grid_weights(m, c, K_SYMBOLS, UNITS, STRATEGIES)
+    out = K.grid_weights(m, c, len(P.symbols(spark, sf)), UNITS, STRATEGIES)
     for rule in ("equal_weight", "inverse_volatility"):
         out = out.unionByName(K.rule_weights(m, rule))
     return out.unionByName(K.benchmark_weights(m, "EURO"))
@@ -194,12 +197,12 @@ def _(spark, sf):
     SELECT strategy, #t# AS total_return, #v# AS volatility, n AS n_periods, #an# AS annualized_return, #sh# AS sharpe_ratio, sh IS NULL AS failed,
       CAST(row_number() OVER (ORDER BY sh IS NULL, sh DESC, strategy) AS INT) AS rank FROM b"""))
 def _(spark, sf):
-    names = [*STRATEGIES, "equal_weight", "inverse_volatility", "benchmark", "offline"]
+    names = [*ALL, "offline"]
     expected = spark.createDataFrame([(n,) for n in names], "strategy string")
     return r6(K.multi_performance(daily(spark, sf), DAYS, expected), "strategy", "n_periods", "failed", "rank")
 
 
-@query("k10_win_rate", sql(f"""WITH {_OOS} SELECT a.strategy, #avg(CASE WHEN round(a.test_return, 6) > round(b.test_return, 6) THEN 1.0 ELSE 0.0 END)# AS win_rate, count(*) AS n_windows
+@query("k10_win_rate", sql(f"""WITH {_OOS} SELECT a.strategy, #avg(CASE WHEN a.test_return > b.test_return + 1e-12::DOUBLE THEN 1.0 ELSE 0.0 END)# AS win_rate, count(*) AS n_windows
     FROM wr a JOIN wr b ON a.window_id = b.window_id AND b.strategy = 'equal_weight' WHERE a.strategy <> 'equal_weight' GROUP BY 1"""))
 def _(spark, sf):
     return r6(K.win_rate(K.window_results(daily(spark, sf))), "strategy", "n_windows")
@@ -211,45 +214,10 @@ def _(spark, sf):
     return r6(K.window_contributions(weights(spark, sf), K.window_results(daily(spark, sf))), "strategy", "window_id", "symbol")
 
 
-@query("f14_monthly_strategy_returns", sql(f"""WITH {_OOS} SELECT strftime(ts, '%Y-%m') AS month, #coalesce(sum(CASE WHEN strategy = 'max_sharpe' THEN r END), 0)# AS max_sharpe,
-    #coalesce(sum(CASE WHEN strategy = 'equal_weight' THEN r END), 0)# AS equal_weight FROM oos GROUP BY 1"""))
-def _(spark, sf):
-    return r6(monthly_grid(daily(spark, sf), "strategy", ["max_sharpe", "equal_weight"]), "month")
-
-
-@query("k11_allocators")
-def _(spark, sf):
-    m, c = moments(spark, sf)
-    names = ["min_variance_closed", "risk_parity_fixed_point", "hrp", "view_tilted"]
-    return L.allocate(m, c, names, ["window_id"])
-
-
-@query("n2_named_strategies")
-def _(spark, sf):
-    m, c = moments(spark, sf)
-    L.register("largest_mean", lambda cov_, mu_: (mu_ == mu_.max()).astype(float))
-    named = L.allocate(m, c, ["largest_mean", "hrp"], ["window_id"]).drop("error")
-    return K.multi_performance(K.out_of_sample(P.silver(spark, sf), named, TRAIN, TEST), DAYS)
-
-
-_PATHS = """dr AS (SELECT c_custkey AS path, day, (c_custkey * 7919 + day * 104729 + c_custkey * day * 31) % (SELECT max(pos) FROM pr) + 1 AS pos
-      FROM customer, range(1, 21) d(day)),
-    pw AS (SELECT path, day, product(1 + r) OVER (PARTITION BY path ORDER BY day) AS w FROM dr JOIN pr USING (pos))"""
-
-
-def _resampled(spark, sf):
-    series = P.entities(spark, sf).filter("symbol = 'portfolio'")
-    return S.resampled_paths(series, P.table(spark, sf, "customer").select(F.col("c_custkey").alias("path")), 20)
-
-
-@query("j27_path_percentiles", sql(f"WITH {_PATHS} SELECT CAST(day AS INT) AS day, " + ", ".join(
-    f"#quantile_cont(w, {p / 100})# AS p{p}" for p in S.PERCENTILES) + " FROM pw GROUP BY 1"))
-def _(spark, sf):
-    return r6(S.wealth_percentiles(_resampled(spark, sf)), "day")
+ALL = [*STRATEGIES, "equal_weight", "inverse_volatility", "benchmark"]
+_EACH = ", ".join(f"#coalesce(sum(CASE WHEN strategy = '{s}' THEN r END), 0)# AS {s}" for s in ALL)
 
 
-@query("j27_path_risk", sql(f"""WITH {_PATHS}, k AS (SELECT w, row_number() OVER (ORDER BY w) AS k, count(*) OVER () AS n FROM pw WHERE day = 20)
-    SELECT CAST(20 AS INT) AS day, #max(CASE WHEN k = greatest(0, floor(n * 0.05::DOUBLE) - 1) + 1 THEN w END) - 1# AS var_95,
-      #avg(CASE WHEN k <= greatest(1, floor(n * 0.05::DOUBLE)) THEN w END) - 1# AS cvar_95, max(n) AS n_paths FROM k"""))
+@query("f14_monthly_strategy_returns", sql(f"""WITH {_OOS} SELECT strftime(ts, '%Y-%m') AS month, {_EACH} FROM oos GROUP BY 1"""))
 def _(spark, sf):
-    return r6(S.final_risk(_resampled(spark, sf), 20), "day", "n_paths")
+    return r6(monthly_grid(daily(spark, sf), "strategy", ALL), "month")

@@ -142,7 +142,7 @@ def _(spark, sf):
 def _(spark, sf):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION log_return(c DOUBLE, p DOUBLE) RETURNS DOUBLE "
               "RETURN CASE WHEN p > 0 THEN ln(c / p) END")
-    P.silver(spark, sf).selectExpr("symbol", "ts", "close", "close / exp(r) AS prev").createOrReplaceTempView("macro_bars")
+    H.previous_close(P.silver(spark, sf)).select("symbol", "ts", "close", F.col("prev_close").alias("prev")).createOrReplaceTempView("macro_bars")
     return spark.sql("SELECT symbol, ts, round(log_return(close, prev), 6) AS log_return FROM macro_bars WHERE prev IS NOT NULL")
 
 
@@ -314,7 +314,7 @@ def _(spark, sf):
       SELECT symbol, ts, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars_h6)"""))
 def _(spark, sf):
     d = H.previous_close(P.event_bars(spark, sf, "6 hours"))
-    return d.select("symbol", "ts", rounded((F.col("close") - F.col("prev_close")) / F.col("prev_close")).alias("daily_return"))
+    return d.select("symbol", "ts", rounded(F.try_divide(F.col("close") - F.col("prev_close"), F.col("prev_close"))).alias("daily_return"))
 
 
 @query("g4_index_return", f"""WITH d AS ({_DAILY_SQL})
@@ -361,11 +361,7 @@ def _(spark, sf):
 @query("i1_union_symbols", sql("SELECT symbol, count(*) AS n_rows, #sum(close)# AS total FROM panel GROUP BY 1"))
 def _(spark, sf):
     bars = P.weekly_bars(spark, sf)
-    out = None
-    for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"):
-        part = bars.filter(F.col("symbol") == s).select("ts", "close").withColumn("symbol", F.lit(s))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), rounded(F.sum("close")).alias("total"))
+    return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), rounded(F.sum("close")).alias("total"))
 
 
 @query("i2_key_sets", sql("""
@@ -379,10 +375,12 @@ def _(spark, sf):
 
 
 @query("i3_date_pivot", sql("""
-    SELECT ts, #max(CASE WHEN symbol = 'ASIA' THEN r END)# AS ASIA, #max(CASE WHEN symbol = 'EUROPE' THEN r END)# AS EUROPE FROM ret GROUP BY 1"""))
+    SELECT ts, #max(CASE WHEN symbol = 'AFRICA' THEN r END)# AS AFRICA, #max(CASE WHEN symbol = 'AMERICA' THEN r END)# AS AMERICA,
+      #max(CASE WHEN symbol = 'ASIA' THEN r END)# AS ASIA, #max(CASE WHEN symbol = 'EUROPE' THEN r END)# AS EUROPE,
+      #max(CASE WHEN symbol = 'MIDDLE EAST' THEN r END)# AS "MIDDLE EAST" FROM ret GROUP BY 1"""))
 def _(spark, sf):
-    wide = P.returns(spark, sf).groupBy("ts").pivot("symbol", ["ASIA", "EUROPE"]).agg(F.first("r"))
-    return wide.select("ts", rounded("ASIA").alias("ASIA"), rounded("EUROPE").alias("EUROPE"))
+    wide = P.returns(spark, sf).groupBy("ts").pivot("symbol", P.symbols(spark, sf)).agg(F.first("r"))
+    return wide.select("ts", *[rounded(F.col(f"`{c}`")).alias(c) for c in wide.columns[1:]])
 
 
 @query("i4_date_spine", sql("SELECT strftime(d, '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS d FROM panel)"))

@@ -34,10 +34,12 @@ def session(app: str = "tickweave", master: str | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, on the storage the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is set.
+    Only a local master may go without: it gets a temporary folder. Elsewhere every executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tickweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

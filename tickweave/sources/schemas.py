@@ -11,6 +11,6 @@ CANDLE_EVENT = (
     "v: STRING, x: BOOLEAN>"
 )
 DEPTH_EVENT = (
-    "stream STRING, s STRING, E BIGINT, data STRUCT<bids: ARRAY<ARRAY<STRING>>, asks: ARRAY<ARRAY<STRING>>>, "
+    "stream STRING, s STRING, E BIGINT, data STRUCT<E: BIGINT, bids: ARRAY<ARRAY<STRING>>, asks: ARRAY<ARRAY<STRING>>>, "
     "bids ARRAY<ARRAY<STRING>>, asks ARRAY<ARRAY<STRING>>"
 )

@@ -12,26 +12,42 @@ from ..sources import schemas
 PARTITIONS = ("symbol", "year", "month")
 
 
+#: Tasks that may write one symbol's month.
+SPLIT = 8
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
 def append_new_bars(batch: DataFrame, path: str) -> None:
     """Append the bars of a batch that the lake does not hold yet; stored bars win.
 
-    Only the months the batch touches are read, and only new rows are written, so a batch costs what it
-    brings, whatever the size of the lake. Repeating a batch adds nothing, which makes retries safe.
+    Of several bars of one symbol and time in a batch the one with the smallest (partition, offset) counts, where the
+    source has them; else the one whose values come first in order, so that a retry picks the same. The months of a batch
+    (no more than its rows) are named as literals, so only their partitions are listed and read, and a batch costs what it
+    brings, whatever the size of the lake. Repeating a batch adds nothing.
     """
     spark = batch.sparkSession
-    values = ("open", "high", "low", "close", "volume")
-    fresh = batch.withColumn("seq", F.monotonically_increasing_id()).groupBy("symbol", "ts").agg(*[F.min_by(v, "seq").alias(v) for v in values])
+    values = ["open", "high", "low", "close", "volume"]
+    rank = F.struct(*(c for c in ("partition", "offset") if c in batch.columns), *values)
+    fresh = batch.groupBy("symbol", "ts").agg(F.min_by(F.struct(*values), rank).alias("b")).select("symbol", "ts", "b.*")
     fresh = fresh.withColumn("year", F.year("ts")).withColumn("month", F.month("ts"))
-    try:
+    months = fresh.select(*PARTITIONS).distinct().collect()
+    if not months:
+        return
+    if _exists(spark, path):
         lake = spark.read.schema(f"{schemas.BARS}, symbol STRING, year INT, month INT").parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        touched = fresh.select(*PARTITIONS).distinct()
-        stored = lake.join(touched, list(PARTITIONS), "left_semi").select("symbol", "ts")
-        fresh = fresh.join(stored, ["symbol", "ts"], "left_anti")
-    fresh.repartition(*PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+        touched = F.lit(False)
+        by_month: dict[tuple[int, int], list[str]] = {}
+        for r in months:
+            by_month.setdefault((r["year"], r["month"]), []).append(r["symbol"])
+        for (year, month), symbols in sorted(by_month.items()):
+            touched = touched | ((F.col("year") == year) & (F.col("month") == month) & F.col("symbol").isin(symbols))
+        fresh = fresh.join(lake.filter(touched).select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+    split = F.pmod(F.xxhash64("ts"), F.lit(SPLIT))
+    fresh.repartition(*PARTITIONS, split).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
 def upsert_bars(bars: DataFrame, path: str, checkpoint: str, every: str | None = "60 seconds") -> StreamingQuery:
@@ -52,12 +68,23 @@ def deduplicated(bars: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def windowed_bars(ticks: DataFrame, every: str, delay: str) -> DataFrame:
-    """Bars per tumbling window from ticks (symbol, ts, price, tie), closed when the watermark passes."""
+    """Bars per tumbling window from ticks (symbol, ts, price, tie), closed when the watermark passes.
+
+    A row without a symbol makes no bar but moves the watermark: ``end_of_ticks`` makes one that closes all windows.
+    """
     t = ticks.withColumn("_o", tick_order("ts", "tie")).withWatermark("ts", delay)
     return t.groupBy("symbol", F.window("ts", every).alias("w")).agg(
         F.min_by("price", "_o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "_o").alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
-    ).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+        F.count("symbol").alias("_n"),  # a filter on the key would be pushed below the watermark
+    ).filter("_n > 0").select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+def end_of_ticks(ticks: DataFrame, ts: str, every: str, delay: str) -> DataFrame:
+    """One row with the columns of ticks, all null but for a time by which every window is closed: what a stopped stream is sent last."""
+    last = ticks.agg(F.max(ts).alias("_last"))
+    at = F.col("_last") + F.expr(f"INTERVAL {every}") * 2 + F.expr(f"INTERVAL {delay}")
+    return last.select(*(at.cast(t).alias(c) if c == ts else F.lit(None).cast(t).alias(c) for c, t in ticks.dtypes))
 
 
 def drain(query: StreamingQuery) -> None:

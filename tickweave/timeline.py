@@ -116,37 +116,47 @@ def smoothed(
     *,
     key: Sequence[str] = ("symbol",),
     pos: str = "pos",
+    block: int | None = None,
 ) -> DataFrame:
     """Exponential smoothing ``e = a*x + (1-a)*e'`` for ``{output: (input, a, seed)}``, started by the plain mean
     of the first ``seed`` rows; null before.
 
-    A smoothed value is a sum over its past with weights that fall by ``1-a`` per row. A block is long enough
-    that the weights of everything before the previous block are under 1e-40, so a row needs its own block
-    and the one before: each block is copied into the next, and the sum is one running window. Columns whose
-    rates differ too much for one block length are done one after the other.
+    Rows are summed inside blocks, with powers of ``1-a`` counted from the block's start; a block's end value and
+    its factor carry the past into the next blocks. Blocks are cut so that the powers stay finite (``exp(300)`` at
+    most), whatever the seed. The carry goes back until the factor is below the smallest double, so the
+    result is that of the recurrence in double precision. Columns that would need more than 8 blocks of a common
+    length are done one after the other.
     """
-    fastest = min(1.0 - a for _, a, _ in columns.values())
-    slowest = max(1.0 - a for _, a, _ in columns.values())
-    block = max(*(n for _, _, n in columns.values()), 1, int(300 / -math.log(fastest)))
-    if slowest**block > 1e-40:
+    rates = [-math.log1p(-a) for _, a, _ in columns.values()]
+    size = block or max(1, int(300 / max(rates)))
+    back = math.ceil(750 / (min(rates) * size))
+    if back > 8 and len(columns) > 1:
         for out, spec in columns.items():
-            df = smoothed(df, {out: spec}, key=key, pos=pos)
+            df = smoothed(df, {out: spec}, key=key, pos=pos, block=block)
         return df
-    own = _block(pos, block)
-    spread = df.withColumn("_own", own).withColumn("_home", F.explode(F.array(own, own + 1)))
-    spread = spread.withColumn("_age", F.col(pos) - 1 - (F.col("_home") - 1) * block)
-    w = Window.partitionBy(*key, "_home").orderBy(pos)
-    past = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.col(pos)
-    inputs, sums = [], []
+    k = list(key)
+    at, own = F.col(pos), _block(pos, size)
+    longest = max(seed for _, _, seed in columns.values())
+    starts = df.filter(at <= longest).groupBy(*k).agg(
+        *[F.avg(F.when(at <= seed, F.col(value))).alias(f"_s_{out}") for out, (value, _, seed) in columns.items()])
+    d = df.join(starts, k).withColumn("_own", own).withColumn("_age", at - 1 - own * size)
+    inside = Window.partitionBy(*k, "_own").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = []
     for out, (value, alpha, seed) in columns.items():
-        start = F.avg(value).over(w.rowsBetween(-(seed - 1), 0))
-        inputs.append(F.when(at == seed, start).when(at > seed, F.col(value) * alpha).otherwise(0.0).alias(f"_x_{out}"))
+        x = F.when(at == seed, F.col(f"_s_{out}")).when(at > seed, F.col(value) * alpha).otherwise(0.0)
         keep = F.lit(1.0 - alpha)
-        total = F.sum(F.col(f"_x_{out}") * F.pow(keep, -F.col("_age"))).over(past) * F.pow(keep, F.col("_age"))
-        sums.append(F.when(at >= seed, total).alias(out))
-    spread = spread.select("*", *inputs).select("*", *sums)
-    return spread.filter("_own = _home").drop("_own", "_home", "_age", *[f"_x_{out}" for out in columns])
+        sums.append((F.sum(x * F.pow(keep, -F.col("_age"))).over(inside) * F.pow(keep, F.col("_age"))).alias(f"_x_{out}"))
+    d = d.select("*", *sums)
+    ends = d.groupBy(*k, "_own").agg(*[F.max_by(f"_x_{out}", pos).alias(f"_e_{out}") for out in columns])
+    line = Window.partitionBy(*k).orderBy("_own")
+    carry = ends.select(*k, "_own", *[
+        sum((F.coalesce(F.lag(f"_e_{out}", j).over(line), F.lit(0.0)) * (1.0 - a) ** (size * (j - 1)) for j in range(1, back + 1)), F.lit(0.0)).alias(f"_c_{out}")
+        for out, (_, a, _) in columns.items()])
+    d = d.join(carry, [*k, "_own"])
+    for out, (_, a, seed) in columns.items():
+        total = F.col(f"_x_{out}") + F.pow(F.lit(1.0 - a), F.col("_age") + 1) * F.col(f"_c_{out}")
+        d = d.withColumn(out, F.when(at >= seed, total))
+    return d.drop("_own", "_age", *[f"_{p}_{out}" for p in "sxc" for out in columns])
 
 
 def wealth(
