@@ -344,7 +344,7 @@ ENCODED = "doc_id long, sample int, log_prob double, log_inclusion double, n_tok
 def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0) -> DataFrame:
     """Up to k rows per document: doc_id, sample (0 first), log_prob, log_inclusion, n_tokens, ids. Other columns of docs are ignored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text", 4 << 20):
+        for b in small_batches(batches, "text", 1 << 19):
             batch = Batch(b.column("text"), b.column("key").to_numpy(), vocabulary)
             for s, (has, path, logp, _) in enumerate(batch.sample(k)):
                 rows = np.flatnonzero(has)
