@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, purity:
     return build([(r[0], r[1], r[2]) for r in found], hashes, idf, (counts[0], counts[1]), k)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 4096, terms: int = 512, purity: float = 0.6,
+def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 4096, terms: int = 512, purity: float = 0.8,
              k: int = 10,
              keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, evidence of each row, and its other columns that `keep` names. labels: doc_id, toxic."""
