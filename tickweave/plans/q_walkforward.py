@@ -105,10 +105,10 @@ _MOM = f"""{_WIN},
       JOIN win ON a.pos > window_id * {TEST} + 1 AND a.pos <= window_id * {TEST} + {TRAIN} GROUP BY 1, 2, 3)"""
 
 
-def moments(spark, sf):
+def moments(spark, sf, days=DAYS):
     p = P.silver(spark, sf)
-    return (P.lake(spark, sf, "window_mu", lambda sp, d: K.window_moments(p, TRAIN, TEST, DAYS)[0]),
-            P.lake(spark, sf, "window_cov", lambda sp, d: K.window_moments(p, TRAIN, TEST, DAYS)[1]))
+    return (P.lake(spark, sf, f"window_mu_{days}", lambda sp, d: K.window_moments(p, TRAIN, TEST, days)[0]),
+            P.lake(spark, sf, f"window_cov_{days}", lambda sp, d: K.window_moments(p, TRAIN, TEST, days)[1]))
 
 
 @query("k2_window_means", sql(f"WITH {_MOM} SELECT window_id, symbol, #mean# AS mean_return, #vol# AS volatility FROM wm"))
@@ -128,16 +128,17 @@ _WTS = f"""{_MOM}, {_parts('window_id', 'wm', 'wc')},
       UNION ALL SELECT window_id, 'benchmark', 'EUROPE', 1.0 FROM win)"""
 
 
-def build_weights(spark, sf):
-    m, c = moments(spark, sf)
+def build_weights(spark, sf, days=DAYS):
+    m, c = moments(spark, sf, days)
     out = K.grid_weights(m, c, len(P.symbols(spark, sf)), UNITS, STRATEGIES)
     for rule in ("equal_weight", "inverse_volatility"):
         out = out.unionByName(K.rule_weights(m, rule))
     return out.unionByName(K.benchmark_weights(m, "EURO"))
 
 
-def weights(spark, sf):
-    return P.lake(spark, sf, "window_weights", build_weights)
+def weights(spark, sf, days=DAYS):
+    """Weights chosen from moments of so many periods a year."""
+    return P.lake(spark, sf, f"window_weights_{days}", lambda sp, d: build_weights(sp, d, days))
 
 
 @query("k3_window_weights", sql(f"WITH {_WTS} SELECT window_id, strategy, symbol, #weight# AS weight FROM wt"))
@@ -150,12 +151,12 @@ _OOS = f"""{_WTS}, oos AS (SELECT strategy, window_id, ts, pos, sum(weight * r)
     wr AS (SELECT strategy, window_id, sum(r) AS test_return, count(*) AS n_days FROM oos GROUP BY 1, 2)"""
 
 
-def build_daily(spark, sf):
-    return K.out_of_sample(P.silver(spark, sf), weights(spark, sf), TRAIN, TEST)
+def build_daily(spark, sf, days=DAYS):
+    return K.out_of_sample(P.silver(spark, sf), weights(spark, sf, days), TRAIN, TEST)
 
 
-def daily(spark, sf):
-    return P.lake(spark, sf, "out_of_sample", build_daily)
+def daily(spark, sf, days=DAYS):
+    return P.lake(spark, sf, f"out_of_sample_{days}", lambda sp, d: build_daily(sp, d, days))
 
 
 @query("k4_k5_out_of_sample", sql(f"WITH {_OOS} SELECT strategy, window_id, ts, #r#8# AS r FROM oos"))
@@ -168,18 +169,19 @@ _CURVE = f"""{_OOS}, cv AS (SELECT strategy, ts, pos, r, exp(sum(r) OVER w) AS e
     pf AS (SELECT strategy, count(*) AS n_days, sum(r) AS s, avg(r) AS m, stddev_samp(r) AS sd, sqrt(avg(least(r - 0.05 / 365, 0) ** 2)) AS dd, max((pk - e) / pk) AS mdd FROM ck GROUP BY 1)"""
 
 
-@query("k6_performance", sql(f"""WITH {_CURVE} SELECT strategy, n_days, #exp(s) - 1# AS cumulative_return, #exp(s) ** (365.0 / n_days) - 1# AS annualized_return, #mdd# AS max_drawdown,
-    #(m - 0.05 / 365) / sd * sqrt(365)# AS sharpe_ratio, #(m - 0.05 / 365) / dd * sqrt(365)# AS sortino_ratio, #(exp(s) ** (365.0 / n_days) - 1) / mdd# AS calmar_ratio FROM pf"""))
+_PERFORMANCE = f"""WITH {_CURVE} SELECT strategy, n_days, #exp(s) - 1# AS cumulative_return, #exp(s) ** (365.0 / n_days) - 1# AS annualized_return, #mdd# AS max_drawdown,
+    #(m - 0.05 / 365) / sd * sqrt(365)# AS sharpe_ratio, #(m - 0.05 / 365) / dd * sqrt(365)# AS sortino_ratio, #(exp(s) ** (365.0 / n_days) - 1) / mdd# AS calmar_ratio FROM pf"""
+
+
+@query("k6_performance", sql(_PERFORMANCE))
 def _(spark, sf):
     return r6(K.performance(daily(spark, sf), 0.05, DAYS), "strategy", "n_days")
 
 
-@query("k6_performance_trad", sql(f"""WITH {_CURVE}, x AS (SELECT strategy, sqrt(avg(least(r - 0.05 / 252, 0) ** 2)) AS dd FROM oos GROUP BY 1)
-    SELECT strategy, n_days, #exp(s) ** (252.0 / n_days) - 1# AS annualized_return,
-    #(m - 0.05 / 252) / sd * sqrt(252)# AS sharpe_ratio, #(m - 0.05 / 252) / x.dd * sqrt(252)# AS sortino_ratio FROM pf JOIN x USING (strategy)"""))
+@query("k6_performance_trad", sql(_PERFORMANCE.replace("365", "252")))
 def _(spark, sf):
-    d = K.performance(daily(spark, sf), 0.05, 252)
-    return r6(d.select("strategy", "n_days", "annualized_return", "sharpe_ratio", "sortino_ratio"), "strategy", "n_days")
+    """252 periods a year throughout: in the moments the weights are chosen from, and in the measures."""
+    return r6(K.performance(daily(spark, sf, 252), 0.05, 252), "strategy", "n_days")
 
 
 @query("k7_equity_curve", sql(f"WITH {_CURVE} SELECT strategy, ts, #e# AS value FROM cv UNION ALL SELECT DISTINCT strategy, NULL, 1.0 FROM oos"))
