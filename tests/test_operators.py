@@ -208,10 +208,12 @@ def test_bronze_contract_and_stages(spark):
 
 
 def test_ranking_table(spark):
-    row = "<tr><td>1</td><td><a>Bitcoin</a></td><td>btc</td><td>$42,000.50</td><td>▼ 1.5%</td><td>$800B</td></tr>"
-    html = f"<p>x</p><table><tr><th>h</th></tr>{row}<tr><td>short</td></tr></table><table>{row}</table>"
-    got = lifecycle.ranking_table(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
-    assert [(r["rank"], r["name"], r["symbol"], r["price"], r["change_pct"], r["market_cap"]) for r in got] == [(1, "Bitcoin", "BTC", 42000.5, -1.5, 8e11)]
+    cell = '<td><a><span class="coin-name">Quill</span> <b class="x symbol">qul</b></a></td>'
+    row = f"<tr><td>1</td>{cell}<td>$7,310.25</td><td>▼ 2.5%</td><td>$36B</td><td>$4.5M</td></tr>"
+    bare = "<tr><td>2</td><td>plain</td><td>$3</td><td>1%</td><td>9K</td></tr>"
+    html = f"<p>x</p><table><tr><th>h</th></tr>{row}{bare}<tr><td>short</td></tr></table><table>{row}</table>"
+    got = lifecycle.ranking_table(spark.createDataFrame([(1, html)], "page_id int, html string")).orderBy("rank").collect()
+    assert [tuple(r)[1:] for r in got] == [(1, "Quill", "QUL", 7310.25, -2.5, 3.6e10, 4.5e6), (2, "Unknown", "UNK", 3.0, 1.0, 9000.0, 0.0)]
 
 
 @pytest.mark.parametrize(("text", "want"), [("$1.5B", 1.5e9), ("2,000", 2000.0), ("3K", 3000.0), ("", 0.0), ("n/a", 0.0), ("1.5X", 0.0), (None, 0.0)])

@@ -67,22 +67,27 @@ def add_ranking(df: DataFrame, ranking: DataFrame) -> DataFrame:
 
 
 def ranking_table(pages: DataFrame, limit: int | None = None, html: str = "html") -> DataFrame:
-    """Rows of the first table of each page: rank, name, symbol, price, change, capitalisation."""
+    """Rows of the first table of each page: rank, name, symbol, price, change, capitalisation, volume.
+
+    Cell 1 holds name and symbol, in elements whose class says so; price, change, capitalisation and volume follow.
+    """
     first = F.regexp_extract(html, r"(?is)<table[^>]*>(.*?)</table>", 1)
     trs = F.regexp_extract_all(first, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
     rows = pages.select("page_id", F.posexplode(trs).alias("p", "tr")).filter("p > 0")
-    cells = F.transform(
-        F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1),
-        lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", "")),
-    )
-    rows = rows.withColumn("c", cells).filter(F.size("c") >= 5)
+    rows = rows.withColumn("raw", F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1)).filter(F.size("raw") >= 5)
     if limit is not None:
         rows = rows.filter(F.col("p") <= limit)
+    rows = rows.withColumn("c", F.transform("raw", lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", ""))))
+
+    def part(word: str, unknown: str) -> Column:
+        found = F.regexp_extract(F.get("raw", F.lit(1)), rf"(?is)<[^>]*class=[^>]*{word}[^>]*>(.*?)<", 1)
+        return F.when(F.trim(found) != "", F.trim(found)).otherwise(unknown)
+
     return rows.select(
-        "page_id", F.col("p").alias("rank"), F.get("c", F.lit(1)).alias("name"),
-        F.upper(F.get("c", F.lit(2))).alias("symbol"), magnitude_number(F.get("c", F.lit(3))).alias("price"),
-        percent_number(F.get("c", F.lit(4))).alias("change_pct"),
-        F.when(F.size("c") > 5, magnitude_number(F.get("c", F.lit(5)))).alias("market_cap"),
+        "page_id", F.col("p").alias("rank"), part("name", "Unknown").alias("name"), F.upper(part("symbol", "UNK")).alias("symbol"),
+        magnitude_number(F.get("c", F.lit(2))).alias("price"), percent_number(F.get("c", F.lit(3))).alias("change_pct"),
+        magnitude_number(F.get("c", F.lit(4))).alias("market_cap"),
+        F.coalesce(magnitude_number(F.get("c", F.lit(5))), F.lit(0.0)).alias("volume"),
     )
 
 

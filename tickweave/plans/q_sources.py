@@ -30,7 +30,8 @@ def _(spark, sf):
     return R.read_bars(spark, _lake(spark, sf), ["click", "view", "absent"])
 
 
-@query("a2_write_bars")
+@query("a2_write_bars", sql("""SELECT symbol, count(*) AS n_rows, sum(volume) * CASE WHEN symbol = 'click' THEN 2 ELSE 1 END AS volume
+    FROM bars_d GROUP BY 1"""))
 def _(spark, sf):
     path = _lake(spark, sf)
     doubled = R.read_bars(spark, path).filter("symbol = 'click'").withColumn("volume", F.col("volume") * 2)
@@ -165,14 +166,14 @@ def _(spark, sf):
     return W.series_long(W.series_wide(long, P.symbols(spark, sf))).withColumn("value", rounded("value"))
 
 
-@query("a11_result_document")
+@query("a11_result_document", sql("SELECT symbol, #weight# AS weight FROM tw"))
 def _(spark, sf):
     path = shared_dir(spark, "document")
     W.write_document(P.target_weights(spark, sf), path, "weights", "2024-01-01T00:00:00")
-    return R.read_document(spark, path)
+    return R.read_document(spark, path).withColumn("weight", rounded("weight"))
 
 
-@query("a12_replace_table")
+@query("a12_replace_table", sql("SELECT symbol, count(*) AS n_rows FROM bars_d WHERE symbol <> 'view' GROUP BY 1"))
 def _(spark, sf):
     path = shared_dir(spark, "table")
     bars = P.event_bars(spark, sf)
@@ -303,6 +304,20 @@ def _(spark, sf):
     return L.link_list(P.table(spark, sf, "pages"))
 
 
+@query("b10_ranking", """
+    SELECT page_id, CAST(k AS INT) AS rank, 'Site ' || page_id AS name, CASE WHEN k = 1 THEN 'P' || page_id ELSE 'UNK' END AS symbol, page_id + 0.5::DOUBLE AS price,
+      -1.5::DOUBLE * k AS change_pct, page_id * 1000000.0::DOUBLE AS market_cap, CASE WHEN k = 1 THEN 2000.0::DOUBLE ELSE 0.0 END AS volume FROM pages, (VALUES (1), (2)) AS t(k)""")
+def _(spark, sf):
+    n = F.col("page_id").cast("string")
+
+    def row(k: int, symbol, volume: str):
+        return F.concat(F.lit(f'<tr><td>{k}</td><td><span class="coin-name">Site '), n, F.lit("</span>"), symbol, F.lit("</td><td>$"), n, F.lit(".5</td><td>"),
+                        F.lit(f"{-1.5 * k}%</td><td>$"), n, F.lit(f"M</td>{volume}</tr>"))
+    tables = F.concat(F.lit("<div><table><tr><th>#</th></tr>"), row(1, F.concat(F.lit("<i class='symbol'>p"), n, F.lit("</i>")), "<td>$2K</td>"),
+                      row(2, F.lit(""), ""), F.lit("</table>"), "html")
+    return L.ranking_table(P.table(spark, sf, "pages").select("page_id", tables.alias("html")))
+
+
 def _two_sources(spark, sf):
     return L.union_sources({
         "events": P.event_bars(spark, sf), "trades": P.weekly_bars(spark, sf),

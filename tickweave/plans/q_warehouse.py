@@ -294,19 +294,19 @@ def _(spark, sf):
     return H.volume_metrics(P.event_bars(spark, sf, "6 hours"), "2024-02-01 06:30:00")
 
 
-@query("f17_file_metrics")
+@query("f17_file_metrics", sql("""SELECT symbol, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, true AS has_bytes FROM bars_d GROUP BY ALL"""))
 def _(spark, sf):
     path = shared_dir(spark, "lake")
     write_bars(P.event_bars(spark, sf), path)
-    f = stored_files(spark, path).withColumn("symbol", F.regexp_extract("path", "symbol=([^/]+)", 1))
-    return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_files"), (F.sum("length") > 0).alias("has_bytes"))
+    month = [F.regexp_extract("path", rf"{k}=([^/]+)", 1).cast(t).alias(k) for k, t in (("symbol", "string"), ("year", "int"), ("month", "int"))]
+    return stored_files(spark, path).groupBy(*month).agg((F.sum("length") > 0).alias("has_bytes"))
 
 
-@query("f18_zone_size")
+@query("f18_zone_size", sql("SELECT count(DISTINCT symbol) > 0 AS has_files, true AS has_bytes FROM bars_d"))
 def _(spark, sf):
     path = shared_dir(spark, "lake")
     write_bars(P.event_bars(spark, sf), path)
-    return zone_size(spark, path)
+    return zone_size(spark, path).select((F.col("n_files") > 0).alias("has_files"), (F.col("n_bytes") > 0).alias("has_bytes"))
 
 
 @query("g2_daily_return", sql("""

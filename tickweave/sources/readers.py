@@ -109,10 +109,3 @@ def zone_size(spark: SparkSession, path: str) -> DataFrame:
     return stored_files(spark, path).agg(
         F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")
     )
-
-
-def zone_path(root: str, zone: str, *parts: str) -> str:
-    """Location of a zone under any root Spark can address (file, hdfs, s3a)."""
-    if zone not in ("raw", "processed", "output"):
-        raise ValueError(f"unknown zone {zone!r}")
-    return "/".join([root.rstrip("/"), zone, *parts])

@@ -47,13 +47,6 @@ def upserted(target: DataFrame, updates: DataFrame, key: list[str], tie: str) ->
     return target.join(newest.select(*key), key, "left_anti").unionByName(newest.select(*target.columns))
 
 
-def write_version(df: DataFrame, root: str) -> str:
-    """Write a new version directory beside the ones being read and return its path."""
-    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return path
-
-
 def write_document(df: DataFrame, path: str, name: str, saved_at: str) -> None:
     meta = F.struct(F.lit(name).alias("name"), F.lit(saved_at).alias("saved_at"))
     df.withColumn("_metadata", meta).write.mode("overwrite").json(path)
