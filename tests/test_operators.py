@@ -255,3 +255,9 @@ def test_bars_break_ties_by_id(spark):
     d = spark.createDataFrame([("a", t, 5.0, 2), ("a", t, 7.0, 1), ("a", t + timedelta(hours=1), 6.0, 0)], "s string, ts timestamp_ntz, p double, id long")
     r = build_bars(d, symbol="s", ts="ts", price="p", bucket="day", tie="id").first()
     assert (r["open"], r["high"], r["low"], r["close"], r["volume"]) == (7.0, 7.0, 5.0, 6.0, 3.0)
+
+
+def test_dimension_ids_of_short_names(spark):
+    names = [f"{chr(97 + i % 26)}{i // 26}" for i in range(300)]
+    got = {r["symbol"]: r["symbol_id"] for r in lifecycle.dimension_type1(spark.createDataFrame([(n,) for n in names + names[:9]], "symbol string")).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names), 1)}

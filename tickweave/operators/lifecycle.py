@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import magnitude_number, percent_number
+from ..session import shared_dir
 from ..timeline import number_rows
 
 
@@ -124,10 +125,17 @@ def retained(df: DataFrame, days: int) -> DataFrame:
     return df.filter(F.col("ts") > newest.scalar() - F.expr(f"INTERVAL {days} DAY"))
 
 
-def dimension_type1(rows: DataFrame, column: str = "symbol", prefix: int = 14) -> DataFrame:
-    """Rebuilt dimension: ids follow the sorted distinct values, numbered inside prefix slices."""
-    distinct = rows.select(F.col(column).alias("symbol")).distinct()
-    return number_rows(distinct, key=(), order=("symbol",), slice_by=F.substring("symbol", 1, prefix), out="symbol_id")
+def dimension_type1(rows: DataFrame, column: str = "symbol") -> DataFrame:
+    """Rebuilt dimension: ids follow the sorted distinct values.
+
+    The values are cut into even ranges by a sample of them, whatever they look like, and numbered inside the ranges.
+    The ranges are written once, since the numbering reads them twice.
+    """
+    cut = rows.select(F.col(column).alias("symbol")).distinct().repartitionByRange("symbol").withColumn("range", F.spark_partition_id())
+    path = shared_dir(rows.sparkSession, "dimension")
+    cut.write.parquet(path)
+    ranged = rows.sparkSession.read.schema(cut.schema).parquet(path)
+    return number_rows(ranged, key=(), order=("symbol",), slice_by=F.col("range"), out="symbol_id").drop("range")
 
 
 def dimension_type2(current: DataFrame, incoming: DataFrame, today: str) -> DataFrame:

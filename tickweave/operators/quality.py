@@ -150,3 +150,10 @@ def accepted(bars: DataFrame) -> Column:
 def quarantine(bars: DataFrame) -> DataFrame:
     """Every bar with whether it is accepted; write it partitioned by that flag to split the sinks."""
     return bars.withColumn("accepted", accepted(bars))
+
+
+def write_quarantine(bars: DataFrame, good: str, bad: str) -> None:
+    """Two sinks: accepted rows and the others."""
+    marked = quarantine(bars)
+    for path, ok in ((good, F.col("accepted")), (bad, ~F.col("accepted"))):
+        marked.filter(ok).drop("accepted").write.parquet(path)

@@ -134,4 +134,7 @@ def _(spark, sf):
     WITH f AS ({_FLAWED}) SELECT symbol, ts, close, coalesce(ts IS NOT NULL AND open IS NOT NULL AND close > 0 AND volume >= 0 AND high >= low, false)
       AS accepted FROM f"""))
 def _(spark, sf):
-    return Q.quarantine(flawed(spark, sf)).select("symbol", "ts", "close", "accepted")
+    good, bad = shared_dir(spark, "accepted"), shared_dir(spark, "quarantine")
+    Q.write_quarantine(flawed(spark, sf), good, bad)
+    both = [spark.read.parquet(path).withColumn("accepted", F.lit(ok)) for path, ok in ((good, True), (bad, False))]
+    return both[0].unionByName(both[1]).select("symbol", "ts", "close", "accepted")

@@ -135,8 +135,11 @@ def _(spark, sf):
     moved = F.when(F.col("volume") > 1, F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 3650 DAY"))
     new = daily.filter("ts >= TIMESTAMP_NTZ'2001-01-01'").select(
         "index_id", moved.alias("ts"), (F.col("close") + 1).alias("close"), (F.col("volume") * 10).alias("volume"))
-    out = W.upserted(daily, new, ["index_id", "ts"], "volume")
-    return out.withColumn("close", rounded("close"))
+    path = shared_dir(spark, "table")
+    daily.select("index_id", "ts", "close", "volume").write.partitionBy("index_id").parquet(path)
+    W.upsert_table(new, path, ["index_id", "ts"], "volume", "index_id", shared_dir(spark, "staging"))
+    out = spark.read.schema(new.schema).parquet(path)
+    return out.select("index_id", "ts", rounded("close").alias("close"), "volume")
 
 
 @query("a9_matrix_wide", sql("""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,14 @@ from pyspark.sql import functions as F
 from . import schemas
 
 
+def listed_symbols(spark: SparkSession, path: str) -> list[str]:
+    """The partition values of a lake, sorted: one listing of its top folder, no file is opened."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(top)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    return sorted(unquote(n.removeprefix("symbol=")) for n in names if n.startswith("symbol="))
+
+
 def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = None) -> DataFrame:
     """Bars of a lake laid out by symbol/year/month; symbols that are not there are skipped.
 
@@ -19,7 +28,7 @@ def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = No
     df = spark.read.schema(f"{schemas.BARS}, symbol STRING, year INT, month INT").parquet(path)
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(*symbols))
-        if df.select("symbol").limit(1).isEmpty():
+        if not set(symbols) & set(listed_symbols(spark, path)):
             raise FileNotFoundError(f"no bars for {', '.join(symbols)} under {path}")
     return df.drop("year", "month")
 
@@ -32,9 +41,8 @@ def read_flat_bars(spark: SparkSession, path: str) -> DataFrame:
 
 def read_any_bars(spark: SparkSession, partitioned: str, flat: str) -> DataFrame:
     """The partitioned lake, plus flat files of those symbols the lake does not hold."""
-    lake = read_bars(spark, partitioned)
-    rest = read_flat_bars(spark, flat).join(lake.select("symbol").distinct(), "symbol", "left_anti")
-    return lake.unionByName(rest)
+    rest = read_flat_bars(spark, flat).filter(~F.col("symbol").isin(listed_symbols(spark, partitioned)))
+    return read_bars(spark, partitioned).unionByName(rest)
 
 
 def stage_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -93,8 +101,8 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """Sorted symbols of a lake; the parquet scan prunes to the partition column."""
-    return read_bars(spark, path).select("symbol").distinct().orderBy("symbol")
+    """Sorted symbols of a lake, from its directory listing."""
+    return spark.createDataFrame([(s,) for s in listed_symbols(spark, path)], "symbol string")
 
 
 def stored_files(spark: SparkSession, path: str) -> DataFrame:

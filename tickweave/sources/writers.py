@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +35,18 @@ def replace_table(df: DataFrame, path: str) -> None:
     )
 
 
+def upsert_table(updates: DataFrame, path: str, key: list[str], tie: str, part: str, staging: str) -> None:
+    """Apply updates to a table stored by ``part``: only the partitions they touch are read, merged and replaced.
+
+    The merge is written to ``staging`` first, as a table cannot be read and replaced in one job.
+    """
+    spark = updates.sparkSession
+    stored = spark.read.parquet(path)
+    touched = stored.join(updates.select(part).distinct(), part, "left_semi")
+    upserted(touched.select(*updates.columns), updates, key, tie).write.parquet(staging)
+    spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
 def upserted(target: DataFrame, updates: DataFrame, key: list[str], tie: str) -> DataFrame:
     """Target rows with updates applied: an update replaces all other columns of its key.
 
