@@ -60,19 +60,15 @@ def test_vectors_add(spark, prose):
 
 
 def test_edited_texts(messy, messy_rows):
-    """The order takes rows that repeat doc_id and text once; ties of doc_id stand in the order of their hash, so only unique ids are compared."""
-    rows = [r for r in messy_rows if r[0] is not None]
-    got = [g for g in fingerprints(messy.where("doc_id is not null")).collect()]
-    assert len(got) == len(rows)
-    order = sorted({(r[0], r[1] or "") for r in rows}, reverse=True)
-    after = {a: order[(i + 1) % len(order)][1] for i, a in enumerate(order)}
-    want = {}
-    for (i, t), n in after.items():
-        k = len(t) // 2
-        want[i] = (len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest())
-    for g in got:
-        assert (g["n_chars"], g["edited_sha256"]) == want[g["doc_id"]]
-        assert 0 <= g["near_edited"] <= 1 and 0 <= g["near_next"] <= 1
+    """Rows that repeat doc_id and text are documents of their own; the order of null ids is that of a hash, so they are only counted."""
+    rows = sorted(((r[0], r[1] or "") for r in messy_rows if r[0] is not None), reverse=True)
+    want = []
+    for i, (doc, t) in enumerate(rows):
+        n, k = rows[(i + 1) % len(rows)][1], len(t) // 2
+        want.append((doc, len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
+    got = fingerprints(messy.where("doc_id is not null")).collect()
+    assert sorted((g["doc_id"], g["n_chars"], g["edited_sha256"]) for g in got) == sorted(want)
+    assert all(0 <= g["near_edited"] <= 1 and 0 <= g["near_next"] <= 1 for g in got)
     assert fingerprints(messy).count() == len(messy_rows)
 
 
