@@ -38,6 +38,7 @@ from .words import mix, shingles, word_hashes
 
 ROUNDS = 1
 LAST = 16  # tokens before an entry that it carries
+LARGE = 64  # members from which a component's are not held against each other
 SURPLUS = 4  # percent of the size
 SMALL = 500_000  # rows of at most 40 bytes up to which a list of ids is broadcast (20 MB); beyond it is joined by shuffle
 
@@ -186,15 +187,25 @@ def crowded(full: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
             y = rows.withColumn("turn", turn).join(lead, ["token", "turn"]).alias("y")
             pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & near)
         else:
-            spans = rows.groupBy("token", "comp").agg(F.min("size").alias("small"), F.max("size").alias("large"))
-            p, q = spans.alias("p"), spans.alias("q")
-            meet = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp"))
-                          & (100 * F.col("p.large") >= percent * F.col("q.small")) & (100 * F.col("q.large") >= percent * F.col("p.small")))
-            meet = meet.select(F.col("p.token").alias("token"), F.col("p.comp").alias("c"), F.col("q.comp").alias("d")).alias("m")
             # classes that share one of the tokens just before meet there already
             first = ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
-            pairs = (meet.join(x, (F.col("m.token") == F.col("x.token")) & (F.col("m.c") == F.col("x.comp")))
-                     .join(y, (F.col("m.token") == F.col("y.token")) & (F.col("m.d") == F.col("y.comp")) & near & first))
+            size = rows.groupBy("comp").agg((F.countDistinct("unit") > LARGE).alias("large"))
+            rows = written(rows.join(size, "comp"), "jaccard-rows")
+            # large components against each other, pair by pair of components; all others within their buckets, so that the
+            # members of a large component are not held against each other
+            spans = rows.where("large").groupBy("token", "comp").agg(F.count("*").alias("n"))
+            p, q = spans.alias("p"), spans.alias("q")
+            meet = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") != F.col("q.comp"))
+                          & (F.struct("p.n", "p.comp") < F.struct("q.n", "q.comp")))
+            meet = meet.select(F.col("p.token").alias("token"), F.col("p.comp").alias("c"), F.col("q.comp").alias("d")).alias("m")
+            x, y = rows.where("large").alias("x"), rows.where("large").alias("y")
+            both = (meet.join(x, (F.col("m.token") == F.col("x.token")) & (F.col("m.c") == F.col("x.comp")))
+                    .join(y, (F.col("m.token") == F.col("y.token")) & (F.col("m.d") == F.col("y.comp")) & near & first))
+            x, y = rows.where("not large").alias("x"), rows.alias("y")
+            other = F.col("y.large") | (F.col("x.comp") < F.col("y.comp"))
+            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & other & near & first)
+            pairs = both.select("x.unit", F.col("y.unit").alias("other")).union(pairs.select("x.unit", "y.unit"))
+            pairs = pairs.select(F.struct("unit").alias("x"), F.struct(F.col("other").alias("unit")).alias("y"))
         new = verified(pairs.select(*ordered(F.col("x.unit"), F.col("y.unit"))).distinct(), full, percent)
         links = written(new if links is None else links.union(new), "jaccard-links")
     return links
