@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tickweave.llm import jaccard
 from tickweave.llm.components import components
 from tickweave.llm.jaccard import jaccard_join
 
@@ -49,9 +50,10 @@ def test_messy(spark, messy, messy_rows):
     check(spark, messy_rows, messy)
 
 
-@pytest.mark.parametrize("frequent", [1, 6, 16])
-def test_near_copies_and_shared_passages(spark, prose, frequent):
+@pytest.mark.parametrize(("frequent", "large"), [(1, 64), (1, 2), (6, 3), (16, 64)])
+def test_near_copies_and_shared_passages(spark, prose, monkeypatch, frequent, large):
     """A large group of near copies, texts made mostly of one passage, and pairs at the limit of similarity."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
     r, rows = random.Random(7), []
     base, passage = prose(10, 80).split(), prose(11, 40).split()
     for i in range(40):
