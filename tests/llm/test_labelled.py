@@ -7,7 +7,7 @@ import pytest
 from tickweave.llm.common import table
 from tickweave.llm.q_labels import op1, op2
 from tickweave.llm.quality import NAMES, Discriminant, quality, statistics
-from tickweave.llm.toxicity import build, term_hashes, toxicity
+from tickweave.llm.toxicity import build, term_hashes, toxicity, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,3 +87,25 @@ def test_evidence_names_labelled_neighbours(spark, prose):
     assert all((g["score"] >= 0.7) == (g["doc_id"] % 4 == 0) for g in got)
     assert all(e["doc_id"] < 200 and e["label"] == 1 for g in got for e in g["evidence"])
     assert all("scumbag" in g["text"] for g in got if g["evidence"])
+
+
+def test_a_chance_term_does_not_make_a_clean_text_toxic(spark, prose):
+    """Clean texts with a word that some toxic examples have by chance: all their other words count, too."""
+    topic = [prose(1000 + i, 40) for i in range(4)]
+    rows = [(i, topic[i % 4] + " " + prose(i, 5) + (" scumbag" * 3 if i % 4 == 0 else "") + (" zufall" if i % 12 == 0 else "")) for i in range(400)]
+    rows += [(1000 + i, (topic[1 + i % 3] + " ") * 3 + "zufall") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity(docs, labels_of(spark, [(i, int(i % 4 == 0)) for i in range(200)], "toxic")).where("doc_id >= 200").collect()
+    assert all(g["score"] >= 0.7 for g in got if g["doc_id"] < 1000 and g["doc_id"] % 4 == 0)
+    assert all(g["score"] < 0.1 for g in got if g["doc_id"] >= 1000)
+
+
+def test_idf_counts_all_documents(spark):
+    rows = [(i, f"{'aaa' if i % 2 else 'bbb'} ccc") for i in range(20)] + [(100 + i, "aaa") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = train(docs, labels_of(spark, [(i, int(i % 2)) for i in range(20)], "toxic"), 4096, 512, 0.8, 10)
+    df = {r[0]: r[1] for r in [("aaa", 90), ("bbb", 10), ("ccc", 20)]}
+    for word, n in df.items():
+        at = np.searchsorted(index.terms, term_hashes(pa.array([word]))[1][0])
+        assert index.idf[at] >= np.log(101 / (1 + n)) + 1 - 1e-9
+        assert word == "aaa" or index.idf[at] == pytest.approx(np.log(101 / (1 + n)) + 1)

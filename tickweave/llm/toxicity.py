@@ -1,16 +1,17 @@
-"""Operator 2, toxicity: votes of the nearest labelled examples, found exactly in a block-max inverted index.
+"""Operator 2, toxicity: votes of the nearest labelled examples, found exactly by cosine.
 
 Examples are at most `examples` labelled rows of each class (those with the smallest hash of doc_id). Terms are words and
-their first 4 to 8 bytes, lower-cased; of those of whose examples a
-share of `purity` is toxic, the `terms` terms that stand out most by log-likelihood ratio are
-taken, less those that a taken term of the same purity starts. Vectors are TF-IDF of unit length over those terms. Examples are laid in blocks of alike ones; for
-each term and block the index holds the postings and their largest weight. A query takes blocks in falling order of their
-bound (query weights times block maxima) until the bound is below the k-th best cosine: the result is that of a full scan.
+their first 4 to 8 bytes, lower-cased. Vectors hold all terms of the examples, clean ones too: TF-IDF of unit length, idf from
+the number of documents (all of them) with the term. A term that more often stands in toxic examples than chance has it counts
+`1 + WEIGHT * gain * purity ** 4` times, by its log-likelihood ratio and the share of toxic ones among its examples; others
+count once. Terms of many examples are rows of a matrix, the others lists of postings: together they give the cosines with
+all examples in single precision, and those that may be among the k best are computed again in double precision.
 
 The score is the share of toxic votes, each weighted by the cube of its cosine and by how many labelled rows its example stands for,
 smoothed by the rate of toxic rows among the examples without any term; a text without terms (a null or empty one too) has
-that rate as its score. Without labelled rows of both classes every score is the share of toxic labels, or 0. Evidence: the
-neighbours' doc_id, label and cosine, nearest first, ties by doc_id.
+that rate as its score. Without labelled rows of both classes every score is the share of toxic labels, or 0. Evidence: of the
+neighbours those that share a telling term with the text, with doc_id, label and cosine, nearest first, ties by doc_id.
+Telling are the `terms` terms with the largest gain of those whose purity is at least `purity`.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from .labelled import held_out, training
 from .words import _BASE, _LOWER, _VALUE, _cuts, mix, powers, word_spans
 
 LEADING = (4, 5, 6, 7, 8)
-BLOCK = 64
-GROUP = 8  # blocks that are scored together
-#: Least log-likelihood ratio of a term: what chance gives to one in some 20,000 terms.
+GROUP = 32  # texts that are scored together
+COMMON = 8  # a term in one of so many examples is a row of the matrix
+WEIGHT = 0.5
+#: Least log-likelihood ratio of a telling term: what chance gives to one in some 20,000 terms.
 GAIN = 10.0
 #: Votes of the rate of texts without terms.
-SMOOTH = 0.05
+SMOOTH = 0.001
 
 
 def term_hashes(texts: pa.Array, wanted: np.ndarray | None = None, level: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -79,61 +81,100 @@ def term_places(texts: pa.Array, wanted: np.ndarray | None, level: int | None) -
     return np.concatenate(places), np.concatenate(found)
 
 
-def nests(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(longer, shorter) for every two wanted terms (sorted hashes) that start at one place."""
-    if not len(wanted):
-        return
-    by_place: dict[int, list[int]] = {}
-    for level in (*LEADING, 0):  # growing length: whole words come last
-        at, h = term_places(texts, wanted, level)
-        for place, term in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-            by_place.setdefault(place, []).append(term)
-    for found in by_place.values():
-        for i, longer in enumerate(found):
-            for shorter in found[:i]:
-                yield longer, shorter
+class Lookup:
+    """Places of hashes in a sorted array: the first bits of a hash lead to where it must stand."""
+
+    def __init__(self, terms: np.ndarray):
+        bits = max(1, len(terms).bit_length() + 1)
+        self.terms, self.shift = terms, np.uint64(64 - bits)
+        self.first = np.searchsorted(terms, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for those that are not there."""
+        found = np.full(len(hashes), -1, np.int32)
+        left = np.arange(len(hashes))
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        while len(left):
+            inside = at < len(self.terms)
+            left, at = left[inside], at[inside]
+            here, want = self.terms[at], hashes[left]
+            hit = here == want
+            found[left[hit]] = at[hit]
+            on = here < want
+            left, at = left[on], at[on] + 1
+        return found
+
+    def counted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, place, count) of the terms of the texts, in this order."""
+        keys = []
+        for k in (0, *LEADING):
+            number, h = term_hashes(texts, None, k)
+            place = self.of(h)
+            keys.append((number * len(self.terms) + place)[place >= 0])
+        key, tf = np.unique(np.concatenate(keys), return_counts=True)
+        return *np.divmod(key, max(1, len(self.terms))), tf
 
 
 @dataclass
 class Index:
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
-    postings: np.ndarray  # weights of BLOCK examples for each term and block that has any; row 0 is empty
-    list_of: np.ndarray  # the row of postings of each term and block
-    bound: np.ndarray  # largest weight of each term and block
+    idf: np.ndarray  # times what the term counts
+    telling: np.ndarray  # which terms are
     ids: np.ndarray
     label: np.ndarray
-    stands_for: np.ndarray
-    rate: float  # of toxic rows without a term
     k: int
+    lookup: Lookup
+    stands_for: np.ndarray = None
+    rate: float = 0.0  # of toxic rows without a term
+    rows: tuple = ()  # starts, term, weight of the examples
+    lists: tuple = ()  # starts, example, weight of the terms that few examples have
+    row_of: np.ndarray = None  # of a common term in `common`, else -1
+    common: np.ndarray = None
+    tells: tuple = ()  # the telling terms of each example
+    spread: np.ndarray | None = None  # room for the weights of one text
+
+    def weighed(self, row: np.ndarray, term: np.ndarray, tf: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.idf[term]
+        norm = np.sqrt(np.bincount(row, w * w, minlength=count))
+        return np.searchsorted(row, np.arange(count + 1)), term, w / norm[row]
 
     def vectors(self, number: np.ndarray, hashes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit TF-IDF rows as (starts, term, weight)."""
         term = np.searchsorted(self.terms, hashes)
         key, tf = np.unique(number * len(self.terms) + term, return_counts=True)
         row, term = np.divmod(key, max(1, len(self.terms)))
-        w = (1 + np.log(tf)) * self.idf[term]
-        norm = np.sqrt(np.bincount(row, w * w, minlength=count))
-        return np.searchsorted(row, np.arange(count + 1)), term, w / norm[row]
-
-    def nearest(self, term: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.weighed(row, term, tf, count)
+
+    def cosines(self, starts: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of texts (rows) with all examples, in single precision."""
+        count, n = len(starts) - 1, len(self.ids)
+        row, place = np.repeat(np.arange(count), np.diff(starts)), self.row_of[term]
+        often = place >= 0
+        q = np.zeros((count, len(self.common)), np.float32)
+        q[row[often], place[often]] = weight[often]
+        row, term, weight = row[~often], term[~often], weight[~often]
+        at, example, w = self.lists
+        size = at[term + 1] - at[term]
+        post = np.repeat(at[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        rest = np.bincount(np.repeat(row * n, size) + example[post], np.repeat(weight, size) * w[post], minlength=count * n)
+        return q @ self.common + rest.reshape(count, n).astype(np.float32)
+
+    def nearest(self, term: np.ndarray, q: np.ndarray, rough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above 0."""
-        bounds = q @ self.bound[term]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        cos, num, floor = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for lo in range(0, len(order), GROUP):
-            some = order[lo : lo + GROUP]
-            if bounds[some[0]] < floor - 1e-9:
-                break
-            scores = np.tensordot(q, self.postings[self.list_of[term[:, None], some]], 1)
-            hit = np.flatnonzero(scores.ravel() > max(floor - 1e-9, 0.0))
-            cos = np.concatenate([cos, scores.ravel()[hit]])
-            num = np.concatenate([num, some[hit // BLOCK] * BLOCK + hit % BLOCK])
-            top = np.lexsort((self.ids[num], -np.round(cos, 9)))[: self.k]
-            cos, num = cos[top], num[top]
-            floor = cos[-1] if len(top) == self.k else 0.0
-        return num, cos
+        if rough is None:
+            rough = self.cosines(np.array([0, len(term)]), term, q)[0]
+        floor = np.partition(rough, -self.k)[-self.k] if len(rough) > self.k else 0.0
+        num = np.flatnonzero((rough > 0) & (rough >= floor - 1e-4))
+        starts, terms, weights = self.rows
+        size = starts[num + 1] - starts[num]
+        at = np.repeat(starts[num] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        if self.spread is None:
+            self.spread = np.zeros(len(self.terms))
+        self.spread[term] = q
+        cos = np.bincount(np.repeat(np.arange(len(num)), size), self.spread[terms[at]] * weights[at], minlength=len(num))
+        self.spread[term] = 0.0
+        top = np.lexsort((self.ids[num], -np.round(cos, 9)))[: self.k]
+        return num[top], cos[top]
 
     def score(self, num: np.ndarray, cos: np.ndarray) -> float:
         votes = cos**3 * self.stands_for[num]
@@ -143,33 +184,37 @@ class Index:
 def build(examples: list, terms: np.ndarray, idf: np.ndarray, totals: tuple[int, int], k: int) -> Index:
     """examples: (doc_id, label, term hashes with repeats); totals: labelled rows of both classes."""
     ids, label = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples])
-    index = Index(terms, idf, *[np.zeros(0)] * 3, ids, label, np.zeros(0), 0.0, k)
     number = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-    hashes = np.array([h for e in examples for h in e[2]], np.int64).astype(np.uint64)
-    starts, term, weight = index.vectors(number, hashes, len(examples))
+    place = np.searchsorted(terms, np.array([h for e in examples for h in e[2]], np.int64).astype(np.uint64))
+    key, tf = np.unique(number * len(terms) + place, return_counts=True)
+    return laid_out(ids, label, *np.divmod(key, max(1, len(terms))), tf, terms, idf, np.zeros(len(terms), bool), totals, k)
+
+
+def laid_out(ids: np.ndarray, label: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, terms: np.ndarray, idf: np.ndarray,
+             telling: np.ndarray, totals: tuple[int, int], k: int) -> Index:
+    """row, term, tf: each example's terms as places in `terms`, in order."""
+    index = Index(terms, idf, telling, ids, label, k, Lookup(terms))
+    starts, term, weight = index.rows = index.weighed(row, term.astype(np.int32), tf, len(ids))
     stands = np.array([totals[c] / max(1, (label == c).sum()) for c in (0, 1)])[label]
     none = np.diff(starts) == 0
     index.rate = float((stands * label)[none].sum() + 0.01) / float(stands[none].sum() + 1)
-    first = np.array([term[a + np.argmax(weight[a:b])] if b > a else len(terms) for a, b in zip(starts, starts[1:], strict=False)])
-    order = np.lexsort((ids, label, first))  # alike examples share a block; those without terms come last
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    index.ids, index.label, index.stands_for = ids[order], label[order], (stands / stands.min())[order]
-    blocks = -(-len(examples) // BLOCK)
-    at = rank[np.repeat(np.arange(len(examples)), np.diff(starts))]
-    pair, row = np.unique(term * blocks + at // BLOCK, return_inverse=True)
-    index.postings = np.zeros((len(pair) + 1, BLOCK))
-    index.postings[row + 1, at % BLOCK] = weight
-    index.list_of = np.zeros(len(terms) * blocks, np.int32)
-    index.list_of[pair] = np.arange(len(pair)) + 1
-    index.list_of = index.list_of.reshape(len(terms), blocks)
-    index.bound = np.zeros((len(terms), blocks))
-    np.maximum.at(index.bound, (term, at // BLOCK), weight)
+    index.stands_for = stands / stands.min()
+    told = telling[term]
+    index.tells = tuple(set(t.tolist()) for t in np.split(term[told], np.searchsorted(row[told], np.arange(1, len(ids)))))
+    often = np.flatnonzero(np.bincount(term, minlength=len(terms)) * COMMON > len(ids))
+    index.row_of = np.full(len(terms), -1, np.int32)
+    index.row_of[often] = np.arange(len(often))
+    place = index.row_of[term]
+    index.common = np.zeros((len(often), len(ids)), np.float32)
+    index.common[place[place >= 0], row[place >= 0]] = weight[place >= 0]
+    few = np.flatnonzero(place < 0)
+    few = few[np.argsort(term[few], kind="stable")]
+    index.lists = np.searchsorted(term[few], np.arange(len(terms) + 1)), row[few].astype(np.int32), weight[few].astype(np.float32)
     return index
 
 
 def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, purity: float, k: int) -> Index | float:
-    """The index, or the share of toxic labels where one class has none. What reaches the driver is bounded by examples * terms."""
+    """The index, or the share of toxic labels where one class has none. What reaches the driver are the terms of 2 * examples texts."""
     rows = training(labels, "toxic")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -177,62 +222,68 @@ def train(docs: DataFrame, labels: DataFrame, examples: int, terms: int, purity:
     some = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for c in (0, 1)]
     picked = F.broadcast(some[0].union(some[1]))  # 2 * examples rows at most
     texts = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id"), "toxic-examples")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text", 1 << 20):
-            for k in (0, *LEADING):
-                number, h = term_hashes(b.column("text"), None, k)
-                order = np.lexsort((h, number))
-                number, h = number[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (number[1:] != number[:-1]) | (h[1:] != h[:-1])
-                yield pa.RecordBatch.from_arrays([b.column("label").take(pa.array(number[new])), pa.array(np.full(new.sum(), k), pa.int32()),
-                                                  pa.array(h[new].view(np.int64))], ["label", "level", "term"])
-
     n = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     if len(n) < 2:
         return 1.0 * bool(n.get(1))
-    df = texts.mapInArrow(each, "label int, level int, term long").groupBy("term").agg(
-        F.min(F.when(F.col("level") > 0, F.col("level")).otherwise(99)).alias("level"),
-        F.sum(F.col("label").cast("long")).alias("bad"), F.count("*").alias("all"))
-    bad, good = F.col("bad"), F.col("all") - F.col("bad")
-    rate = n[1] / (n[0] + n[1])
-    gain = bad * F.log(bad / (F.col("all") * rate)) + F.when(good > 0, good * F.log(good / (F.col("all") * (1 - rate)))).otherwise(0.0)
-    best = df.where((bad > 0) & (gain >= GAIN) & (bad / F.col("all") >= purity)).orderBy(gain.desc(), "term").limit(terms).collect()
-    pure = {r["term"]: r["bad"] / r["all"] for r in best}
-
-    def nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(term, shorter): a kept term that starts a longer one."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct terms of each example and how often it has them."""
         for b in small_batches(batches, "text", 1 << 20):
-            pairs = set(nests(b.column("text"), np.array(sorted(t % (1 << 64) for t in pure), np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["term", "shorter"])
-
-    under = texts.mapInArrow(nested, "term long, shorter long").distinct().collect() if best else []
-    vain = {r[0] for r in under if pure[r[1]] >= pure[r[0]] - 0.02}
-    best = [r for r in best if r["term"] not in vain]
-    best.sort(key=lambda r: r["term"] % (1 << 64))
-    hashes = np.array([r["term"] for r in best], np.int64).astype(np.uint64)
+            found = [term_hashes(b.column("text"), None, level) for level in (0, *LEADING)]
+            number, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            order = np.lexsort((h, number))
+            number, h = number[order], h[order]
+            new = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (h[1:] != h[:-1])])[: len(h)])
+            tf, number = np.diff(np.append(new, len(h))), number[new]
+            at = pa.array(np.searchsorted(number, np.arange(b.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("label"), pa.ListArray.from_arrays(at, pa.array(h[new].view(np.int64))),
+                 pa.ListArray.from_arrays(at, pa.array(tf, pa.int32()))], ["doc_id", "label", "terms", "tf"])
+
+    found = texts.mapInArrow(each, "doc_id long, label int, terms array<long>, tf array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    ids, label = found.column("doc_id").to_numpy(), found.column("label").to_numpy()
+    lists = found.column("terms").combine_chunks()
+    hashes = lists.flatten().to_numpy().view(np.uint64)
+    tf = found.column("tf").combine_chunks().flatten().to_numpy()
     if not len(hashes):
         return counts[1] / (counts[0] + counts[1])
-    idf = np.log((1 + n[0] + n[1]) / (1 + np.array([r["all"] for r in best]))) + 1
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+    words, term = np.unique(hashes, return_inverse=True)
+    bad = np.bincount(term, label[row] == 1, minlength=len(words))
+    each_has = np.bincount(term, minlength=len(words))
+    good, rate, pure = each_has - bad, n[1] / (n[0] + n[1]), bad / each_has
+    gain = bad * np.log(np.maximum(bad, 1) / (each_has * rate)) + good * np.log(np.maximum(good, 1) / (each_has * (1 - rate)))
+    gain = np.where(pure > rate, np.maximum(gain, 0.0), 0.0)
+    telling = np.zeros(len(words), bool)
+    best = np.flatnonzero((gain >= GAIN) & (pure >= purity))
+    telling[best[np.lexsort((words[best], -gain[best]))[:terms]]] = True
+
+    held = docs.sparkSession.sparkContext.broadcast(Lookup(words))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents of a task have each term."""
+        lookup, total = held.value, np.zeros(len(held.value.terms), np.int64)
         for b in small_batches(batches, "text"):
-            number, h = term_hashes(b.column("text"), hashes)
-            order = np.argsort(number, kind="stable")
-            at = np.searchsorted(number[order], np.arange(b.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), lists], ["doc_id", "label", "terms"])
+            total += np.bincount(lookup.counted(b.column("text"))[1], minlength=len(total))
+        some = np.flatnonzero(total)
+        for lo in range(0, len(some), 1 << 16):
+            part = some[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], ["term", "n"])
 
-    found = texts.mapInArrow(chosen, "doc_id long, label int, terms array<long>").orderBy("doc_id").collect()
-    return build([(r[0], r[1], r[2]) for r in found], hashes, idf, (counts[0], counts[1]), k)
+    have = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(documents, "term int, n long")
+    have = have.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(words), np.int64)
+    df[have.column("term").to_numpy()] = have.column("n").to_numpy()
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    order = np.lexsort((term, row))
+    return laid_out(ids, label, row[order], term[order], tf[order], words, idf * (1 + WEIGHT * gain * pure**4), telling, (counts[0], counts[1]), k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 4096, terms: int = 512, purity: float = 0.8,
              k: int = 10,
              keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, evidence of each row, and its other columns that `keep` names. labels: doc_id, toxic."""
-    index = train(docs, labels, examples, terms, purity, k)
+    trained = docs.sparkSession.sparkContext.broadcast(train(docs, labels, examples, terms, purity, k))
 
     keep = [c for c in keep if c != "doc_id"]
     source = docs.select("doc_id", *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)), F.coalesce("text", F.lit("")).alias("scored"))
@@ -240,20 +291,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 4096, terms: in
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = trained.value
         for b in small_batches(batches, "scored"):
             scores, evidence = [], []
             if isinstance(index, float):
                 scores, evidence = [index] * b.num_rows, [[]] * b.num_rows
             else:
-                at, term, weight = index.vectors(*term_hashes(b.column("scored"), index.terms), b.num_rows)
-                for lo, hi in zip(at, at[1:], strict=False):
-                    if lo == hi:
-                        scores.append(index.rate)
-                        evidence.append([])
-                        continue
-                    num, cos = index.nearest(term[lo:hi], weight[lo:hi])
-                    scores.append(index.score(num, cos))
-                    evidence.append([{"doc_id": int(index.ids[i]), "label": int(index.label[i]), "cosine": float(c)} for i, c in zip(num, cos, strict=True)])
+                at, term, weight = index.weighed(*index.lookup.counted(b.column("scored")), b.num_rows)
+                for first in range(0, b.num_rows, GROUP):
+                    starts = at[first : first + GROUP + 1]
+                    part = slice(starts[0], starts[-1])
+                    rough = index.cosines(starts - starts[0], term[part], weight[part])
+                    for i, (lo, hi) in enumerate(zip(starts, starts[1:], strict=False)):
+                        if lo == hi:
+                            scores.append(index.rate)
+                            evidence.append([])
+                            continue
+                        num, cos = index.nearest(term[lo:hi], weight[lo:hi], rough[i])
+                        tells = set(term[lo:hi][index.telling[term[lo:hi]]].tolist())
+                        scores.append(index.score(num, cos))
+                        evidence.append([{"doc_id": int(index.ids[j]), "label": int(index.label[j]), "cosine": float(c)}
+                                         for j, c in zip(num, cos, strict=True) if not tells.isdisjoint(index.tells[j])])
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in names), pa.array(scores, pa.float64()), pa.array(evidence, kind)], [*names, "score", "evidence"])
 
