@@ -39,6 +39,23 @@ def test_bad_templates_are_rejected(spark):
     assert url_filter(pages.limit(0), labels, RULES).count() == 0
 
 
+def test_merging_does_not_chain(spark):
+    """30 sibling branches with bad shares evenly from 0 to 1: no group holds two that differ significantly."""
+    names = [f"{chr(97 + i // 6)}{chr(97 + i % 6)}x" for i in range(30)]
+    rows = [(200 * i + j, f"http://h.com/{name}/{j}", int(j < 200 * i / 29)) for i, name in enumerate(names) for j in range(200)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(10000 + i, f"http://h.com/q{chr(97 + i)}/1") for i in range(2)], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "page_id long, bad int")
+    got = url_filter(pages, labels, []).where("page_id < 10000").groupBy("template").agg(F.min("group").alias("group"), F.min("bad_share").alias("share")).collect()
+    place = {g["template"]: (names.index(g["template"][1:4]), g["group"]) for g in got}
+    assert len(place) == 30
+    for i, a in place.values():
+        for k, b in place.values():
+            p, q = (200 * i / 29 + 5) / 210, (200 * k / 29 + 5) / 210
+            error = (((p + q) / 2) * (1 - (p + q) / 2) * 2 / 210) ** 0.5
+            assert a != b or abs(p - q) <= 2.2 * error
+    assert all(abs(g["share"] - place[g["template"]][0] / 29) < 0.12 for g in got)
+
+
 def test_every_page_has_one_row(spark):
     got = op6(spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()

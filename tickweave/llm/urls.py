@@ -2,8 +2,9 @@
 
 Paths are cut into segments. In each host, level by level, a segment becomes a wildcard if it looks like an identifier
 (with a digit) or if its parent has more than `spread` different segments at this level: what is left is a template.
-Branches of one host whose templates have the same shape are merged, in order of their shares of bad pages, where neighbours
-do not differ significantly (a two-sample z test on smoothed shares). A merged template is
+Branches of one host whose templates have the same shape are put into BANDS bands of their shares of bad pages, and bands,
+in order, into groups: a band starts a new group if it differs significantly from any band of the group before (a two-sample
+z test on the smoothed shares of all their pages), so no two bands of a group do. A merged template is
 rejected when its share of bad labelled pages, smoothed by `prior` pages of the overall share, is at least `reject`; pages
 of templates without labels have the overall share.
 
@@ -14,12 +15,15 @@ back is one row per segment or template. Null urls and urls without `://` have a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 WILD = "*"
+BANDS = 256  # of equal width in the arc sine of the root of the share, 0.6 percentage points at most
 
 
 def host_of(url: Column) -> Column:
@@ -65,22 +69,42 @@ def generalised(pages: DataFrame, levels: int, spread: int) -> DataFrame:
     return rows.withColumn("template", F.concat("template", F.array_repeat(F.lit(WILD), rest))).drop("segments")
 
 
+def grouped(bands: Column, overall: Column, prior: float, z: float) -> Column:
+    """(band, run) of each of at most BANDS bands (band, n, bad) in order; run numbers its group."""
+    kind = "struct<run:int,held:array<struct<share:double,weight:double>>,placed:array<struct<band:bigint,run:int>>>"
+
+    def differs(a: Column, b: Column) -> Column:
+        common = (a["share"] * a["weight"] + b["share"] * b["weight"]) / (a["weight"] + b["weight"])
+        return F.abs(a["share"] - b["share"]) > z * F.sqrt(common * (1 - common) * (1 / a["weight"] + 1 / b["weight"]))
+
+    def add(so_far: Column, band: Column) -> Column:
+        me = F.struct(((band["bad"] + prior * overall) / (band["n"] + prior)).alias("share"), (band["n"] + prior).cast("double").alias("weight"))
+        new = F.exists(so_far["held"], lambda other: differs(other, me))
+        run = F.when(new, so_far["run"] + 1).otherwise(so_far["run"])
+        held = F.when(new, F.array(me)).otherwise(F.concat(so_far["held"], F.array(me)))
+        return F.struct(run.alias("run"), held.alias("held"), F.concat(so_far["placed"], F.array(F.struct(band["band"], run.alias("run")))).alias("placed")).cast(kind)
+
+    start = F.struct(F.lit(0).alias("run"), F.array().alias("held"), F.array().alias("placed")).cast(kind)
+    return F.aggregate(bands, start, add)["placed"]
+
+
 def merged(stats: DataFrame, overall: Column, prior: float, z: float) -> DataFrame:
-    """host, template, group, n, bad: templates of one shape in a host, in order of their share, join the one before if the two are alike.
+    """host, template, group, n, bad: templates of one shape in a host are one group where their bands do not differ.
 
-    A group of several templates is named by their shape and its place in that order; its n and bad are summed.
+    A group of several templates is named by their shape and its place in the order of shares; its n and bad are summed.
     """
     shape = F.transform("template", lambda s: F.lit(WILD))
-    rows = stats.withColumns({"shape": shape, "share": (F.col("bad") + prior * overall) / (F.col("n") + prior), "weight": F.col("n") + prior})
-    line = Window.partitionBy("host", "shape").orderBy("share", "template")
-    last, last_weight = F.lag("share").over(line), F.lag("weight").over(line)
-    common = (F.col("share") * F.col("weight") + last * last_weight) / (F.col("weight") + last_weight)
-    error = F.sqrt(common * (1 - common) * (1 / F.col("weight") + 1 / last_weight))
-    rows = rows.withColumn("new", F.coalesce(F.abs(F.col("share") - last) > z * error, F.lit(False)).cast("int"))
-    rows = rows.withColumn("run", F.sum("new").over(line))
-    run = Window.partitionBy("host", "shape", "run")
-    group = F.when(F.count("*").over(run) == 1, F.col("template")).otherwise(F.concat("shape", F.array(F.concat(F.lit("~"), F.col("run")))))
-    return rows.select("host", "template", group.alias("group"), F.sum("n").over(run).alias("n"), F.sum("bad").over(run).alias("bad"))
+    share = (F.col("bad") + prior * overall) / (F.col("n") + prior)
+    band = F.floor(F.asin(F.sqrt(F.least(share, F.lit(1.0)))) * (2 * BANDS / math.pi)).cast("long")
+    rows = written(stats.withColumns({"shape": shape, "band": band}), "url-bands")
+    bands = rows.groupBy("host", "shape", "band").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("kinds"))
+    lists = bands.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("band", "n", "bad", "kinds"))).alias("bands"))
+    lists = lists.withColumn("placed", F.explode(F.arrays_zip("bands", grouped(F.col("bands"), overall, prior, z).alias("runs"))))
+    placed = written(lists.select("host", "shape", "placed.bands.*", "placed.runs.run"), "url-runs")
+    runs = placed.groupBy("host", "shape", "run").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("kinds").alias("kinds"))
+    known = placed.select("host", "shape", "band", "run").join(runs, ["host", "shape", "run"])
+    group = F.when(F.col("kinds") == 1, F.col("template")).otherwise(F.concat("shape", F.array(F.concat(F.lit("~"), F.col("run")))))
+    return rows.drop("n", "bad").join(known, ["host", "shape", "band"]).select("host", "template", group.alias("group"), "n", "bad")
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], levels: int = 6, spread: int = 32, prior: float = 10.0,
