@@ -39,6 +39,21 @@ def test_bad_templates_are_rejected(spark):
     assert url_filter(pages.limit(0), labels, RULES).count() == 0
 
 
+def test_supported_segments_stay(spark):
+    """Beside a long tail of rare names, with digits, and below the sixth level."""
+    kinds = [("wide", "spam", "news"), ("digit", "mp3", "v2"), ("a/b/c/d/e/f", "spam", "news")]
+    rows = [(100 * k + i, f"http://h{k}.com/{at}/{[bad, good][i % 2]}/{i}", 1 - i % 2) for k, (at, bad, good) in enumerate(kinds) for i in range(100)]
+    tail = [(1000 + i, f"http://h0.com/wide/rare{chr(97 + i % 26)}{chr(97 + i // 26)}/x") for i in range(60)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + tail, "page_id long, url string")
+    got = {g["page_id"]: g for g in url_filter(pages, spark.createDataFrame([(r[0], r[2]) for r in rows], "page_id long, bad int"), []).collect()}
+    assert len(got) == len(rows) + len(tail)
+    for k, (at, bad, good) in enumerate(kinds):
+        for i in range(100):
+            g = got[100 * k + i]
+            assert g["template"] == f"/{at}/{[bad, good][i % 2]}/*" and g["verdict"] == ["block", "allow"][i % 2]
+    assert {got[1000 + i]["template"] for i in range(60)} == {"/wide/*/x"}
+
+
 def test_merging_does_not_chain(spark):
     """30 sibling branches with bad shares evenly from 0 to 1: no group holds two that differ significantly."""
     names = [f"{chr(97 + i // 6)}{chr(97 + i % 6)}x" for i in range(30)]

@@ -1,7 +1,9 @@
 """Operator 6, URL filters: rules first, then a tree of path templates learnt from all urls.
 
-Paths are cut into segments. In each host, level by level, a segment becomes a wildcard if it looks like an identifier
-(with a digit) or if its parent has more than `spread` different segments at this level: what is left is a template.
+Paths are cut into segments. In each host, level by level down to the last segment, a segment that `support` pages of its
+parent have stays as it is, however many others the parent has and whatever it looks like. Of the rarer ones those that look
+like identifiers (with a digit) become wildcards, all of them if they are more than `spread` different ones or if the parent
+has less than `support` pages: what is left is a template.
 Branches of one host whose templates have the same shape are put into BANDS bands of their shares of bad pages, and bands,
 in order, into groups: a band starts a new group if it differs significantly from any band of the group before (a two-sample
 z test on the smoothed shares of all their pages), so no two bands of a group do. A merged template is
@@ -47,26 +49,33 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return pages.withColumns({"rule": rule, "ruled": verdict})
 
 
-def generalised(pages: DataFrame, levels: int, spread: int) -> DataFrame:
-    """pages with `template`: segments of the path, identifiers and widely varying ones as wildcards. Beyond `levels` all are wildcards.
+def generalised(pages: DataFrame, levels: int | None, spread: int, support: int) -> DataFrame:
+    """pages with `template`: segments of the path, rare ones as wildcards. levels: None for all; beyond them all are wildcards.
 
-    Each level is written, as the next one reads it twice.
+    Each level is written, as the next one reads it twice. Pages without further segments are set aside.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("segments", segments).withColumn("template", F.array().cast("array<string>"))
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(levels, deepest)):
-        here = F.get("segments", F.lit(level))
-        named = F.when(here.rlike("[0-9]"), WILD).otherwise(here)
-        rows = rows.withColumn("segment", named)
-        wide = (rows.where(named.isNotNull() & (named != WILD)).groupBy("host", "template", "segment").agg(F.lit(1).alias("one"))
-                .groupBy("host", "template").agg(F.count("*").alias("kinds")).where(F.col("kinds") > spread)
-                .select("host", "template", F.lit(WILD).alias("wide")))
-        rows = rows.join(wide, ["host", "template"], "left")
-        rows = written(rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(
-            F.concat("template", F.array(F.coalesce("wide", "segment"))))).drop("wide", "segment"), "url-templates")
-    rest = F.greatest(F.size("segments") - levels, F.lit(0))
-    return rows.withColumn("template", F.concat("template", F.array_repeat(F.lit(WILD), rest))).drop("segments")
+    level, names = 0, ["host", "template", "segment"]
+    done = rows.where(F.size("segments") == 0)
+    rows = rows.where(F.size("segments") > 0)
+    while levels is None or level < levels:
+        rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
+        counts = written(rows.groupBy(*names).agg(F.count("*").alias("n")), "url-segments")
+        rare = (F.col("n") < support) & ~F.col("segment").rlike("[0-9]")
+        parents = counts.groupBy("host", "template").agg(F.count(F.when(rare, 1)).alias("kinds"), F.sum("n").alias("pages")).where(F.col("pages") >= support)
+        if not parents.take(1):
+            rows = rows.drop("segment")
+            break
+        kept = counts.join(parents, ["host", "template"]).where((F.col("n") >= support) | (rare & (F.col("kinds") <= spread)))
+        rows = rows.join(kept.select(*names, F.col("segment").alias("kept")), names, "left")
+        named = F.concat("template", F.array(F.coalesce("kept", F.lit(WILD))))
+        rows = written(rows.withColumn("template", named).drop("kept", "segment"), "url-templates")
+        level += 1
+        done = done.unionByName(rows.where(F.size("segments") <= level))
+        rows = rows.where(F.size("segments") > level)
+    rest = F.array_repeat(F.lit(WILD), F.size("segments") - level)
+    return done.unionByName(rows.withColumn("template", F.concat("template", rest))).drop("segments")
 
 
 def grouped(bands: Column, overall: Column, prior: float, z: float) -> Column:
@@ -107,8 +116,8 @@ def merged(stats: DataFrame, overall: Column, prior: float, z: float) -> DataFra
     return rows.drop("n", "bad").join(known, ["host", "shape", "band"]).select("host", "template", group.alias("group"), "n", "bad")
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], levels: int = 6, spread: int = 32, prior: float = 10.0,
-               reject: float = 0.5, z: float = 2.0) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], levels: int | None = None, spread: int = 32, prior: float = 10.0,
+               reject: float = 0.5, z: float = 2.0, support: int = 10) -> DataFrame:
     """page_id, host, path, rule, template, group, bad_share, verdict of each page; labels: page_id, bad (0 or 1).
 
     A page labelled several times counts as bad if one label says so. Repeated pages count one by one. Without labels the
@@ -116,7 +125,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     """
     marks = labels.where(F.col("page_id").isNotNull() & F.col("bad").isin(0, 1)).groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = generalised(ruled(rows, rules), levels, spread)
+    rows = generalised(ruled(rows, rules), levels, spread, support)
     known = rows.join(marks, "page_id", "left")
     stats = known.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     bad, n = known.agg(F.sum("bad"), F.count("bad")).first()
