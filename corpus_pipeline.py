@@ -26,20 +26,27 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.keep_rows(docs, exact_dedup.exact_dedup(docs).where("kept"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number of each row's own: doc_id may be null, repeated, or stand on different texts."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; documents without words stay."""
-    found = written(jaccard.jaccard_join(docs).select("doc_id", "component_id"), "pipeline-near")
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row with the smallest doc_id (null last); all rows without words stay."""
+    rows = numbered(docs)
+    found = jaccard.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    keep = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(written(keep, "pipeline-near"), "_row", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (rounded to whole documents), in training order."""
-    plan = written(mixing.mix(docs), "pipeline-mix").where("takes > 0")
+    """Each row as often as the mix takes it (rounded to whole documents), in training order; repeated rows count one by one."""
+    rows = numbered(docs)
+    plan = written(mixing.mix(rows, keep=["_row"]), "pipeline-mix").where("takes > 0")
     times = F.array(F.col("time_1"), F.coalesce("time_2", F.lit(2.0)))
-    due = plan.select("doc_id", "text_hash", F.explode(F.slice(times, F.lit(1), F.col("takes"))).alias("due"))
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(due, ["doc_id", "text_hash"]).orderBy("due", "doc_id").select(*docs.columns)
+    due = plan.select("_row", F.explode(F.slice(times, F.lit(1), F.col("takes"))).alias("due"))
+    return rows.join(due, "_row").orderBy("due", "doc_id", "_row").select(*docs.columns)
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline as pipeline
 
 from tickweave.llm.common import table, written
+from tickweave.llm.mixing import mix
 from tickweave.llm.pieces import Vocabulary, decode
 from tickweave.llm.q_rows import model_path
 from tickweave.llm.toxicity import toxicity
@@ -50,6 +51,26 @@ def test_stages(spark, sf):
     assert Counter(r["doc_id"] for r in back if r["sample"] == 0) == counts and all(r["text"] == texts[r["doc_id"]] for r in back)
 
 
+def test_rows_with_null_and_repeated_ids(spark, prose, sf):
+    """Near copies without an id are one row; an id on two texts loses only the near copy; rows are mixed one by one."""
+    a, b, c, e = (prose(i, 80) for i in range(4))
+    rows = [(None, a, "en", "s"), (None, a + " tail", "en", "s"), (7, b, "en", "s"), (7, b, "en", "s"), (8, c, "en", "s"), (9, c + " tail", "en", "s"),
+            (9, e, "en", "s"), (None, "", "en", "s"), (None, "", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    far = Counter((r["doc_id"], r["text"]) for r in pipeline.without_near_copies(spark, docs, sf).collect())
+    lone = sum(far.pop((None, t), 0) for t in (a, a + " tail"))
+    assert lone == 1 and far == {(7, b): 1, (8, c): 1, (9, e): 1, (None, ""): 2}
+
+    kinds = [(None, a, "en", "s"), (7, b, "en", "s"), (7, b, "en", "s"), (7, b, "en", "s"), (9, c, "en", "s"), (9, e, "en", "t"), (10, c, "en", None)]
+    docs = spark.createDataFrame(kinds, "doc_id long, text string, lang string, source string").repartition(2)
+    hashes = {r["h"]: r["text"] for r in docs.selectExpr("xxhash64(text) h", "text").collect()}
+    want = Counter()
+    for r in mix(docs).collect():
+        want[r["doc_id"], hashes[r["text_hash"]]] += r["takes"]
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.mixed(spark, docs, sf).collect())
+    assert got == +want and got[None, a] > 0
+
+
 def test_messy(spark, messy, empty, sf):
     for docs in (messy.select("doc_id", "text", "lang", "source"), empty.drop("n_chars")):
         n = docs.count()

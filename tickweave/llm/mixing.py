@@ -51,21 +51,21 @@ def due(part: Column, a: Column, b: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), late: tuple[float, ...] | None = None, share: float = 1.5,
-        most: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, takes, time_1 .. time_<most> of each row, in training order.
+        most: int = 2, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, takes, time_1 .. time_<most> of each row, and its columns that `keep` names, in training order.
 
     weights, late: weights at the start and the end of training, given to the sources by code point in turn; late: the
     same weights reversed. taken: words the mix takes; takes: whole takes, rounded; time_k: when take k is due, else null.
     """
     late = late or weights[::-1]
     rows = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("doc_id").alias("tie"),
-                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *keep)
     rows = written(rows, "mix")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     ends = F.element_at(F.array(*(F.lit(float(w)) for w in late)),
                         (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(late) + 1)
     sources = written(sources.withColumn("late", ends), "mix-targets")
-    order = [F.col("source").asc_nulls_last(), F.col("tie"), F.col("doc_id"), F.col("text_hash")]
+    order = [F.col("source").asc_nulls_last(), F.col("tie"), F.col("doc_id"), F.col("text_hash"), *(F.col(c) for c in keep)]
     rows = with_running(in_order(rows, order, "mix-order"), order, {"at": F.col("size")}, ["source"])
     s = sources.withColumnRenamed("source", "_source")
     rows = rows.join(s, rows["source"].eqNullSafe(s["_source"])).drop("_source")
@@ -77,4 +77,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), late: tuple[flo
     takes = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rows = rows.withColumns(times).withColumn("takes", takes)
     return rows.orderBy(F.col("time_1").asc_nulls_last(), "tie", "doc_id").select(
-        "doc_id", "source", "text_hash", "size", "source_size", "target", "taken", "takes", *times)
+        "doc_id", "source", "text_hash", "size", "source_size", "target", "taken", "takes", *times, *keep)
