@@ -261,3 +261,23 @@ def test_dimension_ids_of_short_names(spark):
     names = [f"{chr(97 + i % 26)}{i // 26}" for i in range(300)]
     got = {r["symbol"]: r["symbol_id"] for r in lifecycle.dimension_type1(spark.createDataFrame([(n,) for n in names + names[:9]], "symbol string")).collect()}
     assert got == {n: i for i, n in enumerate(sorted(names), 1)}
+
+
+def test_file_sizes_are_those_of_a_listing(spark, sf, tmp_path, monkeypatch):
+    """f17_file_sizes and f18_zone_bytes count every data file of the lake they wrote."""
+    from tickweave.plans import catalog, q_warehouse
+
+    for name in ("f17_file_sizes", "f18_zone_bytes"):
+        at = tmp_path / name
+        monkeypatch.setattr(q_warehouse, "shared_dir", lambda spark, what, at=at: str(at))
+        got, want = catalog.QUERIES[name](spark, sf).collect(), {}
+        for f in at.rglob("*"):
+            parts = f.relative_to(at).parts
+            if f.is_file() and not any(p.startswith(("_", ".")) for p in parts):
+                symbol, year, month = (p.split("=")[1] for p in parts[:3])
+                n, size = want.get((symbol, int(year), int(month)), (0, 0))
+                want[symbol, int(year), int(month)] = (n + 1, size + f.stat().st_size)
+        if name == "f17_file_sizes":
+            assert want and {(g["symbol"], g["year"], g["month"]): (g["n_files"], g["n_bytes"]) for g in got} == want
+        else:
+            assert tuple(got[0]) == (sum(n for n, _ in want.values()), sum(b for _, b in want.values()))

@@ -113,6 +113,12 @@ def stored_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def month_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes of each stored month of a symbol."""
+    month = [F.regexp_extract("path", rf"{k}=([^/]+)", 1).cast(t).alias(k) for k, t in (("symbol", "string"), ("year", "int"), ("month", "int"))]
+    return stored_files(spark, path).groupBy(*month).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
 def zone_size(spark: SparkSession, path: str) -> DataFrame:
     return stored_files(spark, path).agg(
         F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")
