@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tickweave.llm.fingerprint import added, fingerprints, likeness, spelt, vector
+from tickweave.llm.fingerprint import added, fingerprints, in_buckets, likeness, spelt, vector
 from tickweave.llm.q_rows import RULES, op6
 from tickweave.llm.urls import url_filter
 
@@ -104,6 +105,16 @@ def test_edited_texts(messy, messy_rows):
     assert fingerprints(messy).count() == len(messy_rows)
 
 
+def test_buckets_are_even(spark):
+    """Clusters of ids and an id with a third of all rows do not fill a bucket; buckets follow the order of the rows."""
+    ids = [*range(200), *(10**12 + i for i in range(200)), *([77] * 200), *([None] * 20)]
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    got = in_buckets(docs, 16).select("doc_id", "row", "bucket").collect()
+    assert max(Counter(g["bucket"] for g in got).values()) <= 620 / 16 * 2.5
+    got.sort(key=lambda g: (g["doc_id"] is None, -(g["doc_id"] or 0), g["row"]))
+    assert [g["bucket"] for g in got] == sorted(g["bucket"] for g in got)
+
+
 def test_fingerprint_text(spark, empty):
     got = spark.createDataFrame([("",), ("a\nb",)], "text string").select(spelt(vector("text")).alias("f")).collect()
     assert all(len(g["f"]) == 81 * 8 for g in got) and got[0] != got[1]

@@ -79,15 +79,21 @@ def likeness(a: Column, b: Column) -> Column:
 def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text, n_chars, row, fingerprint, bucket: buckets rise as doc_id falls, null last.
 
-    A bucket is a range of doc_id of one width, taken from the inner 98 % of the values, so that a few far-off ids do not
-    widen it; rows without doc_id are cut by their hash.
+    Buckets lie between sampled quantiles of doc_id, so they hold about equally many rows whatever the ids are. An id that is
+    several quantiles is cut by its rows' hash into as many buckets, as are the rows without doc_id. Only rows that repeat
+    doc_id and text stay in one bucket.
     """
-    low, high = docs.agg(F.percentile_approx("doc_id", [0.01, 0.99], 10_000)).first()[0] or (0, 0)
-    width = max(1, (high - low) // buckets)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
+    cuts = F.lit(cuts).cast("array<long>") if cuts else F.array().cast("array<long>")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumns({"row": F.xxhash64("doc_id", "text"), "n_chars": F.length("text"), "fingerprint": vector("text")})
     alone = F.lit(1 << 62) + F.shiftright("row", 56)
-    return base.withColumn("bucket", F.coalesce(-F.floor(F.col("doc_id") / width), alone).cast("long"))
+    above, same = (F.size(F.filter(cuts, f)).cast("long") for f in (lambda c: c > F.col("doc_id"), lambda c: c == F.col("doc_id")))
+    base = base.withColumns({"above": above, "same": same})
+    # an id that is a quantile comes after those above it and before those below
+    part = F.least(F.floor((F.col("row") / F.lit(2.0**64) + 0.5) * F.col("same")), F.greatest(F.col("same") - 1, F.lit(0)))
+    bucket = F.shiftleft(2 * F.col("above") + F.col("same"), 20) + part
+    return base.withColumn("bucket", F.when(F.col("doc_id").isNull(), alone).otherwise(bucket).cast("long")).drop("above", "same")
 
 
 def edits(docs: DataFrame) -> DataFrame:
