@@ -7,16 +7,16 @@ import pytest
 from tickweave.llm.common import table
 from tickweave.llm.q_labels import op1, op2
 from tickweave.llm.quality import NAMES, Discriminant, quality, statistics
-from tickweave.llm.toxicity import build, term_hashes, toxicity, train
+from tickweave.llm.toxicity import Index, pooled, term_hashes, toxicity, train, vectors_of
 
 SF = "/root/testdata/sf0.01"
 
 
-def accuracy(spark, query, label):
-    got = query(spark, SF).toPandas()
-    docs = table(spark, SF, "documents").count()
+def accuracy(spark, query, label, sf=SF):
+    got = query(spark, sf).toPandas()
+    docs = table(spark, sf, "documents").count()
     assert len(got) == docs and got.score.between(0, 1).all()
-    both = got.merge(table(spark, SF, "labels").toPandas(), on="doc_id")
+    both = got.merge(table(spark, sf, "labels").toPandas(), on="doc_id")
     both = both[both.held_out]
     return (both.predicted == both[label]).mean()
 
@@ -26,7 +26,9 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    assert accuracy(spark, op2, "toxic") > 0.94
+    """Thirty toxic rows of sf0.01 teach little; sf0.1 has more."""
+    assert accuracy(spark, op2, "toxic") > 0.9
+    assert accuracy(spark, op2, "toxic", "/root/testdata/sf0.1") > 0.97
 
 
 def test_score_is_the_log_density_difference():
@@ -59,24 +61,79 @@ def test_messy_rows(spark, messy, messy_rows, empty, operator, name):
     assert operator(empty, some).count() == 0
 
 
+def dense(texts, terms, idf):
+    """Unit TF-IDF rows by plain Python over words and prefixes; the last column is all words without a term."""
+    place = {h: i for i, h in enumerate(terms.tolist())}
+    out = np.zeros((len(texts), len(terms) + 1))
+    for i, t in enumerate(texts):
+        for w in t.lower().encode().split():
+            found = [place[h] for n in (None, 4, 5, 6, 7, 8) if n is None or len(w) > n for h in [hash_of(w[:n])] if h in place]
+            for x in found or [len(terms)]:
+                out[i, x] += 1
+    out = np.where(out > 0, 1 + np.log(1 + np.log(np.maximum(out, 1))), 0) * idf
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def hash_of(word, seen={}):  # noqa: B006
+    if word not in seen:
+        seen[word] = int(term_hashes(pa.array([word.decode(errors="ignore")]), None, 0)[1][0]) if word else 0
+    return seen[word]
+
+
 def test_nearest_examples_are_those_of_a_full_scan(prose):
     r = np.random.default_rng(5)
-    texts = [prose(int(r.integers(40)), int(r.integers(1, 60))) for _ in range(400)]
-    number, h = term_hashes(pa.array(texts))
-    terms = np.unique(h)[::3]
-    number, h = term_hashes(pa.array(texts), terms)
-    idf = 1 + r.random(len(terms))
-    examples = [(i, int(i % 3 == 0), h[number == i].view(np.int64).tolist()) for i in range(300)]
-    index = build(examples, terms, idf, (200, 100), 10)
-    starts, term, w = index.vectors(number, h, len(texts))
-    dense = np.zeros((len(texts), len(terms)))
-    for i in range(len(texts)):
-        dense[i, term[starts[i] : starts[i + 1]]] = w[starts[i] : starts[i + 1]]
-    for q in range(300, 400):
-        cos = np.round(dense[:300] @ dense[q], 9)
-        want = sorted(((-c, i) for i, c in enumerate(cos) if c > 0))[:10]
+    texts = [prose(int(r.integers(200)), int(r.integers(1, 60))) for _ in range(1500)]
+    terms = np.unique(term_hashes(pa.array(texts), None, 0)[1])[::3]
+    idf = 1 + 4 * r.random(len(terms) + 1)
+    idf[-1] = 1
+    row, term, tf, _ = vectors_of(pa.array(texts[:1300]), terms)
+    ids, label = r.permutation(1300), (np.arange(1300) % 3 == 0).astype(int)
+    index = Index(terms, idf, ids, label, row, term, tf, (2000, 1000), 10)
+    vectors = dense(texts, terms, idf)
+    starts, term, w = index.weighed(*vectors_of(pa.array(texts[1300:]), terms)[:3], 200)
+    for q in range(200):
+        assert np.allclose(vectors[1300 + q, term[starts[q] : starts[q + 1]]], w[starts[q] : starts[q + 1]])
+        cos = np.round(vectors[:1300] @ vectors[1300 + q], 9)
+        want = sorted((-c, i) for c, i in zip(cos, ids, strict=True) if c > 0)[:10]
         num, got = index.nearest(term[starts[q] : starts[q + 1]], w[starts[q] : starts[q + 1]])
-        assert [(i, -c) for c, i in want] == [(int(index.ids[n]), round(float(c), 9)) for n, c in zip(num, got, strict=True)]
+        assert [(int(i), -c) for c, i in want] == [(int(index.ids[n]), round(float(c), 9)) for n, c in zip(num, got, strict=True)]
+    assert index.skipped > 0.2 * index.seen
+
+
+def test_the_curve_rises_and_keeps_the_counts():
+    share, bad, n = np.array([0.0, 0.2, 0.4, 0.6, 0.9]), np.array([0, 5, 1, 8, 9]), np.array([50, 10, 10, 10, 10])
+    x, y = pooled(share, bad, n, 0.2)
+    assert np.all(np.diff(x) > 0) and np.all(np.diff(y) > 0) and len(x) == 4
+    assert np.allclose(y, [0.2 / 51, 6.4 / 22, 8.2 / 11, 9.2 / 11])
+
+
+def test_scores_of_plain_python(spark, prose):
+    """Vocabulary, idf, neighbours, votes and curve over a small table, each by a loop."""
+    r = np.random.default_rng(8)
+    rude = ["idiot", "moron", "clown", "trash"]
+    rows = []
+    for i in range(700):
+        words = prose(i, 25).split()
+        for w in r.choice(rude, int(r.integers(1, 4)) if i % 3 == 0 else 0):
+            words.insert(int(r.integers(len(words))), str(w))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = labels_of(spark, [(i, int(i % 3 == 0)) for i in range(500)], "toxic")
+    index = train(docs, labels, 2048, 4096, 2048, 0.8, 10)
+    assert {hash_of(w.encode()) for w in rude} <= set(index.terms.tolist())
+    texts = dict(rows)
+    df = (dense(list(texts.values()), index.terms, np.ones(len(index.terms) + 1)) > 0).sum(axis=0)
+    assert np.allclose(index.idf, np.log(701 / (1 + df)) + 1)
+    examples = dense([texts[int(i)] for i in index.ids], index.terms, index.idf)
+    got = {g["doc_id"]: g["score"] for g in toxicity(docs, labels).collect()}
+    for i in range(500, 700):
+        cos = np.round(examples @ dense([texts[i]], index.terms, index.idf)[0], 9)
+        top = sorted((-c, index.ids[n], n) for n, c in enumerate(cos) if c > 0)[:10]
+        votes = [(index.stands_for[n] / (np.sqrt(2 + 2 * c) + 0.1), index.label[n]) for c, _, n in top]
+        share = sum(v for v, y in votes if y) / sum(v for v, _ in votes)
+        # the curve is steep between its points, and cosines are rounded here
+        near = [np.interp(share + d, *index.curve) for d in (-1e-3, 1e-3)]
+        assert near[0] - 1e-9 <= got[i] <= near[1] + 1e-9
 
 
 def test_evidence_names_labelled_neighbours(spark, prose):
@@ -98,14 +155,3 @@ def test_a_chance_term_does_not_make_a_clean_text_toxic(spark, prose):
     got = toxicity(docs, labels_of(spark, [(i, int(i % 4 == 0)) for i in range(200)], "toxic")).where("doc_id >= 200").collect()
     assert all(g["score"] >= 0.7 for g in got if g["doc_id"] < 1000 and g["doc_id"] % 4 == 0)
     assert all(g["score"] < 0.1 for g in got if g["doc_id"] >= 1000)
-
-
-def test_idf_counts_all_documents(spark):
-    rows = [(i, f"{'aaa' if i % 2 else 'bbb'} ccc") for i in range(20)] + [(100 + i, "aaa") for i in range(80)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    index = train(docs, labels_of(spark, [(i, int(i % 2)) for i in range(20)], "toxic"), 4096, 512, 0.8, 10)
-    df = {r[0]: r[1] for r in [("aaa", 90), ("bbb", 10), ("ccc", 20)]}
-    for word, n in df.items():
-        at = np.searchsorted(index.terms, term_hashes(pa.array([word]))[1][0])
-        assert index.idf[at] >= np.log(101 / (1 + n)) + 1 - 1e-9
-        assert word == "aaa" or index.idf[at] == pytest.approx(np.log(101 / (1 + n)) + 1)
