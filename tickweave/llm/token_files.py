@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 
 from tickweave.session import shared_dir
 
-from .common import partitions, small_batches, text_bytes, written
+from .common import partitions, small_batches, smallest, text_bytes, written
 
 MAGIC = b"IDZ1"
 MARKS = re.compile(rb"[A-Za-z0-9][!-&(-/:-@\[-`{-~]+\Z")
+LAST = frozenset(rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""")
 LONGEST, DICTIONARY, FILE, READ = 1 << 14, 112_640, 64 << 20, 4 << 20
 FRAMES = "doc_id long, n_tokens long, frame binary"
 MANIFEST = "block int, nth int, file string, n_docs long, n_tokens long, first_id long, last_id long, has_null boolean"
@@ -61,7 +62,7 @@ class Encoder:
     digits and punctuation, such as word_bpe_49k.json; they give the same ids as whole texts. Words with added tokens in them stay whole.
     """
 
-    CACHE = 1 << 19
+    CACHE = 1 << 20
 
     def __init__(self, path: str, end: int, words: bool):
         self.path, self.end, self.words = path, end, words
@@ -84,17 +85,29 @@ class Encoder:
         return {}
 
     @cached_property
-    def added(self) -> list[bytes]:
-        return [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def added(self) -> re.Pattern:
+        found = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        return re.compile(b"|".join(found) or rb"(?!)")
 
-    def _cut(self, word: bytes) -> list[bytes]:
+    def _cut(self, word: bytes) -> tuple[bytes, ...]:
         """The word and the ASCII marks at its end (no apostrophes), if what stands before them is an ASCII letter or digit."""
-        m = MARKS.search(word)
-        return [word] if m is None or any(a in word for a in self.added) else [word[: m.start() + 1], word[m.start() + 1 :]]
+        if word[-1] not in LAST or (m := MARKS.search(word)) is None or self.added.search(word):
+            return (word,)
+        return word[: m.start() + 1], word[m.start() + 1 :]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Of words by themselves: encoded as one text and told apart by the places of their ids."""
+        texts = [w.decode() for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at = np.fromiter((lo for lo, _ in found.offsets), np.int64, len(found))
+        cut = (np.searchsorted(at, begin) * self.kind.itemsize).tolist()
+        raw = np.array(found.ids, self.kind).tobytes()
+        return [raw[lo:hi] for lo, hi in zip(cut, cut[1:], strict=False)]
+
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         data, at = text_bytes(texts)
         raw, last = data.tobytes(), np.array([self.end], self.kind).tobytes()
@@ -108,7 +121,7 @@ class Encoder:
         if new := [w for w in set().union(*split) if w not in known]:
             cut = [self._cut(w) for w in new]
             if pieces := list({x for c in cut for x in c if x not in known}):
-                known.update(zip(pieces, self._ids([x.decode() for x in pieces]), strict=True))
+                known.update(zip(pieces, self._word_ids(pieces), strict=True))
             known.update((w, b"".join(map(known.__getitem__, c))) for w, c in zip(new, cut, strict=True) if len(c) > 1)
         yield from (b"".join(map(known.__getitem__, words)) + last for words in split)
 
@@ -207,8 +220,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
         for b in small_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(encoder(tokenizer, end, words).encode(b.column("text")), pa.binary())], ["ids"])
 
-    some = texts.where((F.length("text") > 0) & (F.length("text") <= LONGEST)).select("text", F.xxhash64("text").alias("h"))
-    some = some.orderBy("h", "text").limit(sample).select("text").repartition(partitions(spark)).mapInArrow(ids, "ids binary").orderBy(F.xxhash64("ids"), "ids")
+    hashed = texts.where((F.length("text") > 0) & (F.length("text") <= LONGEST)).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    some = smallest(hashed, "h", docs.count(), sample, "text").select("text").repartition(partitions(spark)).mapInArrow(ids, "ids binary").orderBy(F.xxhash64("ids"), "ids")
     dictionary = trained(some.toArrow().column("ids").to_pylist())
     fs, root = store(folder)
     fs.create_dir(root, recursive=True)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, written
+from .common import small_batches, smallest, text_bytes, written
 from .labelled import held_out, training
 from .words import _BASE, _LOWER, _VALUE, _cuts, mix, powers, word_spans
 
@@ -229,8 +229,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int, calibration: int, t
     if len(counts) < 2:
         return 1.0 * bool(counts.get(1))
     totals = counts[0], counts[1]
-    some = [rows.where((F.col("label") == c) & ~F.col("fit")).orderBy("h", "doc_id").limit(examples) for c in (0, 1)]
-    some.append(rows.where("fit").orderBy("h", "doc_id").limit(calibration))
+    some = [smallest(rows.where((F.col("label") == c) & ~F.col("fit")), "h", counts[c], examples, "doc_id") for c in (0, 1)]
+    some.append(smallest(rows.where("fit"), "h", sum(totals), calibration, "doc_id"))
     picked = F.broadcast(some[0].union(some[1]).union(some[2]).select("doc_id", "label", "fit"))  # 2 * examples + calibration rows at most
     texts = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id"), "toxic-examples")
     shown = texts.where("not fit")
