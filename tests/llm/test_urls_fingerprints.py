@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tickweave.llm.fingerprint import added, fingerprints, in_buckets, likeness, spelt, vector
@@ -105,6 +108,40 @@ def test_edited_texts(messy, messy_rows):
     assert fingerprints(messy).count() == len(messy_rows)
 
 
+def plain_vector(text):
+    """The lanes of a text by loops."""
+    def hashed(k, p):
+        return xxhash.xxh64_intdigest(p.encode(), xxhash.xxh64_intdigest(struct.pack("<i", k), 42))
+
+    paragraphs, pieces = text.split("\n"), [xxhash.xxh64_intdigest(p.encode(), 42) for p in re.findall(r"[^\n]{1,32}", text)]
+    equal = [sum(hashed(k, p) >> r & 0xFFFFFFFF for p in paragraphs) % 2**32 for k in range(8) for r in (0, 32)]
+    return [*equal, len(pieces), *(sum(h >> b & 1 for h in pieces) for r in range(32) for b in (r, r + 32))]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a[16] or not b[16]:
+        return 0.0
+    x, y = ([2 * v - w[16] for v in w[17:]] for w in (a, b))
+    dot = sum(p * q for p, q in zip(x, y, strict=True))
+    size = (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    return max(0.0, min(1.0, dot / size)) if size else 0.0
+
+
+def test_fingerprints_of_plain_python(messy, messy_rows):
+    """Vectors and likeness of each text, its edited text and the next document."""
+    rows = sorted(((r[0], r[1] or "") for r in messy_rows if r[0] is not None), reverse=True)
+    want = []
+    for i, (doc, t) in enumerate(rows):
+        following, k = rows[(i + 1) % len(rows)][1], len(t) // 2
+        a, b, c = (plain_vector(x) for x in (t, t[: len(t) - k] + following[:k], following))
+        want.append((doc, a, b, round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    got = [(g["doc_id"], g["fingerprint"], g["edited_fingerprint"], round(g["near_edited"], 9), round(g["near_next"], 9))
+           for g in fingerprints(messy.where("doc_id is not null")).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_buckets_are_even(spark):
     """Clusters of ids and an id with a third of all rows do not fill a bucket; buckets follow the order of the rows."""
     ids = [*range(200), *(10**12 + i for i in range(200)), *([77] * 200), *([None] * 20)]
