@@ -18,12 +18,12 @@ UNITS, TRAIN, TEST, DAYS = 10, 104, 26, 365
 STRATEGIES = ["max_sharpe", "min_variance", "max_diversification", "risk_parity"]
 
 
-def _parts(key: str, mu_table: str, cov_table: str, p: str = "") -> str:
+def _parts(key: str, mu_table: str, cov_table: str, p: str = "", units: int = 10) -> str:
     """Check SQL: grid candidates and their scores per ``key``."""
     return f"""{p}sy AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i FROM (SELECT DISTINCT symbol FROM ret)),
-    {p}gr AS (SELECT a, b, c, d, 10 - a - b - c - d AS e, concat_ws('-', a, b, c, d, 10 - a - b - c - d) AS cand FROM range(11) t1(a), range(11) t2(b), range(11) t3(c), range(11) t4(d)
-      WHERE a + b + c + d <= 10),
-    {p}gw AS (SELECT cand, symbol, [a, b, c, d, e][i] / 10.0::DOUBLE AS w FROM {p}gr, {p}sy),
+    {p}gr AS (SELECT a, b, c, d, {units} - a - b - c - d AS e, concat_ws('-', a, b, c, d, {units} - a - b - c - d) AS cand
+      FROM range({units + 1}) t1(a), range({units + 1}) t2(b), range({units + 1}) t3(c), range({units + 1}) t4(d) WHERE a + b + c + d <= {units}),
+    {p}gw AS (SELECT cand, symbol, [a, b, c, d, e][i] / {units}.0::DOUBLE AS w FROM {p}gr, {p}sy),
     {p}sg AS (SELECT {key}, cand, g.symbol, w, mean, (SELECT 0) AS z FROM {p}gw g JOIN {mu_table} m ON m.symbol = g.symbol),
     {p}sr AS (SELECT {key}, cand, symbol_row AS symbol, sum(value * w) AS sw, max(CASE WHEN symbol_row = symbol_col THEN value END) AS own FROM {p}gw g JOIN {cov_table} c ON c.symbol_col = g.symbol GROUP BY ALL),
     {p}s1 AS (SELECT {key}, cand, sum(w * mean) AS er, sum(w * sw) AS var, sum(w * sqrt(own)) AS ow FROM {p}sg JOIN {p}sr USING ({key}, cand, symbol) GROUP BY ALL),
