@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..sources.writers import write_bars
+from ..streaming import buffer as B
 from ..streaming import events as V
 from ..streaming import jobs as J
+from ..streaming import restate as R
 from . import panels as P
 from .oracle import sql
 from .registry import query
@@ -79,6 +81,20 @@ def _(spark, sf):
     return read_bars(spark, lake)
 
 
+@query("m4_buffered_upsert", sql("SELECT symbol, ts, open, high, low, close, volume FROM bars_h6"))
+def _(spark, sf):
+    """Bars flushed at 25 rows of a symbol or after a minute, the rest when the stream ends; they come twice, in two runs."""
+    bars, inbox = P.event_bars(spark, sf, "6 hours"), shared_dir(spark, "inbox")
+    lake, state = shared_dir(spark, "lake"), shared_dir(spark, "checkpoint")
+    schema = f"{bars.schema.simpleString()[7:-1].replace(':', ' ')}, {B.END} boolean"
+    for batch in (bars, bars, B.end_of_rows(bars)):
+        batch.withColumn(B.END, F.lit(B.END in batch.columns)).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        J.drain(B.buffered_upsert(stream, lake, state, limit=25, shards=2, every=None))
+    from ..sources.readers import read_bars
+    return read_bars(spark, lake)
+
+
 @query("m5_append_depth", _DEPTH)
 def _(spark, sf):
     inbox, out = shared_dir(spark, "inbox"), shared_dir(spark, "depth")
@@ -109,3 +125,19 @@ def _(spark, sf):
     J.end_of_ticks(P.table(spark, sf, "events"), "ts", "1 day", "1 hour").write.mode("append").parquet(inbox)
     J.drain(J.append_stream(bars, out, state, every=None))
     return J.read_result(spark, out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("m7_restated_bars", sql("SELECT symbol, ts, open, high, low, close, volume FROM bars_d"))
+def _(spark, sf):
+    """Ticks in an order of their hash, days late: closed bars are restated; the first batches are compacted on the way."""
+    inbox, out, state = (shared_dir(spark, n) for n in ("inbox", "restated", "checkpoint"))
+    events = P.table(spark, sf, "events")
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for i in range(2):
+        events.where(half == i).repartition(6, F.xxhash64("event_id")).write.mode("append").parquet(inbox)
+        ticks = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(inbox).select(
+            F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
+        J.drain(R.restated_bars(ticks, out, state, "1 day", "1 hour", trigger=None))
+        if i == 0:
+            R.compacted(spark, out)
+    return R.bars(spark, out).drop("corrected").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
