@@ -39,7 +39,7 @@ from .common import partitions, small_batches, smallest, text_bytes, written
 MAGIC = b"IDZ1"
 MARKS = re.compile(rb"[A-Za-z0-9][!-&(-/:-@\[-`{-~]+\Z")
 LAST = frozenset(rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""")
-LONGEST, DICTIONARY, FILE, READ = 1 << 14, 112_640, 64 << 20, 4 << 20
+LONGEST, DICTIONARY, FILE, READ, BATCH = 1 << 14, 112_640, 64 << 20, 4 << 20, 1 << 20
 FRAMES = "doc_id long, n_tokens long, frame binary"
 MANIFEST = "block int, nth int, file string, n_docs long, n_tokens long, first_id long, last_id long, has_null boolean"
 
@@ -62,7 +62,7 @@ class Encoder:
     digits and punctuation, such as word_bpe_49k.json; they give the same ids as whole texts. Words with added tokens in them stay whole.
     """
 
-    CACHE = 1 << 20
+    CACHE = 1 << 19
 
     def __init__(self, path: str, end: int, words: bool):
         self.path, self.end, self.words = path, end, words
@@ -98,15 +98,30 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @cached_property
+    def mark(self) -> int:
+        """The id of an exclamation mark by itself, -1 if it has several."""
+        ids = self.tokenizer.encode("!", add_special_tokens=False).ids
+        return ids[0] if len(ids) == 1 else -1
+
+    @cached_property
+    def folds(self) -> bool:
+        """Whether the tokenizer lowers letters before anything else looks at them."""
+        return '"type":"Lowercase"' in self.tokenizer.to_str().replace(" ", "")
+
     def _word_ids(self, words: list[bytes]) -> list[bytes]:
-        """Of words by themselves: encoded as one text and told apart by the places of their ids."""
-        texts = [w.decode() for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        at = np.fromiter((lo for lo, _ in found.offsets), np.int64, len(found))
-        cut = (np.searchsorted(at, begin) * self.kind.itemsize).tolist()
-        raw = np.array(found.ids, self.kind).tobytes()
-        return [raw[lo:hi] for lo, hi in zip(cut, cut[1:], strict=False)]
+        """Of words by themselves: encoded as one text with exclamation marks between them, by which the ids are told apart."""
+        whole = [i for i, w in enumerate(words) if b"!" in w or self.added.search(w)]
+        out = dict(zip(whole, self._ids([words[i].decode() for i in whole]), strict=True)) if whole else {}
+        rest = [i for i in range(len(words)) if i not in out]
+        found = np.array(self.tokenizer.encode_batch_fast([b" ! ".join(words[i] for i in rest).decode()], add_special_tokens=False)[0].ids, self.kind)
+        marks = np.flatnonzero(found == self.mark)
+        if len(marks) != max(0, len(rest) - 1):
+            return self._ids([w.decode() for w in words])
+        size, raw = self.kind.itemsize, found.tobytes()
+        begin, end = [0, *((marks + 1) * size).tolist()], [*(marks * size).tolist(), len(raw)]
+        out.update((i, raw[lo:hi]) for i, lo, hi in zip(rest, begin, end, strict=False))
+        return [out[i] for i in range(len(words))]
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         data, at = text_bytes(texts)
@@ -115,6 +130,8 @@ class Encoder:
         if not self.words:
             yield from (ids + last for ids in self._ids([p.decode() for p in parts]))
             return
+        if self.folds:
+            parts = [p if self.added.search(low := p.lower()) else low for p in parts]
         split, known = [p.split() for p in parts], self.known
         if len(known) > self.CACHE:
             known.clear()
@@ -141,7 +158,7 @@ def trained(samples: list[bytes]) -> bytes:
 
 
 class Codec:
-    def __init__(self, dictionary: bytes, level: int = 3):
+    def __init__(self, dictionary: bytes, level: int = 1):
         shared = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         self.hash = hashlib.sha256(dictionary).hexdigest()
         self.compress = zstandard.ZstdCompressor(level=level, write_checksum=True, **shared).compress
@@ -217,7 +234,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", BATCH):
             yield pa.RecordBatch.from_arrays([pa.array(encoder(tokenizer, end, words).encode(b.column("text")), pa.binary())], ["ids"])
 
     hashed = texts.where((F.length("text") > 0) & (F.length("text") <= LONGEST)).select("text", F.xxhash64("doc_id", "text").alias("h"))
@@ -231,7 +248,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, coder = Codec(held.value), encoder(tokenizer, end, words)
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", BATCH):
             found = [(len(x) // coder.kind.itemsize, codec.compress(x)) for x in coder.encode(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([f for _, f in found], pa.binary())],
