@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read again: short lineage, and a lost executor costs a re-read."""
     path = shared_dir(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The folders that `written` makes inside, for `dropped` once the result that reads them is written."""
+    folders: list[str] = []
+    _scopes.append(folders)
+    try:
+        yield folders
+    finally:
+        _scopes.remove(folders)
+
+
+def dropped(spark: SparkSession, folders: list[str]) -> None:
+    """Delete intermediate tables and forget them."""
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front of it while the frame has such a column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, text_bytes, written
+from .common import free, partitions, small_batches, text_bytes, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 FLUSH = 48 << 20
@@ -197,8 +197,9 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs that `decided` (doc_id, text_hash) names, each once, with the columns of docs."""
+    """The rows of docs that `decided` (doc_id, text_hash) names, each once, with the columns of docs, whatever their names."""
+    key, body = free(docs, "_id"), free(docs, "_hash")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    left = docs.withColumns({"_id": name, "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    right = decided.select(name.alias("_id"), F.col("text_hash").alias("_hash"))
-    return left.join(right, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    left = docs.withColumns({key: name, body: F.xxhash64(F.coalesce("text", F.lit("")))})
+    right = decided.select(name.alias(key), F.col("text_hash").alias(body))
+    return left.join(right, [key, body], "left_semi").dropDuplicates([key, body]).select(*docs.columns)

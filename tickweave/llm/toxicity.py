@@ -307,8 +307,11 @@ def train(docs: DataFrame, labels: DataFrame, examples: int, calibration: int, t
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 2048, calibration: int = 4096, terms: int = 2048, purity: float = 0.8,
-             k: int = 10, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, evidence of each row, and its other columns that `keep` names. labels: doc_id, toxic."""
+             k: int = 10, keep: list[str] | tuple[str, ...] = (), score: str = "score") -> DataFrame:
+    """doc_id, held_out, score, evidence of each row, and its other columns that `keep` names. labels: doc_id, toxic.
+
+    score: the name of the score, where a kept column has that one; held_out and evidence then stay away if they are kept, too.
+    """
     trained = docs.sparkSession.sparkContext.broadcast(train(docs, labels, examples, calibration, terms, purity, k))
 
     keep = [c for c in keep if c != "doc_id"]
@@ -329,4 +332,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 2048, calibrati
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema[:-1]]
     scored = source.mapInArrow(run, ", ".join([*fields, "score double, evidence array<struct<doc_id:long,label:int,cosine:double>>"]))
-    return scored.select("doc_id", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), held_out().alias("held_out"), "score", "evidence")
+    own = [c.alias(n) for n, c in (("held_out", held_out()), ("evidence", F.col("evidence"))) if n not in {c.lower() for c in keep}]
+    return scored.select("doc_id", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), F.col("score").alias(score), *own)
