@@ -29,8 +29,10 @@ def messy_rows(prose):
 
 @pytest.fixture(scope="session")
 def messy(spark, messy_rows):
-    clash = "row long, block int, size long, key long, score double, shard int, token long, comp long, arc int, target double, kept boolean"
-    return spark.createDataFrame([(*r, *range(4), 0.5, 1, 2, 3, 4, 0.1, True) for r in messy_rows],
+    clash = "row long, block int, size long, key long, score double, shard int, token long, comp long, arc int, target double, kept boolean, " \
+            "_row long, _id string, _hash long, due double, _due int, _score string, evidence int, held_out string, text_hash long, _0 int"
+    own = (*range(4), 0.5, 1, 2, 3, 4, 0.1, True, 5, "6", 7, 0.8, 9, "x", 10, "y", 11, 12)
+    return spark.createDataFrame([(*r, *own) for r in messy_rows],
                                  f"doc_id long, text string, lang string, source string, {clash}").repartition(3)
 
 

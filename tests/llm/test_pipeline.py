@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as pipeline
 
@@ -72,8 +73,24 @@ def test_rows_with_null_and_repeated_ids(spark, prose, sf):
 
 
 def test_messy(spark, messy, empty, sf):
-    for docs in (messy.select("doc_id", "text", "lang", "source"), empty.drop("n_chars")):
-        n = docs.count()
+    """All columns of the rows, those whose names the stages use themselves too, come through with their values."""
+    values = {c: {r[c] for r in messy.select(c).distinct().collect()} for c in messy.columns[4:]}
+    for docs in (messy, empty.drop("n_chars")):
+        n, columns = docs.count(), docs.columns
         for name, f in pipeline.STAGES:
             docs = written(f(spark, docs, sf), "test")
             assert docs.count() <= n * (2 if name == "mixing" else 4), name
+            if name != "SentencePiece encoding":
+                assert docs.columns == columns
+                assert all({r[c] for r in docs.select(c).distinct().collect()} <= v for c, v in values.items() if c in columns)
+
+
+def test_intermediate_tables_go_with_the_next_stage(spark, sf, tmp_path):
+    docs = table(spark, sf, "documents")
+    stages = dict(pipeline.STAGES)
+    once = stages["exact dedup"](spark, docs, sf)
+    left = list(pipeline._LEFT[spark.sparkContext.applicationId])
+    assert left and all(Path(p.removeprefix("file://")).exists() for p in left)
+    n = written(once, "test").count()
+    far = stages["n-gram Jaccard join"](spark, spark.read.parquet(written(once, "test").inputFiles()[0].rsplit("/", 1)[0]), sf)
+    assert not any(Path(p.removeprefix("file://")).exists() for p in left) and 0 < far.count() <= n
