@@ -130,3 +130,12 @@ def test_shared_dir_needs_a_shared_folder(monkeypatch):
     far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(far, "x")
+
+
+def test_chained_smoothing_has_one_exchange_for_each_call(spark):
+    """Signals of all kinds: a pass of plain frames, and one exchange for each level of smoothing; no join."""
+    from tickweave.operators.signals import all_signals
+
+    d = spark.createDataFrame([("a", i, 100.0 + i % 7) for i in range(1, 200)], "symbol string, pos long, close double")
+    plan = all_signals(d)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 4 and "Join" not in plan

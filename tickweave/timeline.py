@@ -121,42 +121,32 @@ def smoothed(
     """Exponential smoothing ``e = a*x + (1-a)*e'`` for ``{output: (input, a, seed)}``, started by the plain mean
     of the first ``seed`` rows; null before.
 
-    Rows are summed inside blocks, with powers of ``1-a`` counted from the block's start; a block's end value and
-    its factor carry the past into the next blocks. Blocks are cut so that the powers stay finite (``exp(300)`` at
-    most), whatever the seed. The carry goes back until the factor is below the smallest double, so the
-    result is that of the recurrence in double precision. Columns that would need more than 8 blocks of a common
-    length are done one after the other.
+    One window over blocks, without a join: a value is a sum of its inputs times powers of ``1-a`` and of the first mean, so it
+    needs the rows back to where the power falls below what doubles hold (``exp(-45)`` of their size). Those rows are copied into
+    the blocks they reach. Powers are counted from the block's start, and blocks are cut so that they stay finite
+    (``exp(300)`` at most), which leaves about every seventh row to be copied. Columns whose rates are too far apart for
+    common blocks are done one after the other.
     """
     rates = [-math.log1p(-a) for _, a, _ in columns.values()]
     size = block or max(1, int(300 / max(rates)))
-    back = math.ceil(750 / (min(rates) * size))
-    if back > 8 and len(columns) > 1:
+    reach = max(math.ceil(45 / rate) + seed for rate, (_, _, seed) in zip(rates, columns.values(), strict=True))
+    if not block and reach > size and len(columns) > 1:
         for out, spec in columns.items():
-            df = smoothed(df, {out: spec}, key=key, pos=pos, block=block)
+            df = smoothed(df, {out: spec}, key=key, pos=pos)
         return df
-    k = list(key)
     at, own = F.col(pos), _block(pos, size)
-    longest = max(seed for _, _, seed in columns.values())
-    starts = df.filter(at <= longest).groupBy(*k).agg(
-        *[F.avg(F.when(at <= seed, F.col(value))).alias(f"_s_{out}") for out, (value, _, seed) in columns.items()])
-    d = df.join(starts, k).withColumn("_own", own).withColumn("_age", at - 1 - own * size)
-    inside = Window.partitionBy(*k, "_own").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = []
+    homes = F.when(at >= 1, F.sequence(own, F.floor((at - 1 + reach) / size))).otherwise(F.array(own))
+    d = df.withColumn("_own", own).withColumn("_home", F.explode(homes)).withColumn("_age", at - F.col("_home") * size)
+    w = Window.partitionBy(*key, "_home").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = []
     for out, (value, alpha, seed) in columns.items():
-        x = F.when(at == seed, F.col(f"_s_{out}")).when(at > seed, F.col(value) * alpha).otherwise(0.0)
-        keep = F.lit(1.0 - alpha)
-        sums.append((F.sum(x * F.pow(keep, -F.col("_age"))).over(inside) * F.pow(keep, F.col("_age"))).alias(f"_x_{out}"))
-    d = d.select("*", *sums)
-    ends = d.groupBy(*k, "_own").agg(*[F.max_by(f"_x_{out}", pos).alias(f"_e_{out}") for out in columns])
-    line = Window.partitionBy(*k).orderBy("_own")
-    carry = ends.select(*k, "_own", *[
-        sum((F.coalesce(F.lag(f"_e_{out}", j).over(line), F.lit(0.0)) * (1.0 - a) ** (size * (j - 1)) for j in range(1, back + 1)), F.lit(0.0)).alias(f"_c_{out}")
-        for out, (_, a, _) in columns.items()])
-    d = d.join(carry, [*k, "_own"])
-    for out, (_, a, seed) in columns.items():
-        total = F.col(f"_x_{out}") + F.pow(F.lit(1.0 - a), F.col("_age") + 1) * F.col(f"_c_{out}")
-        d = d.withColumn(out, F.when(at >= seed, total))
-    return d.drop("_own", "_age", *[f"_{p}_{out}" for p in "sxc" for out in columns])
+        keep, first = F.lit(1.0 - alpha), F.when((at >= 1) & (at <= seed), F.col(value))
+        later = F.sum(F.when(at > seed, F.col(value) * alpha * F.pow(keep, -F.col("_age")))).over(w)
+        start = F.try_divide(F.sum(first).over(w), F.count(first).over(w))
+        total = F.coalesce(later, F.lit(0.0)) * F.pow(keep, F.col("_age")) + F.coalesce(start, F.lit(0.0)) * F.pow(keep, at - seed)
+        added.append(F.when(at >= seed, total).alias(out))
+    kept = [c for c in d.columns if c not in columns]
+    return d.select(*kept, *added).filter("_own = _home").drop("_own", "_home", "_age")
 
 
 def wealth(
