@@ -62,7 +62,7 @@ class Encoder:
     digits and punctuation, such as word_bpe_49k.json; they give the same ids as whole texts. Words with added tokens in them stay whole.
     """
 
-    CACHE = 1 << 19
+    CACHE = 3 << 18
 
     def __init__(self, path: str, end: int, words: bool):
         self.path, self.end, self.words = path, end, words
