@@ -9,6 +9,7 @@ from ..functions import guarded_ratio
 from ..timeline import running, wealth
 from . import grid as G
 from .align import symbol_pairs
+from .comoments import in_windows, merged, state
 
 
 def _n_windows(n: Column, train: int, test: int) -> Column:
@@ -41,14 +42,25 @@ def windows(dates: DataFrame, train: int, test: int) -> DataFrame:
 
 
 def window_moments(priced: DataFrame, train: int, test: int, periods: int) -> tuple[DataFrame, DataFrame]:
-    """Annualised means and covariances per training window, from the returns inside the window."""
-    inside = train_membership(priced, train, test, skip_first=True)
-    mu = inside.groupBy("window_id", "symbol").agg(
-        (F.avg("r") * periods).alias("mean_return"), (F.stddev_samp("r") * periods**0.5).alias("volatility"))
-    pairs = train_membership(symbol_pairs(priced, ordered=False), train, test, skip_first=True)
-    cov = pairs.groupBy("window_id", F.col("symbol_a").alias("symbol_row"), F.col("symbol_b").alias("symbol_col")).agg(
-        (F.covar_samp("x_a", "x_b") * periods).alias("value"))
-    return mu, cov
+    """Annualised means and covariances per training window, from the returns inside the window.
+
+    Rows are folded to centred states of panes between the windows' ends; windows merge the states of their panes.
+    """
+    count = _n_windows(priced.agg(F.max("pos")).scalar(), train, test)
+    pane, inside = in_windows(priced, train, test, count)
+    known = priced.where(F.col("r").isNotNull())
+    alone = known.groupBy("symbol", pane.alias("_pane")).agg(*state("r", "r"))
+    mu = merged(alone.withColumn("window_id", F.explode(inside)), ["window_id", "symbol"]).select(
+        "window_id", "symbol", (F.col("ma") * periods).alias("mean_return"), (F.sqrt(_sample("caa")) * periods**0.5).alias("volatility"))
+    pairs = symbol_pairs(known, ordered=False).where("symbol_a <= symbol_b").groupBy("symbol_a", "symbol_b", pane.alias("_pane")).agg(*state("x_a", "x_b"))
+    cov = merged(pairs.withColumn("window_id", F.explode(inside)), ["window_id", "symbol_a", "symbol_b"])
+    both = F.array(F.struct(F.col("symbol_a").alias("symbol_row"), F.col("symbol_b").alias("symbol_col")), F.struct(F.col("symbol_b").alias("symbol_row"), F.col("symbol_a").alias("symbol_col")))
+    orders = F.explode(F.slice(both, F.lit(1), F.when(F.col("symbol_a") == F.col("symbol_b"), 1).otherwise(2))).alias("_p")
+    return mu, cov.select("window_id", orders, (_sample("cab") * periods).alias("value")).select("window_id", "_p.*", "value")
+
+
+def _sample(total: str) -> Column:
+    return F.try_divide(total, F.when(F.col("n") > 1, F.col("n") - 1))
 
 
 def rule_weights(mu: DataFrame, rule: str) -> DataFrame:

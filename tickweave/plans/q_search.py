@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import comoments as C
 from ..operators import grid as G
 from ..operators import simplex as S
 from ..operators import walkforward as K
-from ..operators.align import common_dates, with_returns
+from ..operators.align import common_dates, returns_only, with_returns
 from ..operators.bars import bucket_start
 from . import panels as P
 from .oracle import sql
@@ -128,6 +129,28 @@ def _(spark, sf):
     return r6(chosen.where("weight > 0"), "window_id", "strategy", "symbol")
 
 
+@query("f10_tiled_covariance", sql(f"""WITH {_PANEL} SELECT a.symbol AS symbol_row, b.symbol AS symbol_col, #covar_samp(a.r, b.r) * 12# AS value
+    FROM nr a JOIN nr b ON a.ts = b.ts WHERE a.pos > 1 GROUP BY 1, 2"""))
+def _(spark, sf):
+    """Tiles of 8 nations and blocks of 32 months, so that several of each meet."""
+    return r6(C.covariance(nations(spark, sf).where("pos > 1"), MONTHS, tile=8, block=32), "symbol_row", "symbol_col")
+
+
+@query("f11_tiled_correlation", sql(f"""WITH {_PANEL} SELECT a.symbol AS symbol_row, b.symbol AS symbol_col,
+    CASE WHEN a.symbol = b.symbol THEN 1.0::DOUBLE ELSE #corr(a.r, b.r)# END AS value FROM nr a JOIN nr b ON a.ts = b.ts WHERE a.pos > 1 GROUP BY 1, 2"""))
+def _(spark, sf):
+    return r6(C.correlation(nations(spark, sf).where("pos > 1"), tile=8, block=32), "symbol_row", "symbol_col")
+
+
+@query("g5_tiled_correlation", sql(f"""WITH {_PANEL} SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, a.ts, CASE WHEN a.pos > 12 THEN
+    #corr(a.r, b.r) OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ts ROWS 11 PRECEDING)#4# END AS correlation
+    FROM nr a JOIN nr b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.pos > 1"""))
+def _(spark, sf):
+    """Correlation of all pairs of nations over 12 months."""
+    d = C.rolling_correlation(returns_only(nations(spark, sf)), 12, tile=8, block=32)
+    return r6(d, "symbol_a", "symbol_b", "ts", places=4)
+
+
 @query("j7_search_fine")
 def _(spark, sf):
     """Steps of 1 % over all nations: a grid of C(124, 24) vectors; the gap bounds what may be missed. tests/test_simplex.py checks it."""
