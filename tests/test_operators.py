@@ -281,3 +281,44 @@ def test_file_sizes_are_those_of_a_listing(spark, sf, tmp_path, monkeypatch):
             assert want and {(g["symbol"], g["year"], g["month"]): (g["n_files"], g["n_bytes"]) for g in got} == want
         else:
             assert tuple(got[0]) == (sum(n for n, _ in want.values()), sum(b for _, b in want.values()))
+
+
+def test_failing_strategies_leave_the_others_alone(spark):
+    mu = spark.createDataFrame([(w, s, 0.1, 0.2) for w in (0, 1) for s in ("a", "b")], "window_id long, symbol string, mean_return double, volatility double")
+    cov = spark.createDataFrame([(w, a, b, 0.04 if a == b else 0.01) for w in (0, 1) for a in "ab" for b in "ab"], "window_id long, symbol_row string, symbol_col string, value double")
+
+    @walkforward.strategy("raises")
+    def _(mu, cov, **_):
+        raise RuntimeError("no data today")
+
+    @walkforward.strategy("nothing in one window")
+    def _(mu, cov, **_):
+        return walkforward.rule_weights(mu, "equal_weight").where("window_id = 1")
+
+    @walkforward.strategy("nulls")
+    def _(mu, cov, **_):
+        return mu.select("window_id", "symbol", F.lit(None).cast("double").alias("weight"))
+
+    names = ["equal_weight", "min_variance", "raises", "nothing in one window", "nulls"]
+    weights, failures = walkforward.strategy_weights(mu, cov, names, units=4)
+    got = {(r["strategy"], r["window_id"]): r["error"] for r in failures.collect()}
+    assert got == {("raises", 0): "no data today", ("raises", 1): "no data today", ("nothing in one window", 0): "no weights",
+                   ("nulls", 0): "2 weights are null or not finite", ("nulls", 1): "2 weights are null or not finite"}
+    assert {(r["strategy"], r["window_id"], r["symbol"], r["weight"]) for r in weights.collect()} == {
+        *((n, w, s, 0.5) for n in names[:2] for w in (0, 1) for s in "ab"), *(("nothing in one window", 1, s, 0.5) for s in "ab")}
+    with pytest.raises(ValueError, match="unknown strategy"):
+        walkforward.strategy_weights(mu, cov, ["nope"])
+    none = walkforward.strategy_weights(mu, cov, [])
+    assert none[0].count() == none[1].count() == 0
+
+
+def test_no_names_are_left_in_the_session(spark, sf):
+    """Queries in SQL text leave neither views nor functions behind."""
+    from tickweave.plans.registry import QUERIES
+
+    spark.sql("CREATE TEMPORARY FUNCTION log_return(c DOUBLE) RETURNS DOUBLE RETURN c + 1")
+    before = {t.name for t in spark.catalog.listTables()}
+    for name in ("c1_free_sql", "n1_macro_column"):
+        assert QUERIES[name](spark, sf).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before and spark.sql("SELECT log_return(1D)").first()[0] == 2
+    spark.sql("DROP TEMPORARY FUNCTION log_return")

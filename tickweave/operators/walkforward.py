@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guarded_ratio
+from ..session import shared_dir
 from ..timeline import running, wealth
 from . import grid as G
 from .align import symbol_pairs
 from .comoments import in_windows, merged, state
+from .simplex import search_weights
 
 
 def _n_windows(n: Column, train: int, test: int) -> Column:
@@ -86,6 +91,60 @@ def grid_weights(mu: DataFrame, cov: DataFrame, k: int, units: int, objectives:
     return G.weights_of(chosen.withColumnRenamed("objective", "strategy"), units, ["window_id", "strategy"])
 
 
+#: A strategy makes weights (window_id, symbol, weight) of means and covariances per window.
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {
+    "equal_weight": lambda mu, cov, **_: rule_weights(mu, "equal_weight"),
+    "inverse_volatility": lambda mu, cov, **_: rule_weights(mu, "inverse_volatility"),
+    "benchmark": lambda mu, cov, benchmark="", **_: benchmark_weights(mu, benchmark),
+} | {name: (lambda mu, cov, name=name, units=10, risk_free=0.05, **_: search_weights(mu, cov, units, [name], risk_free=risk_free)) for name in G.OBJECTIVES}
+
+
+def strategy(name: str):
+    """Adds a function of (mu, cov, **options) to the strategies that `strategy_weights` knows by name."""
+    def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        STRATEGIES[name] = fn
+        return fn
+
+    return add
+
+
+def strategy_weights(mu: DataFrame, cov: DataFrame, names: list[str], **options) -> tuple[DataFrame, DataFrame]:
+    """(weights, failures) of strategies by name: window_id, strategy, symbol, weight; window_id, strategy, error.
+
+    A name that is not known is an error. Each strategy is a job of its own, whose result is written: one that fails has a failure for every
+    window, with the first line of its message, and the others go on. Weights of a window that are null, not finite, or do not sum to 1
+    within 0.01 are a failure of that window alone.
+    """
+    unknown = [n for n in names if n not in STRATEGIES]
+    if unknown:
+        raise ValueError(f"unknown strategy {unknown[0]!r}; known: {', '.join(sorted(STRATEGIES))}")
+    spark = mu.sparkSession
+    windows = mu.select("window_id").distinct()
+    weights, failures = [], []
+    for name in names:
+        try:
+            path = shared_dir(spark, f"strategy-{name}")
+            made = STRATEGIES[name](mu, cov, **options).select(
+                F.col("window_id").cast("long").alias("window_id"), F.lit(name).alias("strategy"), "symbol", F.col("weight").cast("double").alias("weight"))
+            made.write.parquet(path)
+            rows = spark.read.schema(made.schema).parquet(path)
+        except Exception as e:
+            said = next((x.strip() for x in str(e).splitlines() if x.strip()), type(e).__name__)
+            failures.append(windows.select("window_id", F.lit(name).alias("strategy"), F.lit(said[:300]).alias("error")))
+            continue
+        w = F.col("weight")
+        bad = F.count_if(w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")))
+        total = F.sum(w)
+        said = F.when(bad > 0, F.concat(bad.cast("string"), F.lit(" weights are null or not finite"))).when(
+            F.abs(total - 1) > 0.01, F.concat(F.lit("weights sum to "), F.round(total, 6).cast("string")))
+        checked = windows.join(rows.groupBy("window_id").agg(said.alias("error"), F.count(F.lit(1)).alias("n")), "window_id", "left")
+        checked = checked.select("window_id", F.when(F.col("n").isNull(), F.lit("no weights")).otherwise(F.col("error")).alias("error")).where("error is not null")
+        failures.append(checked.select("window_id", F.lit(name).alias("strategy"), "error"))
+        weights.append(rows.join(checked.select("window_id"), "window_id", "left_anti"))
+    none = spark.createDataFrame([], "window_id long, strategy string, symbol string, weight double")
+    return reduce(DataFrame.unionByName, weights, none), reduce(DataFrame.unionByName, failures, spark.createDataFrame([], "window_id long, strategy string, error string"))
+
+
 def out_of_sample(priced: DataFrame, weights: DataFrame, train: int, test: int) -> DataFrame:
     """Daily returns of every strategy inside the test windows; a window's first date has no return."""
     d = test_membership(priced, train, test, skip_first=True).join(weights, ["window_id", "symbol"])
@@ -120,8 +179,17 @@ def performance(daily: DataFrame, risk_free: float, periods: int) -> DataFrame:
         guarded_ratio(F.col("annualized_return"), F.col("max_drawdown"), floor=1e-10).alias("calmar_ratio"))
 
 
-def multi_performance(daily: DataFrame, periods: int, expected: DataFrame | None = None) -> DataFrame:
-    """Compounded performance and rank by Sharpe ratio; expected strategies without results rank last as failed."""
+def multi_performance(daily: DataFrame, periods: int, expected: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """Compounded performance and rank by Sharpe ratio; expected strategies without results rank last as failed.
+
+    failures: those of `strategy_weights`. Their strategies are expected, too, and ``error`` has the message of the first window that failed and
+    ``n_failed`` the number of windows; a strategy that failed in some windows only is ranked by the others.
+    """
+    if failures is not None:
+        told = failures.groupBy("strategy").agg(F.min_by("error", "window_id").alias("error"), F.count(F.lit(1)).alias("n_failed"))
+        names = told.select("strategy") if expected is None else expected.select("strategy").union(told.select("strategy")).distinct()
+        names = names.union(daily.select("strategy").distinct()).distinct()
+        return multi_performance(daily, periods, names).join(told, "strategy", "left").na.fill(0, ["n_failed"])
     d = daily.groupBy("strategy").agg(
         (F.product(1 + F.col("r")) - 1).alias("total_return"), (F.stddev_samp("r") * periods**0.5).alias("volatility"), F.count(F.lit(1)).alias("n_periods"))
     d = d.withColumn("annualized_return", F.col("total_return") * periods / F.col("n_periods"))

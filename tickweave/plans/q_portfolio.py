@@ -8,10 +8,10 @@ from ..functions import rounded
 from ..operators import align as A
 from ..operators import moments as M
 from ..operators import portfolio as O
-from ..operators import risk as K
+from ..operators.report import portfolio_report
 from . import panels as P
 from .oracle import sql
-from .q_risk import r6
+from .q_risk import _G1, _G2, _VAR, _WEALTH, r6
 from .registry import query
 
 
@@ -249,14 +249,27 @@ def _(spark, sf):
     return r6(parts.select("portfolio", "symbol", "weight", F.col("mean_return").alias("expected_return"), "mctr", "risk_contribution"), "portfolio", "symbol")
 
 
-@query("j24_portfolio_report", sql("""
-    WITH s AS (SELECT portfolio, ts, sum(weight * r) AS p FROM ret JOIN books USING (symbol) GROUP BY 1, 2), x AS (SELECT * FROM s JOIN mkt USING (ts))
-    SELECT portfolio, count(*) AS n_periods, #covar_samp(p, m) / var_samp(m)# AS beta, #corr(p, m) ** 2# AS r_squared,
-      #sqrt(avg(greatest(0, 0.05 / 365 - p) ** 2)) * sqrt(365)# AS downside_deviation, #sum(p) / abs(sum(CASE WHEN p < 0 THEN p ELSE 0 END))# AS gain_to_pain,
-      #skewness(p)# AS skewness, #kurtosis(p)# AS excess_kurtosis FROM x GROUP BY 1"""))
+_SERIES = "pfe AS (SELECT portfolio AS symbol, ts, pos, sum(weight * r) AS r FROM ret JOIN books USING (symbol) GROUP BY 1, 2, 3)"
+_RANKED = """prk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r) AS k, count(*) OVER (PARTITION BY symbol) AS n, avg(r) OVER (PARTITION BY symbol) AS m,
+    stddev_samp(r) OVER (PARTITION BY symbol) AS sd, stddev_pop(r) OVER (PARTITION BY symbol) AS sp FROM pfe)"""
+
+
+@query("j24_portfolio_report", sql(f"""WITH {_SERIES}, {_RANKED}, {_VAR.replace("FROM ranked", "FROM prk").replace("JOIN ent e", "JOIN pfe e")},
+    {_WEALTH.replace("FROM ent", "FROM pfe")}, dd AS (SELECT symbol, max((pw - w) / pw) AS mdd FROM pk GROUP BY 1),
+    sh AS (SELECT symbol, {_G1} AS g1, {_G2} AS g2 FROM prk GROUP BY symbol, n),
+    al AS (SELECT symbol, count(*) AS n_market, covar_samp(r, m) / var_samp(m) AS beta, corr(r, m) ** 2 AS r2, avg(r) - 0.05 / 365 AS mp, avg(m) - 0.05 / 365 AS mb,
+      stddev_samp(r - m) * sqrt(365) AS te, avg(CASE WHEN m > 0 THEN r END) / avg(CASE WHEN m > 0 THEN m END) AS uc,
+      avg(CASE WHEN m < 0 THEN r END) / avg(CASE WHEN m < 0 THEN m END) AS dc FROM pfe JOIN mkt USING (ts) GROUP BY 1),
+    ds AS (SELECT symbol, sqrt(avg(greatest(0, 0.05 / 365 - r) ** 2)) * sqrt(365) AS dn, sqrt(avg(greatest(0, r - 0.05 / 365) ** 2)) * sqrt(365) AS up,
+      sum(r) / abs(sum(least(r, 0))) AS gp, sum(greatest(r, 0)) / sum(greatest(-r, 0)) AS om, count(*) AS n_periods, count(*) FILTER (WHERE r < 0) AS n_negative,
+      count(*) FILTER (WHERE r > 0) AS n_positive, min(r) AS lo, max(r) AS hi, avg(r) * 365 AS an FROM pfe GROUP BY 1)
+    SELECT symbol AS portfolio, n_periods, n_market, n_negative, n_positive, #dn# AS downside_deviation, #up# AS upside_deviation, #gp# AS gain_to_pain, #lo# AS worst_return,
+      #hi# AS best_return, #(an - 0.05) / dn# AS sortino_ratio, #beta# AS beta, #(mp - beta * mb) * 365# AS alpha_annual, #r2# AS r_squared, #te# AS tracking_error,
+      #(mp - beta * mb) * 365 / te# AS information_ratio, #uc# AS upside_capture, #dc# AS downside_capture, #om# AS omega, #g1# AS skewness, #g2# AS excess_kurtosis,
+      #n_periods / 6 * (g1 ** 2 + g2 ** 2 / 4)#4# AS jarque_bera, n_periods / 6 * (g1 ** 2 + g2 ** 2 / 4) <= 5.991 AS is_normal, #hv# AS historical_var, #hc# AS historical_cvar,
+      #pv# AS parametric_var, #pc# AS parametric_cvar, #cv# AS cornish_fisher_var, #coalesce(cc, cv)# AS cornish_fisher_cvar, #mdd# AS max_drawdown, #an# AS annual_return,
+      #an / mdd# AS calmar FROM ds JOIN al USING (symbol) JOIN sh USING (symbol) JOIN c USING (symbol) JOIN dd USING (symbol) LEFT JOIN t USING (symbol)"""))
 def _(spark, sf):
-    series = A.portfolio_series(P.returns(spark, sf), P.books(spark, sf))
-    both = series.withColumnRenamed("r", "p").join(P.market(spark, sf).select("ts", F.col("m").alias("b")), "ts")
-    d = K.alpha_beta(both, 0.05, 365, ["portfolio"]).join(K.downside(series, 0.05, 365, "portfolio").drop("n_periods"), "portfolio").join(
-        K.sample_shape(series, "portfolio"), "portfolio")
-    return r6(d.select("portfolio", "n_periods", "beta", "r_squared", "downside_deviation", "gain_to_pain", "skewness", "excess_kurtosis"), "portfolio", "n_periods")
+    d = portfolio_report(A.portfolio_series(P.returns(spark, sf), P.books(spark, sf)), P.market(spark, sf), 0.05, 365)
+    exact = ["portfolio", "n_periods", "n_market", "n_negative", "n_positive", "is_normal"]
+    return r6(d.withColumn("jarque_bera", F.round("jarque_bera", 4)), *exact)

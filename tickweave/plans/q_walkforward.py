@@ -204,6 +204,43 @@ def _(spark, sf):
     return r6(K.multi_performance(daily(spark, sf), DAYS, expected), "strategy", "n_periods", "failed", "rank")
 
 
+@K.strategy("reciprocal_spread")
+def _reciprocal_spread(mu, cov, **_):
+    """Divides by the spread of a volatility around itself: fails on every row."""
+    return mu.select("window_id", "symbol", (1 / (F.col("volatility") - F.col("volatility"))).alias("weight"))
+
+
+@K.strategy("crowded")
+def _crowded(mu, cov, **_):
+    """Bounds that no weights meet."""
+    ok = G.checked(mu.select("symbol").distinct(), {}, {s["symbol"]: 0.05 for s in mu.select("symbol").distinct().collect()})
+    return K.rule_weights(mu, "equal_weight").where(ok.select("is_feasible").scalar())
+
+
+@K.strategy("late_start")
+def _late_start(mu, cov, **_):
+    """Twice the weights in the first window, equal ones from then on."""
+    return K.rule_weights(mu, "equal_weight").withColumn("weight", F.when(F.col("window_id") == 0, 2 * F.col("weight")).otherwise(F.col("weight")))
+
+
+_SOME = ["equal_weight", "inverse_volatility", "benchmark", "late_start"]
+
+
+@query("k9_failing_strategies", sql(f"""WITH {_OOS}, o AS (SELECT * FROM oos UNION ALL SELECT 'late_start', window_id, ts, pos, r FROM oos WHERE strategy = 'equal_weight' AND window_id > 0),
+    a AS (SELECT strategy, product(1 + r) - 1 AS t, stddev_samp(r) * sqrt(365) AS v, count(*) AS n FROM o WHERE strategy IN {tuple(_SOME)} GROUP BY 1),
+    b AS (SELECT *, t * 365 / n AS an, (t * 365 / n) / v AS sh FROM a UNION ALL SELECT unnest(['crowded', 'reciprocal_spread']), NULL, NULL, 0, NULL, NULL)
+    SELECT strategy, #t# AS total_return, #v# AS volatility, n AS n_periods, #an# AS annualized_return, #sh# AS sharpe_ratio, sh IS NULL AS failed,
+      CAST(row_number() OVER (ORDER BY sh IS NULL, sh DESC, strategy) AS INT) AS rank, CASE strategy WHEN 'crowded' THEN 'infeasible bounds' WHEN 'reciprocal_spread' THEN 'divide by zero'
+        WHEN 'late_start' THEN 'weights sum to 2.0' END AS error, CASE WHEN sh IS NULL THEN (SELECT count(*) FROM win) WHEN strategy = 'late_start' THEN 1 ELSE 0 END AS n_failed FROM b"""))
+def _(spark, sf):
+    """Two strategies that fail and one with a bad window beside three that do not."""
+    m, c = moments(spark, sf)
+    w, failures = K.strategy_weights(m, c, [*_SOME, "crowded", "reciprocal_spread"], benchmark="EURO")
+    d = K.multi_performance(K.out_of_sample(P.silver(spark, sf), w, TRAIN, TEST), DAYS, failures=failures)
+    said = F.when(F.col("error").contains("infeasible bounds"), "infeasible bounds").when(F.col("error").contains("DIVIDE_BY_ZERO"), "divide by zero").otherwise(F.col("error"))
+    return r6(d.withColumn("error", said), "strategy", "n_periods", "failed", "rank", "error", "n_failed")
+
+
 @query("k10_win_rate", sql(f"""WITH {_OOS} SELECT a.strategy, #avg(CASE WHEN a.test_return > b.test_return + 1e-12::DOUBLE THEN 1.0 ELSE 0.0 END)# AS win_rate, count(*) AS n_windows
     FROM wr a JOIN wr b ON a.window_id = b.window_id AND b.strategy = 'equal_weight' WHERE a.strategy <> 'equal_weight' GROUP BY 1"""))
 def _(spark, sf):
