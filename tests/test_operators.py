@@ -314,7 +314,7 @@ def test_failing_strategies_leave_the_others_alone(spark):
 
 def test_no_names_are_left_in_the_session(spark, sf):
     """Queries in SQL text leave neither views nor functions behind."""
-    from tickweave.plans.registry import QUERIES
+    from tickweave.plans.catalog import QUERIES
 
     spark.sql("CREATE TEMPORARY FUNCTION log_return(c DOUBLE) RETURNS DOUBLE RETURN c + 1")
     before = {t.name for t in spark.catalog.listTables()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickweave.operators import grid, simplex
 from tickweave.plans import q_search
-from tickweave.plans.registry import QUERIES
+from tickweave.plans.catalog import QUERIES
 
 OBJECTIVES = ["max_sharpe", "min_variance", "max_diversification", "risk_parity", "utility:3"]
 
