@@ -322,3 +322,24 @@ def test_no_names_are_left_in_the_session(spark, sf):
         assert QUERIES[name](spark, sf).count() >= 0
     assert {t.name for t in spark.catalog.listTables()} == before and spark.sql("SELECT log_return(1D)").first()[0] == 2
     spark.sql("DROP TEMPORARY FUNCTION log_return")
+
+
+@pytest.mark.parametrize("level", [0.0, 1e6])
+def test_closed_form_of_the_residual_test(spark, level):
+    """Slope, intercept and statistic from moments are those of the residuals themselves, on prices near 1e6, too."""
+    rng = np.random.default_rng(9)
+    x = level + np.cumsum(rng.normal(size=(200, 3)), axis=0)
+    x[:, 2] = 3 * x[:, 0] + rng.normal(size=200) - 2 * level
+    days = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(200)]
+    d = spark.createDataFrame([(s, t, i + 1, float(x[i, j])) for j, s in enumerate("abc") for i, t in enumerate(days)], "symbol string, ts timestamp, pos int, price double")
+    got = pairs.residual_statistic(pairs.lagged_moments(d))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        a, b = x[:, "abc".index(r["symbol_a"])], x[:, "abc".index(r["symbol_b"])]
+        slope, intercept = np.polyfit(b - b.mean(), a, 1)
+        e = a - intercept - slope * (b - b.mean())
+        design = np.stack([np.ones(199), e[:-1]], axis=1)
+        beta, rest, *_ = np.linalg.lstsq(design, np.diff(e), rcond=None)
+        t = beta[1] / np.sqrt(rest[0] / 197 * np.linalg.inv(design.T @ design)[1, 1])
+        assert r["slope"] == pytest.approx(slope, rel=1e-8) and r["statistic"] == pytest.approx(t, rel=1e-5)
+    assert plan.count("hashpartitioning(symbol_a") == 1 and plan.count("Window") == plan.count("Window [lag(price")

@@ -45,12 +45,40 @@ def unit_root_statistic(series: DataFrame, value: str = "residual", key: tuple[s
     return s.select(*key, t.alias("statistic"))
 
 
+def lagged_moments(rows: DataFrame, value: str = "price") -> DataFrame:
+    """Per pair of an aligned panel: n, slope and intercept of a on b, and the centred second moments of levels and changes.
+
+    Lags are taken per symbol, before the join by date; the pairs' sums are folded in the join's stage, so no row of a pair is
+    shuffled or sorted. ``al``, ``bl`` are the levels before a change, ``da``, ``db`` the changes, ``m`` their number.
+    """
+    d = trailing(rows, 1, lambda w: {"_lag": F.lag(value).over(w)})
+    d = d.select("symbol", "ts", F.col(value).alias("x"), F.col("_lag").alias("l"), (F.col(value) - F.col("_lag")).alias("d"))
+    a, b = (d.select("ts", *[F.col(c).alias(n) for c, n in (("symbol", f"symbol_{s}"), ("x", f"x_{s}"), ("l", f"{s}l"), ("d", f"d{s}"))]) for s in "ab")
+    both = F.col("da").isNotNull() & F.col("db").isNotNull()
+    names = ("al", "bl", "da", "db")
+    moments = [F.covar_pop(F.when(both, F.col(p)), F.when(both, F.col(q))).alias(f"{p}_{q}") for i, p in enumerate(names) for q in names[i:]]
+    return a.join(b, "ts").where("symbol_a < symbol_b").groupBy(*PAIR).agg(
+        F.regr_slope("x_a", "x_b").alias("slope"), F.regr_intercept("x_a", "x_b").alias("intercept"), F.count(F.lit(1)).alias("n"),
+        F.var_pop("x_b").alias("_v"), F.count_if(both).alias("m"), *moments).filter("n >= 3 and _v > 0").drop("_v")
+
+
+def residual_statistic(d: DataFrame) -> DataFrame:
+    """Adds ``statistic``, the unit-root test of a - intercept - slope * b, in closed form from `lagged_moments`."""
+    s, c = F.col("slope"), F.col
+    level = F.greatest(F.lit(0.0), c("al_al") - 2 * s * c("al_bl") + s * s * c("bl_bl"))
+    change = F.greatest(F.lit(0.0), c("da_da") - 2 * s * c("da_db") + s * s * c("db_db"))
+    cross = c("al_da") - s * (c("bl_da") + c("al_db")) + s * s * c("bl_db")
+    d = d.withColumns({"_sxx": c("m") * level, "_sxy": c("m") * cross, "_syy": c("m") * change})
+    slope = F.try_divide("_sxy", "_sxx")
+    s2 = F.greatest(F.lit(0.0), F.col("_syy") - slope * F.col("_sxy")) / (F.col("m") - 2)
+    t = F.when((F.col("_sxx") > 0) & (F.col("m") > 2), F.when(s2 > 0, slope / F.sqrt(s2 / F.col("_sxx"))).otherwise(0.0)).otherwise(0.0)
+    return d.withColumn("statistic", t).drop("_sxx", "_sxy", "_syy")
+
+
 def cointegrated_pairs(priced: DataFrame, min_rows: int = 50) -> DataFrame:
-    """Residual test of every pair on rebuilt prices, most stationary first."""
-    pairs = symbol_pairs(reuse(price_index(priced)), "price")
-    fits = fitted_pairs(pairs).filter(F.col("n") >= min_rows)
-    t = unit_root_statistic(residuals(pairs, fits))
-    return fits.join(t, list(PAIR)).select(
+    """Residual test of every pair of an aligned panel on rebuilt prices, most stationary first."""
+    fits = lagged_moments(reuse(price_index(priced))).filter(F.col("n") >= min_rows)
+    return residual_statistic(fits).select(
         *PAIR, F.col("statistic").alias("adf_statistic"), F.col("slope").alias("hedge_ratio"),
         (F.col("statistic") < CRITICAL).alias("is_cointegrated")).orderBy("adf_statistic")
 
