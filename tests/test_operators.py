@@ -343,3 +343,40 @@ def test_closed_form_of_the_residual_test(spark, level):
         t = beta[1] / np.sqrt(rest[0] / 197 * np.linalg.inv(design.T @ design)[1, 1])
         assert r["slope"] == pytest.approx(slope, rel=1e-8) and r["statistic"] == pytest.approx(t, rel=1e-5)
     assert plan.count("hashpartitioning(symbol_a") == 1 and plan.count("Window") == plan.count("Window [lag(price")
+
+
+def test_retention_rewrites_one_month(spark, tmp_path):
+    """Months before the limit go, the month it falls in keeps its later rows, files of later months stay as they are."""
+    from tickweave.sources import readers, writers
+
+    path = str(tmp_path / "zone")
+    rows = [(s, datetime(2024, 1, 1) + timedelta(days=3 * i), float(i)) for s in ("a b", "c") for i in range(60) if s == "c" or not 20 <= i <= 30]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
+    writers.write_bars(df, path)
+    before = {r["path"] for r in readers.stored_files(spark, path).collect()}
+    gone = writers.retain(spark, path, "ts TIMESTAMP_NTZ, close DOUBLE", 110, str(tmp_path / "one"))
+    limit = max(t for _, t, _ in rows) - timedelta(days=110)
+    kept = sorted((s, t, c) for s, t, c in rows if t > limit)
+    got = spark.read.schema("ts TIMESTAMP_NTZ, close DOUBLE, symbol STRING, year INT, month INT").parquet(path)
+    assert sorted((r["symbol"], r["ts"], r["close"]) for r in got.collect()) == kept and gone > 0
+    same = {r["path"] for r in readers.stored_files(spark, path).collect()} & before
+    assert {tuple(p.split("month=")[1].split("/")[:1]) for p in same} == {(str(m),) for m in range(limit.month + 1, 7)}
+    assert writers.retain(spark, path, "ts TIMESTAMP_NTZ, close DOUBLE", 110, str(tmp_path / "two")) == 0
+    assert writers.retain(spark, str(tmp_path / "none"), "ts TIMESTAMP_NTZ, close DOUBLE", 1, str(tmp_path / "three")) == 0
+    assert readers.stored_names(spark, str(tmp_path), {"x": "nothing"}).count() == 0
+
+
+def test_the_rest_works_without_the_training_data_package(tmp_path):
+    """A copy without the llm folders and the pipeline still imports, and lists its queries and their SQL."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for keep_pipeline in (False, True):
+        copy = tmp_path / f"copy{keep_pipeline}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if keep_pipeline else ["corpus_pipeline.py"])))
+        code = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(n.startswith('op') or n == 'pipeline' for n in q), set(e.oracle_sql()) <= set(q))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert out.returncode == 0 and out.stdout.split()[1:] == ["0", "True"] and int(out.stdout.split()[0]) > 200, out.stderr

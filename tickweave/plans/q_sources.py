@@ -190,6 +190,18 @@ def _(spark, sf):
     return R.stored_symbols(spark, _lake(spark, sf))
 
 
+@query("a14_stored_names", """SELECT DISTINCT 'metrics' AS zone, 'volatility_' || lower(event_type) AS name FROM events
+    UNION ALL SELECT 'outputs', 'report_' || strftime(ts, '%Y_%m') FROM events GROUP BY 2""")
+def _(spark, sf):
+    """A metrics table for each event type and a document for each month, found by listing their folders."""
+    root, events = shared_dir(spark, "catalog"), P.table(spark, sf, "events")
+    for (kind,) in events.select("event_type").distinct().collect():
+        events.where(F.col("event_type") == kind).agg(F.stddev("value").alias("volatility")).write.parquet(f"{root}/processed/volatility_{kind.lower()}.parquet")
+    for (month,) in events.select(F.date_format("ts", "yyyy_MM")).distinct().collect():
+        W.write_document(events.where(F.date_format("ts", "yyyy_MM") == month).groupBy("event_type").count(), f"{root}/output/report_{month}.json", "counts", "2024-01-01T00:00:00")
+    return R.stored_names(spark, root, {"metrics": "processed", "outputs": "output"})
+
+
 @query("a15_csv_export", sql("SELECT symbol, ts, #close# AS close FROM panel"))
 def _(spark, sf):
     path = shared_dir(spark, "csv")
@@ -377,6 +389,16 @@ def _(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query("b14_retention_rewrite", sql("""SELECT symbol, ts, #close# AS close, volume FROM panel WHERE ts > (SELECT max(ts) FROM panel) - INTERVAL 1000 DAY"""))
+def _(spark, sf):
+    """Years of weekly bars: old months go, the month of the limit is written anew, the rest stays; twice, which changes nothing."""
+    path = shared_dir(spark, "zone")
+    W.write_bars(P.weekly_bars(spark, sf), path)
+    for _ in range(2):
+        W.retain(spark, path, "ts TIMESTAMP_NTZ, close DOUBLE, high DOUBLE, low DOUBLE, volume DOUBLE", 1000, shared_dir(spark, "staging"))
+    return spark.read.parquet(path).select(F.col("symbol").cast("string").alias("symbol"), "ts", rounded("close").alias("close"), "volume")
+
+
 @query("b15_dimension_type1", """
     SELECT symbol, row_number() OVER (ORDER BY symbol) AS symbol_id FROM (SELECT DISTINCT c_name AS symbol FROM customer)""")
 def _(spark, sf):

@@ -19,6 +19,18 @@ def listed_symbols(spark: SparkSession, path: str) -> list[str]:
     return sorted(unquote(n.removeprefix("symbol=")) for n in names if n.startswith("symbol="))
 
 
+def listed_partitions(spark: SparkSession, path: str) -> list[tuple[str, int, int, str]]:
+    """(symbol, year, month, folder) of the months a lake holds, from listings of its folders."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/symbol=*/year=*/month=*")
+    found = glob.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(glob) or []
+    out = []
+    for f in found:
+        folder = f.getPath().toString()
+        symbol, year, month = (part.split("=", 1)[1] for part in folder.rsplit("/", 3)[1:])
+        out.append((unquote(symbol), int(year), int(month), folder))
+    return sorted(out)
+
+
 def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = None) -> DataFrame:
     """Bars of a lake laid out by symbol/year/month; symbols that are not there are skipped.
 
@@ -105,6 +117,21 @@ def stored_symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in listed_symbols(spark, path)], "symbol string")
 
 
+def stored_names(spark: SparkSession, root: str, zones: dict[str, str]) -> DataFrame:
+    """zone, name: the tables and documents in the folders of the zones, without their endings, from their listings.
+
+    zones: name of a zone and its folder under ``root``, such as metrics in ``processed`` and outputs in ``output``. A folder that is not there is
+    empty; hidden files and Spark's own are left out.
+    """
+    rows = set()
+    for zone, folder in zones.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}")
+        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        rows |= {(zone, n.rsplit(".", 1)[0] if "." in n else n) for n in names if n[0] not in "._"}
+    return spark.createDataFrame(sorted(rows), "zone string, name string")
+
+
 def stored_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per stored file with its size; file contents are not read."""
     return (

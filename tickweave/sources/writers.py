@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -78,3 +79,32 @@ def series_wide(long: DataFrame, symbols: list[str] | None = None) -> DataFrame:
 
 def series_long(wide: DataFrame) -> DataFrame:
     return wide.unpivot(["date"], [c for c in wide.columns if c != "date"], "symbol", "value")
+
+
+def retain(spark: SparkSession, path: str, schema: str, days: int, staging: str) -> int:
+    """Remove the bars older than ``days`` before the newest one from a lake written by `write_bars`; gives the months removed whole.
+
+    Months before the limit are dropped by their folders, only the month it falls in is read and written anew (through ``staging``, a new folder, as
+    a table is not overwritten while it is read), later ones are not touched. Running it again changes nothing.
+    """
+    from .readers import listed_partitions
+
+    found = listed_partitions(spark, path)
+    if not found:
+        return 0
+    lake = spark.read.schema(f"{schema}, symbol STRING, year INT, month INT").parquet(path)
+    last = max((y, m) for _, y, m, _ in found)
+    newest = lake.where((F.col("year") == last[0]) & (F.col("month") == last[1])).agg(F.max("ts").alias("t")).first()["t"]
+    limit = newest - timedelta(days=days)
+    at = limit.year, limit.month
+    edge = lake.where((F.col("year") == at[0]) & (F.col("month") == at[1]) & (F.col("ts") > F.lit(limit)))
+    edge.write.mode("overwrite").parquet(staging)
+    kept = spark.read.schema(edge.schema).parquet(staging)
+    left = {r["symbol"] for r in kept.select("symbol").distinct().collect()}
+    if left:
+        write_bars(kept.drop("year", "month"), path)
+    gone = [folder for s, y, m, folder in found if (y, m) < at or (y, m) == at and s not in left]
+    for folder in gone:
+        old = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+    return len(gone)
