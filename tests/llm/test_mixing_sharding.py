@@ -3,9 +3,12 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
+from tickweave.llm.common import table
 from tickweave.llm.mixing import mix
+from tickweave.llm.q_rows import MIX_SQL, op7
 from tickweave.llm.sharding import clockwise, intervals, ring, shard
 
 
@@ -96,3 +99,56 @@ def test_overflow_goes_clockwise():
 
 def test_shards_of_nothing(empty):
     assert shard(empty).count() == 0
+
+
+def test_a_plain_ring_places_the_rows(spark, sf):
+    """Rows in ring order, byte by byte: each goes to the shard whose interval of its arc it starts in, and takes the next slot there."""
+    import xxhash
+
+    docs = [(r["doc_id"], r["text"] or "") for r in table(spark, sf, "documents").collect()]
+    points = ring(8, 128)
+
+    def tie(i):  # Spark's hash of a long
+        return xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    rows = []
+    for i, t in docs:
+        place = xxhash.xxh64_intdigest(t.encode(), 42) % (1 << 32)
+        arc = next((k for k, (p, _) in enumerate(points) if p >= place), 0)
+        rows.append((arc, place, signed(tie(i)), i, len(t.encode()) + 1, zlib.crc32(t.encode())))
+    rows.sort()
+    loads, at = defaultdict(int), {}
+    for arc, place, _, i, size, _ in rows:
+        at[i] = loads[arc]
+        loads[arc] += size
+    mean = sum(loads.values()) / 8
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[0], r[1]].append(r)
+    for same in groups.values():
+        if sum(r[4] for r in same) <= 0.01 * mean:
+            first = min(at[r[3]] for r in same)
+            at.update((r[3], first) for r in same)
+    cuts, slots, want = intervals(points, dict(loads), 8, 0.005), defaultdict(int), {}
+    for arc, _, _, i, size, crc in rows:
+        where = next(s for a, lo, hi, s in cuts if a == arc and lo <= at[i] < hi)
+        want[i] = (size, crc, where)
+    got = {r["doc_id"]: r for r in shard(table(spark, sf, "documents")).collect()}
+    assert {i: (r["size"], r["text_crc32"], r["shard"]) for i, r in got.items()} == want
+    for arc, _, _, i, _, _ in rows:
+        assert got[i]["slot"] == slots[want[i][2]]
+        slots[want[i][2]] += 1
+
+
+def test_targets_are_those_of_the_sql(spark):
+    """Size, source_size and target of every document, by DuckDB."""
+    sf = "/root/testdata/sf0.01"
+    duckdb.execute(f"create or replace view documents as select * from '{sf}/documents.parquet'")
+    want = {r[0]: r[1:] for r in duckdb.sql(MIX_SQL).fetchall()}
+    got = {r["doc_id"]: r for r in op7(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for i, (size, source_size, target) in want.items():
+        assert (got[i]["size"], got[i]["source_size"]) == (size, source_size) and got[i]["target"] == pytest.approx(target)

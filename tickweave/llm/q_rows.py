@@ -44,7 +44,7 @@ select d.doc_id, d.size, t.source_size, t.target from d join t on d.source is no
 
 @query("op7_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL states all but `taken` and the times, which follow from Spark's xxhash64; see tests/llm/test_mixing.py."""
+    """The SQL states all but `taken` and the times, which follow from Spark's xxhash64; see tests/llm/test_mixing_sharding.py."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "takes", "time_1", "time_2")
 
