@@ -108,6 +108,12 @@ def strategy(name: str):
     return add
 
 
+def _message(e: Exception) -> str:
+    """The line of an error that names its class in brackets, as Spark's do, else the first one."""
+    lines = [x.strip(" :") for x in str(e).splitlines() if x.strip(" :")]
+    return next((x for x in lines if "[" in x), next(iter(lines), type(e).__name__))[:300]
+
+
 def strategy_weights(mu: DataFrame, cov: DataFrame, names: list[str], **options) -> tuple[DataFrame, DataFrame]:
     """(weights, failures) of strategies by name: window_id, strategy, symbol, weight; window_id, strategy, error.
 
@@ -129,8 +135,7 @@ def strategy_weights(mu: DataFrame, cov: DataFrame, names: list[str], **options)
             made.write.parquet(path)
             rows = spark.read.schema(made.schema).parquet(path)
         except Exception as e:
-            said = next((x.strip() for x in str(e).splitlines() if x.strip()), type(e).__name__)
-            failures.append(windows.select("window_id", F.lit(name).alias("strategy"), F.lit(said[:300]).alias("error")))
+            failures.append(windows.select("window_id", F.lit(name).alias("strategy"), F.lit(_message(e)).alias("error")))
             continue
         w = F.col("weight")
         bad = F.count_if(w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")))
