@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickweave.operators.bars import build_bars
-from tickweave.streaming import buffer, jobs, restate
+from tickweave.plans import q_streaming
+from tickweave.plans.catalog import QUERIES
+from tickweave.streaming import buffer, events, jobs, restate
 
 ROWS = "symbol string, ts timestamp, close double, flush_end boolean"
 DAY = datetime(2024, 3, 1)
@@ -131,3 +133,14 @@ def test_a_batch_that_runs_again_counts_once_and_compaction_changes_nothing(spar
     assert got(restate.bars(spark, path).drop("corrected")) == wanted(spark, rows)
     assert restate.compacted(spark, path) == 3
     assert got(restate.bars(spark, path).drop("corrected")) == wanted(spark, rows)
+
+
+@pytest.mark.parametrize("name", ["m5_append_depth", "m6_stream_dedupe", "m4_upsert_bars"])
+def test_files_sent_hold_few_rows(spark, sf, monkeypatch, name):
+    """More rows make more files, not larger ones."""
+    inboxes, source = [], events.file_source
+    monkeypatch.setattr(q_streaming, "ROWS", 20, raising=False)
+    monkeypatch.setattr(events, "file_source", lambda s, path, n=None: inboxes.append(path) or source(s, path, n))
+    QUERIES[name](spark, sf)
+    sizes = [r["count"] for r in spark.read.text(inboxes[0]).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 25

@@ -15,10 +15,19 @@ from .oracle import sql
 from .registry import query
 
 
+#: Rows of a file that a query sends to its stream; more rows make more files.
+ROWS = 50_000
+
+
 def _ms(c="ts"):
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
+def _files(df, least):
+    """Files for the rows of a frame, so that no task writes more than ROWS of them; an even number, half of them a batch."""
+    return max(least, 2 * -(-df.count() // (2 * ROWS)))
+
+
 def candle_events(df):
     """Bars (symbol, ts, open .. volume, event, closed) as exchange messages."""
     k = F.struct(_ms().alias("t"), F.col("symbol").alias("s"), *[F.col(n).cast("string").alias(a) for a, n in zip(
@@ -40,13 +49,14 @@ def _(spark, sf):
     return V.parse_candles(_ticks_as_candles(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-def depth_events(spark, sf):
-    """A book of 25 levels per side around each event's value; some wrapped, some one-sided."""
+def depth_events(spark, sf, files=None):
+    """A book of 25 levels per side around each event's value; some wrapped, some one-sided. files: deal the events, before they get their books."""
     v, k = F.col("value"), F.get_json_object("props", "$.k").cast("int")
     levels = F.sequence(F.lit(0), F.lit(24))
     bids = F.transform(levels, lambda i: F.array((v - i * 0.25).cast("string"), (k + i).cast("string")))
     asks = F.when(F.col("value") < 200, F.transform(levels, lambda i: F.array((v + 1 + i * 0.5).cast("string"), (k * 2 + i).cast("string"))))
-    e = P.table(spark, sf, "events").select("event_type", _ms().alias("E"), bids.alias("bids"), F.coalesce(asks, F.array().cast("array<array<string>>")).alias("asks"))
+    events = P.table(spark, sf, "events").select("event_type", "ts", "value", "props")
+    e = (events.repartition(files) if files else events).select("event_type", _ms().alias("E"), bids.alias("bids"), F.coalesce(asks, F.array().cast("array<array<string>>")).alias("asks"))
     wrapped = F.struct(F.concat("event_type", F.lit("@depth20")).alias("stream"), F.struct("E", "bids", "asks").alias("data"))
     plain = F.struct(F.col("event_type").alias("s"), "E", "bids", "asks")
     return e.select(F.when(F.col("event_type").isin("click", "view"), F.to_json(wrapped)).otherwise(F.to_json(plain)).alias("value"))
@@ -72,10 +82,11 @@ def _(spark, sf):
     bars = P.event_bars(spark, sf, "6 hours")
     lake, inbox = shared_dir(spark, "lake"), shared_dir(spark, "inbox")
     write_bars(bars.filter("volume > 20").withColumn("close", F.col("close") + 1000), lake)
-    sent = candle_events(bars.withColumn("event", F.lit("kline")).withColumn("closed", F.lit(True)))
+    files = _files(bars, 4)
+    sent = candle_events(bars.repartition(files).withColumn("event", F.lit("kline")).withColumn("closed", F.lit(True)))
     for _ in range(2):
-        sent.repartition(4).write.mode("append").text(inbox)
-    J.drain(J.upsert_bars(V.parse_candles(V.file_source(spark, inbox, 3)).drop("timestamp").withColumn("ts", F.col("ts").cast("timestamp_ntz")),
+        sent.write.mode("append").text(inbox)
+    J.drain(J.upsert_bars(V.parse_candles(V.file_source(spark, inbox, files * 3 // 4)).drop("timestamp").withColumn("ts", F.col("ts").cast("timestamp_ntz")),
                           lake, shared_dir(spark, "checkpoint"), every=None))
     from ..sources.readers import read_bars
     return read_bars(spark, lake)
@@ -98,16 +109,18 @@ def _(spark, sf):
 @query("m5_append_depth", _DEPTH)
 def _(spark, sf):
     inbox, out = shared_dir(spark, "inbox"), shared_dir(spark, "depth")
-    depth_events(spark, sf).repartition(4).write.text(inbox)
-    J.drain(J.append_stream(V.parse_depth(V.file_source(spark, inbox, 2)), out, shared_dir(spark, "checkpoint"), every=None))
+    files = _files(P.table(spark, sf, "events"), 4)
+    depth_events(spark, sf, files).write.text(inbox)
+    J.drain(J.append_stream(V.parse_depth(V.file_source(spark, inbox, files // 2)), out, shared_dir(spark, "checkpoint"), every=None))
     return _depth_out(J.read_result(spark, out))
 
 
 @query("m6_stream_dedupe", sql("SELECT symbol, ts, open, close, volume FROM bars_h6"))
 def _(spark, sf):
     inbox, out = shared_dir(spark, "inbox"), shared_dir(spark, "unique")
-    sent = candle_events(P.event_bars(spark, sf, "6 hours").withColumn("event", F.lit("kline")).withColumn("closed", F.lit(True)))
-    sent.unionByName(sent).repartition(4).write.text(inbox)
+    bars = P.event_bars(spark, sf, "6 hours")
+    twice = bars.unionByName(bars)
+    candle_events(twice.repartition(_files(twice, 4)).withColumn("event", F.lit("kline")).withColumn("closed", F.lit(True))).write.text(inbox)
     stream = J.deduplicated(V.parse_candles(V.file_source(spark, inbox)), "40 days")
     J.drain(J.append_stream(stream, out, shared_dir(spark, "checkpoint"), every=None))
     return J.read_result(spark, out).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "close", "volume")
@@ -132,10 +145,10 @@ def _(spark, sf):
     """Ticks in an order of their hash, days late: closed bars are restated; the first batches are compacted on the way."""
     inbox, out, state = (shared_dir(spark, n) for n in ("inbox", "restated", "checkpoint"))
     events = P.table(spark, sf, "events")
-    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    half, files = F.pmod(F.xxhash64("event_id"), F.lit(2)), _files(events, 12) // 2
     for i in range(2):
-        events.where(half == i).repartition(6, F.xxhash64("event_id")).write.mode("append").parquet(inbox)
-        ticks = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(inbox).select(
+        events.where(half == i).repartition(files, F.xxhash64("event_id")).write.mode("append").parquet(inbox)
+        ticks = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(inbox).select(
             F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
         J.drain(R.restated_bars(ticks, out, state, "1 day", "1 hour", trigger=None))
         if i == 0:
