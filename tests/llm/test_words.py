@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -197,3 +198,23 @@ def test_negatives_without_anchors_and_beyond_64_bits(spark):
     for x in (1e8, 3e38, -3e38):
         with pytest.raises(ValueError, match="64 bits"):
             hn.hard_negatives(spark.createDataFrame([(0, [x, 1.0], 1)], VECTORS), F.col("vec_id") % 50 == 0)
+
+
+def test_words_are_learnt_once_and_not_held_one_by_one(monkeypatch):
+    """Ids of texts put together from words are those of whole texts; a text's words do not become Python objects each."""
+    r = random.Random(5)
+    odd = ["don't", "a!b", "!!!", "end!", "x...", "É.", "é", "'s", "it's,", "<|endoftext|>", "a<|endoftext|>.", "A<|ENDOFTEXT|>", "1,2", " ", "\u0085x", "日本。", "𠮷?", "ß", "İ.", "_", "a_", "--", "“q”", "\x1c"]
+    words = odd + ["".join(r.choice("abcXYZ") for _ in range(r.randint(1, 7))) + r.choice(["", ".", ",", "!?", "'"]) for _ in range(1500)]
+    texts = [None, "", " ", "\n a\x0b\x0cb\t"] + ["".join(r.choice(words) + r.choice([" ", "\n", "  ", "\t\r"]) for _ in range(300)) for _ in range(40)]
+    whole, parts = token_files.Encoder(PATH, 1, False), token_files.Encoder(PATH, 1, True)
+    column = pa.array(["cut off", *texts], pa.string()).slice(1)
+    assert list(parts.encode(column)) == list(whole.encode(column))
+    monkeypatch.setattr(token_files.Encoder, "CACHE", 100)
+    for n in (7, 1):
+        for lo in range(0, len(column), n):
+            assert list(parts.encode(column.slice(lo, n))) == list(whole.encode(column.slice(lo, n)))
+    monkeypatch.setattr(token_files.Encoder, "CACHE", 1 << 20)
+    column = pa.array([" ".join(r.choice(words) for _ in range(20_000))])
+    first = list(parts.encode(column))
+    before, again = sys.getallocatedblocks(), parts.encode(column)
+    assert next(again) == first[0] and sys.getallocatedblocks() - before < 5000

@@ -27,6 +27,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,9 +38,8 @@ from tickweave.session import shared_dir
 from .common import partitions, small_batches, smallest, text_bytes, written
 
 MAGIC = b"IDZ1"
-MARKS = re.compile(rb"[A-Za-z0-9][!-&(-/:-@\[-`{-~]+\Z")
-LAST = frozenset(rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""")
-LONGEST, DICTIONARY, FILE, READ, BATCH = 1 << 14, 112_640, 64 << 20, 4 << 20, 1 << 20
+MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+LONGEST, DICTIONARY, FILE, READ, BATCH, LINE = 1 << 14, 112_640, 64 << 20, 4 << 20, 4 << 20, 512
 FRAMES = "doc_id long, n_tokens long, frame binary"
 MANIFEST = "block int, nth int, file string, n_docs long, n_tokens long, first_id long, last_id long, has_null boolean"
 
@@ -80,23 +80,31 @@ class Encoder:
     def kind(self) -> np.dtype:
         return np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), self.end + 1) <= 1 << 16 else "<u4")
 
-    @cached_property
-    def known(self) -> dict[bytes, bytes]:
-        return {}
+    def clear(self) -> None:
+        """Of the known words: themselves, where their ids start in `flat`, and how many they are."""
+        self.known, self.flat = pa.array([], pa.large_string()), np.zeros(0, self.kind)
+        self.first = self.size = np.zeros(0, np.int64)
 
     @cached_property
     def added(self) -> re.Pattern:
         found = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         return re.compile(b"|".join(found) or rb"(?!)")
 
-    def _cut(self, word: bytes) -> tuple[bytes, ...]:
-        """The word and the ASCII marks at its end (no apostrophes), if what stands before them is an ASCII letter or digit."""
-        if word[-1] not in LAST or (m := MARKS.search(word)) is None or self.added.search(word):
-            return (word,)
-        return word[: m.start() + 1], word[m.start() + 1 :]
+    def _holds_added(self, words: pa.Array) -> pa.Array:
+        data, at = text_bytes(words)
+        raw = data.tobytes()
+        if not self.added.search(raw):
+            return pa.repeat(False, len(words))
+        return pa.array([self.added.search(raw[lo:hi]) is not None for lo, hi in zip(at, at[1:], strict=False)], pa.bool_())
+
+    def _cut(self, words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Which words end in ASCII marks (no apostrophes) after an ASCII letter or digit; these without the marks, and the marks."""
+        body = pc.ascii_rtrim(words, MARKS)
+        cut = pc.and_(pc.and_not(pc.not_equal(body, words), self._holds_added(words)), pc.match_substring_regex(body, r"[A-Za-z0-9]\z"))
+        return cut, body.filter(cut), pc.replace_substring_regex(words.filter(cut), "^.*[A-Za-z0-9]", "")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @cached_property
     def mark(self) -> int:
@@ -109,38 +117,79 @@ class Encoder:
         """Whether the tokenizer lowers letters before anything else looks at them."""
         return '"type":"Lowercase"' in self.tokenizer.to_str().replace(" ", "")
 
-    def _word_ids(self, words: list[bytes]) -> list[bytes]:
-        """Of words by themselves: encoded as one text with exclamation marks between them, by which the ids are told apart."""
-        whole = [i for i, w in enumerate(words) if b"!" in w or self.added.search(w)]
-        out = dict(zip(whole, self._ids([words[i].decode() for i in whole]), strict=True)) if whole else {}
-        rest = [i for i in range(len(words)) if i not in out]
-        found = np.array(self.tokenizer.encode_batch_fast([b" ! ".join(words[i] for i in rest).decode()], add_special_tokens=False)[0].ids, self.kind)
-        marks = np.flatnonzero(found == self.mark)
-        if len(marks) != max(0, len(rest) - 1):
-            return self._ids([w.decode() for w in words])
-        size, raw = self.kind.itemsize, found.tobytes()
-        begin, end = [0, *((marks + 1) * size).tolist()], [*(marks * size).tolist(), len(raw)]
-        out.update((i, raw[lo:hi]) for i, lo, hi in zip(rest, begin, end, strict=False))
-        return [out[i] for i in range(len(words))]
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words by themselves, where each begins in them, and how many it has.
+
+        Words are encoded as texts of LINE words with exclamation marks between them, by which the ids are told apart.
+        """
+        alone = pc.or_(pc.match_substring(words, "!"), self._holds_added(words))
+        rest = words.filter(pc.invert(alone))
+        cuts = [rest.slice(i, LINE).to_pylist() for i in range(0, len(rest), LINE)]
+        lines = self._ids([" ! ".join(x) for x in cuts])
+        if any(np.count_nonzero(x == self.mark) != len(c) - 1 for x, c in zip(lines, cuts, strict=True)):
+            alone, lines = pa.repeat(True, len(words)), []
+        parts = self._ids(words.filter(alone).to_pylist())
+        one = np.array([self.mark], self.kind)
+        told = np.concatenate([y for x in lines for y in (x, one)]) if lines else np.zeros(0, self.kind)
+        ends = np.flatnonzero(told == self.mark) if lines else np.zeros(0, np.int64)
+        first, size, odd = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), alone.to_numpy(zero_copy_only=False)
+        first[~odd] = np.concatenate([[0], ends + 1])[: len(ends)]
+        size[~odd] = ends - first[~odd]
+        size[odd] = np.fromiter(map(len, parts), np.int64, len(parts))
+        first[odd] = len(told) + np.cumsum(size[odd]) - size[odd]
+        return np.concatenate([told, *parts]), first, size
+
+    def _add(self, words: pa.Array, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        self.first, self.size = np.concatenate([self.first, len(self.flat) + first]), np.concatenate([self.size, size])
+        self.flat, self.known = np.concatenate([self.flat, flat]), pa.concat_arrays([self.known, words])
+
+    def _of(self, nth: np.ndarray) -> np.ndarray:
+        """The ids of these known words, one after the other."""
+        size = self.size[nth]
+        return self.flat[np.repeat(self.first[nth] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of different words among the known ones, to which those are added that are not there."""
+        if not hasattr(self, "known") or len(self.known) > self.CACHE:
+            self.clear()
+        at, new = found(words, self.known)
+        words = words.filter(pa.array(new))
+        cut, body, marks = self._cut(words)
+        plain = words.filter(pc.invert(cut))
+        pieces = pc.unique(pa.concat_arrays([plain, body, marks]))
+        nth, unknown = found(pieces, self.known)
+        nth[unknown] = len(self.known) + np.arange(np.count_nonzero(unknown))
+        self._add(fresh := pieces.filter(pa.array(unknown)), *self._word_ids(fresh))
+        body, marks = nth[found(body, pieces)[0]], nth[found(marks, pieces)[0]]
+        size, whole = self.size[body] + self.size[marks], np.zeros(len(words), np.int64)
+        whole[is_cut := cut.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(body))
+        whole[~is_cut] = nth[found(plain, pieces)[0]]
+        self._add(words.filter(cut), self._of(np.column_stack([body, marks]).ravel()), np.cumsum(size) - size, size)
+        at[new] = whole
+        return at
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         data, at = text_bytes(texts)
-        raw, last = data.tobytes(), np.array([self.end], self.kind).tobytes()
-        parts = [raw[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at), pa.py_buffer(data))
+        last = np.array([self.end], self.kind).tobytes()
         if not self.words:
-            yield from (ids + last for ids in self._ids([p.decode() for p in parts]))
+            yield from (ids.tobytes() + last for ids in self._ids(texts.to_pylist()))
             return
         if self.folds:
-            parts = [p if self.added.search(low := p.lower()) else low for p in parts]
-        split, known = [p.split() for p in parts], self.known
-        if len(known) > self.CACHE:
-            known.clear()
-        if new := [w for w in set().union(*split) if w not in known]:
-            cut = [self._cut(w) for w in new]
-            if pieces := list({x for c in cut for x in c if x not in known}):
-                known.update(zip(pieces, self._word_ids(pieces), strict=True))
-            known.update((w, b"".join(map(known.__getitem__, c))) for w, c in zip(new, cut, strict=True) if len(c) > 1)
-        yield from (b"".join(map(known.__getitem__, words)) + last for words in split)
+            low = pc.ascii_lower(texts)
+            texts = pc.if_else(self._holds_added(low), texts, low)
+        split = pc.ascii_split_whitespace(texts)  # with an empty word, which has no ids, where white space begins or ends a text
+        words = split.flatten().dictionary_encode()
+        nth = self._numbers(words.dictionary)[words.indices.to_numpy()]
+        ids, ends = self._of(nth), np.concatenate([[0], np.cumsum(self.size[nth])])
+        at = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])].tolist()
+        yield from (ids[lo:hi].tobytes() + last for lo, hi in zip(at, at[1:], strict=False))
+
+
+def found(words: pa.Array, among: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words in an array of different ones, and which are not there."""
+    at = pc.index_in(words, among)
+    return at.fill_null(-1).to_numpy().astype(np.int64), at.is_null().to_numpy(zero_copy_only=False)
 
 
 @lru_cache(2)
